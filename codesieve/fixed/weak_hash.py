@@ -67,9 +67,6 @@ CONFIG_RULES = [
     ("*", r"hash\.algorithm\s*=\s*SHA-?1", "hash.algorithm=SHA1", "SHA-1"),
 ]
 
-# Every rule above needs one of these in the folded line.
-WEAK_HASH_GATES = ["md5", "sha"]
-
 # Words around a hit that make it a security use.
 SECURITY_CONTEXT = [
     r"password", r"passwd", r"pwd", r"credential", r"secret", r"auth", r"login", r"user.*pass",

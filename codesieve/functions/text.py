@@ -123,16 +123,12 @@ def one_of(col: Column, table: dict, default) -> Column:
     return out.otherwise(default if isinstance(default, Column) else F.lit(default))
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate `value` once and use it several times inside `body`."""
-    return F.transform(F.array(value), body)[0]
-
-
-def first_line_of(folded: Column, pattern: str) -> Column:
-    """1-based number of the first line where the pattern matches, null if it never does."""
-    return let(
-        F.split(folded, java_regex(pattern), 2),
-        lambda parts: F.when(
-            F.size(parts) > 1, F.length(parts[0]) - F.length(F.replace(parts[0], F.lit("\n"))) + 1
-        ),
-    )
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def first_line_of(column: str, pattern: str) -> str:
+    """SQL for the 1-based number of the first line where the pattern matches, null if it never does."""
+    parts = f"array(split({column}, {quoted(java_regex(pattern))}, 2))"
+    return f"transform({parts}, p -> if(size(p) > 1, length(p[0]) - length(replace(p[0], '\\n')) + 1, null))[0]"

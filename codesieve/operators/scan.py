@@ -1,8 +1,12 @@
-"""What all line scans share: language, candidate lines, rule matching.
+"""What all line scans share: language, rules that can match, lines that do.
 
-A file stays one row until its hits are known.  The lines live in an array,
-each line meets cheap `contains` tests before any regular expression, and only
-hits are exploded.  Nothing is shuffled and no text is copied per line.
+A file stays one row until its hits are known.  First the rules are narrowed
+to those whose plain text occurs somewhere in the file, then each line meets
+only these, with the substring test before the regular expression.  Only hits
+are exploded.  Nothing is shuffled and no text is copied per line.
+
+The expressions are written as SQL text: a rule set is one expression, not
+thousands of calls to the driver's JVM.
 """
 
 from __future__ import annotations
@@ -13,65 +17,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions.paths import detect_language, normalize_language
-from codesieve.functions.text import fold, has_any, matches, required_literal
+from codesieve.functions.text import fold, java_regex, quoted, required_literal
 from codesieve.sources.files import drop_blank_files
 
 
-def prepare(src_files: DataFrame, gates: list[str] | None = None) -> DataFrame:
-    """Files that can have a hit, with their rule-set language, lines and folded lines."""
-    files = drop_blank_files(src_files)
-    if gates:
-        files = files.filter(has_any(fold(F.col("content")), gates))
-    return files.select(
-        "repo_id",
-        "path",
-        "content",
-        normalize_language(detect_language(F.col("path"))).alias("language"),
-        F.split("content", "\n").alias("lines"),
-    )
+def sql_matches(text: str, pattern: str, ignore_case: bool = True) -> str:
+    return f"rlike({text}, {quoted(java_regex(pattern, ignore_case))})"
+
 
+def prepare(src_files: DataFrame, rules: list) -> DataFrame:
+    """Files with their rule-set language, lines, folded lines and the numbers of the rules that can match."""
+    files = drop_blank_files(src_files).select(
+        "repo_id", "path", "content", normalize_language(detect_language(F.col("path"))).alias("language"), fold(F.col("content")).alias("folded"))
+    return files.select("*", F.expr(live_rules(rules)).alias("live")).select(
+        "repo_id", "path", "language", "folded", "live", F.split("content", "\n").alias("lines"), F.split("folded", "\n").alias("lows"))
 
-def matched_rules(language: Column, line: Column, folded: Column, rules: list) -> Column:
-    """Numbers of the rules that match a line, in rule order.
 
-    The language picks the branch, a plain substring test comes next, the
-    regular expression last.
-    """
-    def numbers(some) -> Column:
+def live_rules(rules: list) -> str:
+    """Numbers of the rules for the file's language whose plain text occurs in the file."""
+    def numbers(some):
         tests = []
         for r in some:
             literal = required_literal(r.pattern)
-            test = matches(line, r.pattern)
-            if literal:
-                test = folded.contains(literal) & test
-            tests.append(F.when(test, F.lit(r.rule_no)))
-        return F.array_compact(F.array(*tests))
-
-    ordered = sorted(rules, key=lambda r: r.language)
-    by_language = {k: sorted(g, key=lambda r: r.rule_no) for k, g in groupby(ordered, key=lambda r: r.language)}
+            tests.append(f"if(contains(folded, {quoted(literal)}), {r.rule_no}, null)" if literal else str(r.rule_no))
+        return f"array_compact(array({', '.join(tests)}))"
+
+    ordered = sorted(rules, key=lambda r: (r.language, r.rule_no))
+    by_language = {k: list(g) for k, g in groupby(ordered, key=lambda r: r.language)}
     everywhere = by_language.pop("*", [])
-    none = F.array().cast("array<int>")
-    picked = None
-    for name, some in by_language.items():
-        branch = numbers(some)
-        picked = F.when(language == name, branch) if picked is None else picked.when(language == name, branch)
-    parts = [] if picked is None else [picked.otherwise(none)]
+    none = "cast(array() as array<int>)"
+    parts = []
+    if by_language:
+        branches = " ".join(f"when {quoted(name)} then {numbers(some)}" for name, some in by_language.items())
+        parts.append(f"case language {branches} else {none} end")
     if everywhere:
         parts.append(numbers(everywhere))
-    return F.concat(*parts) if parts else none
+    return f"concat({', '.join(parts)})" if parts else none
 
 
-def rule_column(rules: list, rule_no: Column, field: str) -> Column:
-    """A column of the rule table, looked up by rule number in a constant map."""
-    pairs = [F.lit(x) for r in rules for x in (r.rule_no, getattr(r, field))]
-    return F.try_element_at(F.create_map(*pairs), rule_no)
+def matched_rules(rules: list, line: str = "get(lines, i)", low: str = "low") -> str:
+    """Which of the live rules match a line."""
+    branches = []
+    for r in rules:
+        literal = required_literal(r.pattern)
+        gate = f"contains({low}, {quoted(literal)}) and " if literal else ""
+        branches.append(f"when {r.rule_no} then {gate}{sql_matches(line, r.pattern)}")
+    return f"filter(live, n -> case n {' '.join(branches)} end)" if branches else "cast(array() as array<int>)"
 
 
-def candidate_lines(lines: Column, keep, build) -> Column:
-    """Structs built from the lines that pass `keep(folded line)`; every other line costs one test."""
-    return F.array_compact(
-        F.transform(lines, lambda line, i: F.when(keep(fold(line)), build(line, i + 1)))
-    )
+def rule_hits(rules: list) -> Column:
+    """Array of (line_no, line, rule_nos) of the matching lines; null where no rule can match."""
+    found = f"transform(lows, (low, i) -> named_struct('line_no', i + 1, 'line', get(lines, i), 'rule_nos', {matched_rules(rules)}))"
+    return F.expr(f"if(size(live) > 0, filter({found}, h -> size(h.rule_nos) > 0), null)")
+
+
+def rule_column(rules: list, rule_no: Column, field: str) -> Column:
+    """A column of the rule table, looked up by rule number in a constant array or map."""
+    values = ", ".join(f"{r.rule_no}, {'null' if getattr(r, field) is None else quoted(getattr(r, field))}" for r in rules)
+    return F.try_element_at(F.expr(f"map({values})"), rule_no) if rules else F.lit(None).cast("string")
 
 
 def context_window(lines: Column, line_no: Column, before: int = 5, after: int = 5) -> Column:

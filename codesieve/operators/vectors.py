@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions.identity import finding_id, input_order
-from codesieve.functions.text import fold, strip
-from codesieve.operators.scan import matched_rules, prepare, rule_column
+from codesieve.functions.text import strip
+from codesieve.operators.scan import prepare, rule_column, rule_hits
 from codesieve.sources.rules import rule_rows
 
 PHASE = 3
@@ -33,14 +33,8 @@ def numbered_vectors(vector_rules: DataFrame) -> list[_VectorRule]:
 def find_vectors(src_files: DataFrame, vector_rules: DataFrame) -> DataFrame:
     """One row per (line, detection pattern) hit."""
     rules = numbered_vectors(vector_rules)
-    files = prepare(src_files)
-    language = F.col("language")
-
-    def build(line, i):
-        return F.struct((i + 1).alias("line_no"), line.alias("line"), matched_rules(language, line, fold(line), rules).alias("rule_nos"))
-
-    hits = F.filter(F.transform("lines", build), lambda h: F.size(h.rule_nos) > 0)
-    rows = files.select("repo_id", "path", F.explode_outer(hits).alias("h")).filter(F.col("h.line_no").isNotNull())
+    files = prepare(src_files, rules).select("repo_id", "path", F.explode_outer(rule_hits(rules)).alias("h"))
+    rows = files.filter(F.col("h.line_no").isNotNull())
     rows = rows.select("repo_id", "path", "h.line_no", "h.line", F.explode("h.rule_nos").alias("rule_no"))
     fields = ["rule_id", "vector_id", "vector_name", "category_name", "cwe", "owasp", "severity"]
     return rows.select("*", *[rule_column(rules, F.col("rule_no"), f).alias(f) for f in fields])

@@ -11,38 +11,22 @@ from codesieve.fixed import texts
 from codesieve.fixed import weak_hash as fixed
 from codesieve.functions.identity import finding_id, input_order
 from codesieve.functions.severity import crypto_confidence, crypto_severity
-from codesieve.functions.text import any_of, has_any, matches, one_of, strip
-from codesieve.operators.scan import candidate_lines, context_window, matched_rules, prepare, rule_column
+from codesieve.functions.text import any_of, matches, one_of, strip
+from codesieve.operators.scan import context_window, prepare, rule_column, rule_hits
 from codesieve.sources.rules import CONFIG, WEAK_HASH, rule_rows
 
 PHASE = 0
 
 
 def find_weak_hash(src_files: DataFrame, rules=None) -> DataFrame:
-    """One row per (line, rule) hit, with the lines around it.
-
-    The fixed rules all need "md5" or "sha" in the line, so that is tested
-    first; a user's own rules carry no such promise and are tried on each line.
-    """
-    own = rules is not None
-    rules = rule_rows(rules) if own else WEAK_HASH + CONFIG
-    gates = None if own else fixed.WEAK_HASH_GATES
-    files = prepare(src_files, gates)
-    keep = (lambda folded: has_any(folded, gates)) if gates else (lambda folded: F.lit(True))
-    language, lines = F.col("language"), F.col("lines")
-
-    def hit(line, line_no):
-        from codesieve.functions.text import fold
-        return F.struct(
-            line_no.alias("line_no"), line.alias("line"), matched_rules(language, line, fold(line), rules).alias("rule_nos")
-        )
-
-    found = files.withColumn("hits", F.filter(candidate_lines(lines, keep, hit), lambda h: F.size(h.rule_nos) > 0))
+    """One row per (line, rule) hit, with the lines around it."""
+    rules = WEAK_HASH + CONFIG if rules is None else rule_rows(rules)
+    found = prepare(src_files, rules).withColumn("hits", rule_hits(rules))
     with_context = found.select(
         "repo_id", "path", "language",
         F.explode_outer(F.transform("hits", lambda h: F.struct(
             h.line_no.alias("line_no"), h.line.alias("line"), h.rule_nos.alias("rule_nos"),
-            context_window(lines, h.line_no).alias("context")))).alias("h"),
+            context_window(F.col("lines"), h.line_no).alias("context")))).alias("h"),
     )
     rows = with_context.filter(F.col("h.line_no").isNotNull()).select(
         "repo_id", "path", "language", "h.line_no", "h.line", "h.context", F.explode("h.rule_nos").alias("rule_no"))

@@ -14,14 +14,12 @@ from pyspark.sql import functions as F
 from codesieve.fixed import texts
 from codesieve.fixed import xpath as fixed
 from codesieve.functions.identity import finding_id, input_order
-from codesieve.functions.text import any_of, first_line_of, fold, java_regex, matches, strip
-from codesieve.operators.scan import matched_rules, prepare, rule_column
+from codesieve.functions.text import any_of, first_line_of, java_regex, matches, strip
+from codesieve.operators.scan import matched_rules, prepare, rule_column, sql_matches
 from codesieve.sources.rules import XPATH, rule_rows
 
 LOOK_AHEAD = 5
 CALLS, STRINGS = 1, 2
-# Every query literal holds one of these.
-LITERAL_GATES = ["//", "[@", "@"]
 
 
 def _variable(line: Column) -> Column:
@@ -61,24 +59,14 @@ def _user_source(index: Column, line: Column, first_texts: Column) -> Column:
 
 def _candidates(files: DataFrame, rules: list) -> DataFrame:
     """Per file, the lines that match a call rule or hold a concatenated query literal."""
-    language = F.col("language")
-
-    def build(line, i):
-        literal = has_literal(line)
-        concat = matches(line, any_of(fixed.CONCATENATION))
-        return F.struct(
-            (i + 1).cast("int").alias("line_no"),
-            line.alias("line"),
-            matched_rules(language, line, fold(line), rules).alias("rule_nos"),
-            F.when(literal & concat, True).otherwise(False).alias("is_string"),
-        )
-
-    def has_literal(line):
-        gated = line.contains("//") | line.contains("@")
-        return gated & matches(line, any_of(fixed.QUERY_LITERALS), False)
-
-    found = F.filter(F.transform("lines", build), lambda c: (F.size(c.rule_nos) > 0) | c.is_string)
-    return files.withColumn("found", found)
+    line = "get(lines, i)"
+    literal = (f"(contains(low, '//') or contains(low, '@')) and {sql_matches(line, any_of(fixed.QUERY_LITERALS), False)} "
+               f"and {sql_matches(line, any_of(fixed.CONCATENATION))}")
+    entry = (f"named_struct('line_no', i + 1, 'line', {line}, 'rule_nos', "
+             f"if(size(live) > 0, {matched_rules(rules)}, live), 'is_string', {literal})")
+    possible = "size(live) > 0 or contains(folded, '//') or contains(folded, '@')"
+    found = f"filter(transform(lows, (low, i) -> {entry}), c -> size(c.rule_nos) > 0 or c.is_string)"
+    return files.withColumn("found", F.expr(f"if({possible}, {found}, null)"))
 
 
 def _events(files: DataFrame) -> DataFrame:
@@ -96,9 +84,9 @@ def _events(files: DataFrame) -> DataFrame:
     files = files.select(
         "repo_id", "path", "lines",
         F.when(some, shown).alias("found"),
-        F.when(some, F.array(*[first_line_of(folded, p) for p in fixed.USER_INPUT])).alias("user_lines"),
+        F.when(some, F.expr(f"array({', '.join(first_line_of('folded', p) for p in fixed.USER_INPUT)})")).alias("user_lines"),
         F.when(some, F.array(*[F.regexp_extract(folded, java_regex(p), 0) for p in variable])).alias("user_texts"),
-        F.when(some, first_line_of(folded, any_of(fixed.SANITISERS))).alias("safe_line"),
+        F.when(some, F.expr(first_line_of("folded", any_of(fixed.SANITISERS)))).alias("safe_line"),
     )
     numbers = F.array(*[F.lit(i) for i in range(1, len(fixed.USER_INPUT) + 1)])
 
@@ -153,8 +141,7 @@ def find_xpath_lines(src_files: DataFrame, rules=None) -> DataFrame:
     (file, variable).
     """
     rules = XPATH if rules is None else rule_rows(rules)
-    files = prepare(src_files).withColumn("folded", fold(F.col("content"))).drop("content")
-    events = _events(_candidates(files, rules))
+    events = _events(_candidates(prepare(src_files, rules), rules))
     upto = Window.partitionBy("repo_id", "path", "var").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     events = events.withColumn("last_assignment", F.when(F.col("var").isNotNull(), F.last("kind", ignorenulls=True).over(upto)))
     return events.filter(F.col("rule_nos").isNotNull()).drop("kind", "at")

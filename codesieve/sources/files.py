@@ -53,6 +53,12 @@ def scan_context_files(src_files: DataFrame) -> DataFrame:
     return src_files.filter(is_context_file(F.col("path")))
 
 
+def spread(src_files: DataFrame, parts: int | None = None) -> DataFrame:
+    """Give a small input, read as fewer pieces than there are cores, to all cores; larger inputs stay as they are."""
+    parts = parts or src_files.sparkSession.sparkContext.defaultParallelism
+    return src_files.repartition(parts) if src_files.rdd.getNumPartitions() < parts else src_files
+
+
 def drop_blank_files(src_files: DataFrame) -> DataFrame:
     return src_files.filter(F.col("content").rlike(r"(?U)\S"))
 

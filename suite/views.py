@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codesieve.sources.files import spread
 from suite import idioms
 
 
@@ -32,14 +33,14 @@ def _path(doc_id: Column) -> Column:
 
 
 def src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    doc = table(spark, sf_dir, "documents")
+    doc = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     idiom = _pick(idioms.IDIOMS, F.col("doc_id") % len(idioms.IDIOMS))
     content = F.concat_ws("\n", F.col("text"), idiom, F.split("text", "\n")[0])
     return doc.select(F.col("source").alias("repo_id"), _path(F.col("doc_id")).alias("path"), content.alias("content"))
 
 
 def html_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = table(spark, sf_dir, "pages")
+    page = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
     return page.select(F.lit("web").alias("repo_id"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("content"))
 
 
