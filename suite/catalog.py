@@ -1,4 +1,4 @@
 """All queries, in one place."""
 
-from suite import queries_findings, queries_scan  # noqa: F401
+from suite import queries_findings, queries_profile, queries_scan  # noqa: F401
 from suite.registry import ORACLES, QUERIES  # noqa: F401

@@ -58,7 +58,7 @@ lines AS (
 _TYPES = {i: case([(f"p_type = {lit(r[0])}", lit(r[i])) for r in idioms.CATEGORIES]) for i in (1, 2, 3)}
 _NUMBER = number("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "CAST(round(l_extendedprice * 100) AS BIGINT)")
 FINDINGS = f"""findings AS (
-  SELECT 'repo' || l_suppkey AS repo_id, 'F-' || {_NUMBER} AS id,
+  SELECT 'repo' || l_suppkey || '-' || (l_partkey % 8) AS repo_id, 'F-' || {_NUMBER} AS id,
          {case([(f"l_returnflag = '{a}' AND l_linestatus = '{b}'", lit(s)) for a, b, s in idioms.SEVERITIES], "'UNRATED'")} AS severity,
          {_TYPES[1]} AS category, {_TYPES[2]} AS cwe, {_TYPES[3]} AS owasp,
          {pick(idioms.DIRECTORIES, f'l_partkey % {len(idioms.DIRECTORIES)}')} || '/' || CASE WHEN l_partkey % 9 = 0 THEN 'test_' ELSE '' END || 'part_' ||

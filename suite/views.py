@@ -72,7 +72,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(idioms.DIRECTORIES, F.col("l_partkey") % len(idioms.DIRECTORIES)), F.lit("/"), F.when(F.col("l_partkey") % 9 == 0, "test_").otherwise(""),
         F.lit("part_"), (F.col("l_partkey") % 40).cast("string"), F.lit(".py"))
     return line.select(
-        F.concat(F.lit("repo"), F.col("l_suppkey").cast("string")).alias("repo_id"),
+        F.concat(F.lit("repo"), F.col("l_suppkey").cast("string"), F.lit("-"), (F.col("l_partkey") % 8).cast("string")).alias("repo_id"),
         F.concat(F.lit("F-"), number.cast("string")).alias("id"),
         flags.otherwise("UNRATED").alias("severity"),
         by_type(1).alias("category"), by_type(2).alias("cwe"), by_type(3).alias("owasp"),
