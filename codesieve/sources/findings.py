@@ -31,7 +31,12 @@ def read_envelopes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     Every provenance column stays on each row; a run without findings gives no row (see `envelope_runs`).
     """
-    docs = _documents(spark, paths)
+    return envelope_findings(read_documents(spark, paths))
+
+
+def envelope_findings(documents: DataFrame) -> DataFrame:
+    """The same of envelopes held as text."""
+    docs = _parsed(documents)
     rows = docs.select(*_PROVENANCE, F.explode("findings").alias("f")).select(
         "f.file", F.col("f.line").cast("string").alias("line"), F.col("f.cwe").cast("string").alias("cwe"), "f.severity", "f.rule_id", *_PROVENANCE)
     return make_norm_finding(rows)
@@ -39,15 +44,15 @@ def read_envelopes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def envelope_runs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per envelope, with or without findings."""
-    return _documents(spark, paths).select(*_PROVENANCE, F.size("findings").alias("finding_count"))
+    return _parsed(read_documents(spark, paths)).select(*_PROVENANCE, F.size("findings").alias("finding_count"))
 
 
 _PROVENANCE = ["run_id", "tool", "tool_version", "config", "edition", "target_root", "invocation", "timestamp", "dry_run"]
 _LOOSE = "array<struct<file: string, line: string, cwe: string, severity: string, rule_id: string>>"
 
 
-def _documents(spark: SparkSession, paths) -> DataFrame:
-    text = spark.read.format("text").option("wholetext", "true").load(paths).select("value", F.col("_metadata.file_path").alias("run_id"))
+def _parsed(documents: DataFrame) -> DataFrame:
+    text = documents.select("value", F.col("document").alias("run_id"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.ENVELOPE if f.name not in ("findings", "finding_count"))
     envelope = F.from_json("value", f"{fields}, findings {_LOOSE}")
     bare = F.col("value").rlike(r"^\s*\[")
@@ -57,29 +62,60 @@ def _documents(spark: SparkSession, paths) -> DataFrame:
         F.coalesce("e.findings", "items", F.array().cast(_LOOSE)).alias("findings"))
 
 
-def read_semgrep_json(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
-    """Normalised findings of a Semgrep result; its CWE is a text or a list of texts."""
-    results = spark.read.schema(schemas.SEMGREP).json(path, multiLine=True).select(F.explode("results").alias("r"))
+def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Whole files as (document, value) rows."""
+    return spark.read.format("text").option("wholetext", "true").load(paths).select(F.col("_metadata.file_path").alias("document"), "value")
+
+
+def findings_of_documents(documents: DataFrame) -> DataFrame:
+    """Findings of JSON arrays held as text (columns document and value), with the defaults of missing fields."""
+    items = F.from_json("value", T.ArrayType(schemas.FINDING_JSON))
+    rows = documents.select("document", F.posexplode(items).alias("pos", "f")).filter(F.col("f").isNotNull())
+    values = {c: F.coalesce(F.col(f"f.{c}"), F.lit(d)) for c, d in TEXT_DEFAULTS.items()}
+    values["references"] = F.coalesce("f.references", F.array().cast("array<string>"))
+    values.update(repo_id=F.col("document"), origin=F.lit("file"), ord=F.col("pos").cast("bigint"))
+    return rows.select(*[values.get(c, F.col(f"f.{c}")).alias(c) for c in schemas.FINDING_COLUMNS])
+
+
+def semgrep_findings(documents: DataFrame, root: str | None = None) -> DataFrame:
+    """Normalised findings of Semgrep results held as text; their CWE is a text or a list of texts."""
+    results = documents.select("document", F.explode(F.from_json("value", schemas.SEMGREP)["results"]).alias("r"))
     cwe = F.col("r.extra.metadata.cwe")
     # A list arrives as its JSON text.
     first = F.when(cwe.startswith("["), parse_cwe_list(F.from_json(cwe, "array<string>"))).otherwise(parse_cwe(cwe))
     return make_norm_finding(results.select(
         rel_path(F.coalesce("r.path", F.lit("")), root).alias("file"), F.col("r.start.line").alias("line"), first.alias("cwe"),
-        F.col("r.extra.severity").alias("severity"), F.col("r.check_id").alias("rule_id")))
+        F.col("r.extra.severity").alias("severity"), F.col("r.check_id").alias("rule_id"), "document"))
 
 
-def read_sarif(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
-    """Normalised findings of a SARIF log, one per location; the rule's tags give the CWE."""
-    runs = spark.read.schema(schemas.SARIF).json(path, multiLine=True).select(
-        F.col("_metadata.file_path").alias("log"), F.posexplode("runs").alias("run_no", "run"))
-    tags = F.filter(F.col("rule.properties.tags"), lambda t: F.lower(t).contains("cwe"))
+def read_semgrep_json(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
+    return semgrep_findings(read_documents(spark, path), root)
+
+
+def sarif_findings(documents: DataFrame, root: str | None = None) -> DataFrame:
+    """Normalised findings of SARIF logs held as text, one per location; the rule's tags give the CWE.
+
+    A run's rules are looked up inside the run, so nothing is shuffled.
+    """
+    runs = documents.select("document", F.explode(F.from_json("value", schemas.SARIF)["runs"]).alias("run"))
+
+    def cwe_of(rule):
+        return parse_cwe_list(F.filter(rule.properties.tags, lambda t: F.lower(t).contains("cwe")))
+
     # A rule that is listed twice counts as its last listing.
-    rules = runs.select("log", "run_no", F.posexplode("run.tool.driver.rules").alias("pos", "rule")).groupBy(
-        "log", "run_no", F.col("rule.id").alias("rule_id")).agg(F.max_by(parse_cwe_list(tags), "pos").alias("cwe"))
-    results = runs.select("log", "run_no", F.explode("run.results").alias("res"))
+    rules = F.filter("run.tool.driver.rules", lambda r: r.id.isNotNull())
+    known = F.map_from_arrays(F.array_distinct(F.transform(rules, lambda r: r.id)), F.transform(
+        F.array_distinct(F.transform(rules, lambda r: r.id)),
+        lambda rule_id: cwe_of(F.element_at(F.filter(rules, lambda r: r.id == rule_id), -1))))
+    results = runs.select("document", known.alias("known"), F.explode("run.results").alias("res"))
     severity = F.coalesce(F.nullif(F.col("res.properties.severity"), F.lit("")), F.col("res.level"), F.lit("warning"))
-    rows = results.select("log", "run_no", F.col("res.ruleId").alias("rule_id"), severity.alias("severity"), F.explode("res.locations").alias("loc"))
-    found = rows.join(rules, ["log", "run_no", "rule_id"], "left")
-    return make_norm_finding(found.select(
+    rule_id = F.col("res.ruleId")
+    cwe = F.when(rule_id.isNotNull(), F.try_element_at("known", rule_id))
+    rows = results.select("document", cwe.alias("cwe"), rule_id.alias("rule_id"), severity.alias("severity"), F.explode("res.locations").alias("loc"))
+    return make_norm_finding(rows.select(
         rel_path(F.coalesce("loc.physicalLocation.artifactLocation.uri", F.lit("")), root).alias("file"),
-        F.col("loc.physicalLocation.region.startLine").alias("line"), "cwe", "severity", "rule_id"))
+        F.col("loc.physicalLocation.region.startLine").alias("line"), "cwe", "severity", "rule_id", "document"))
+
+
+def read_sarif(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
+    return sarif_findings(read_documents(spark, path), root)

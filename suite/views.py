@@ -155,3 +155,54 @@ def file_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = table(spark, sf_dir, "documents")
     return doc.select(F.floor(F.col("doc_id") / 5).cast("bigint").alias("batch_id"), _path(F.col("doc_id")).alias("path"),
                       (F.col("doc_id") % 3).alias("findings"), (F.col("n_chars") / 1000).alias("seconds"), F.lit(None).cast("string").alias("error"))
+
+
+def _text(*parts) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def scanner_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One Semgrep result, one SARIF log and one findings file as JSON text per event."""
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
+    k, kind = F.coalesce("k", F.lit("0")), F.col("event_type")
+    cwe = F.when(F.col("event_id") % 3 == 0, _text('["none","CWE-', k, ': text"]')).when(F.col("event_id") % 3 == 1, _text('"CWE-', k, '"')).otherwise("null")
+    semgrep = _text('{"results":[{"path":"/srv/app/src/', kind, '_', k, '.py","check_id":"rule.', kind, '","start":{"line":', k,
+                    '},"extra":{"severity":"error","metadata":{"cwe":', cwe, '}}},{"path":"/else/x.py","start":{"line":1},"extra":{}}]}')
+    level = F.when(F.col("event_id") % 2 == 0, ',"level":"error"').otherwise("")
+    sarif = _text('{"runs":[{"tool":{"driver":{"rules":[{"id":"r1","properties":{"tags":["security","external/cwe/cwe-0', k,
+                  '"]}},{"id":"r2","properties":{"tags":["cwe-none","other-7"]}}]}},"results":[{"ruleId":"r1"', level,
+                  ',"locations":[{"physicalLocation":{"artifactLocation":{"uri":"src/', kind, '.js"},"region":{"startLine":', k,
+                  '}}},{"physicalLocation":{"artifactLocation":{"uri":"src/b.js"}}}]},{"ruleId":"r2","properties":{"severity":"note"},"locations":[',
+                  '{"physicalLocation":{"artifactLocation":{"uri":"/srv/app/c.js"},"region":{"startLine":3}}}]}]}]}')
+    found = _text('[{"id":"X', F.col("event_id"), '","severity":"HIGH","category":"XSS","file":"', kind, '.py","line":', k, ',"cvss_score":7.5},{"file":"plain.py"}]')
+    envelope = F.when(F.col("event_id") % 5 == 0, _text('[{"file":"', kind, '.py","line":', k, ',"cwe":', k, ',"severity":"low"}]')).otherwise(
+        _text('{"tool":"t-', kind, '","dry_run":true,"findings":[{"file":"', kind, '.py","line":null,"cwe":', k, ',"severity":"high","rule_id":"q"}]}'))
+    return ev.select(F.col("event_id").cast("string").alias("document"), semgrep.alias("semgrep"), sarif.alias("sarif"), found.alias("findings"), envelope.alias("envelope"))
+
+
+def expected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected-result rows of the documents whose idiom has a known category."""
+    from codesieve.fixed.models import CATEGORY_CWE
+    doc = table(spark, sf_dir, "documents")
+    place = F.col("doc_id") % len(CATEGORY_CWE)
+    return doc.select(_text("Case", F.col("doc_id")).alias("test_name"), _pick([c for c, _ in CATEGORY_CWE], place).alias("category"),
+                      F.when(F.col("doc_id") % 3 == 0, "True").otherwise("false").alias("real_vulnerability"), _pick([n for _, n in CATEGORY_CWE], place).alias("cwe"))
+
+
+def labelled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = table(spark, sf_dir, "documents")
+    return doc.select(_text("CWE-0", F.col("doc_id") % 90 + 10, "_author_", F.col("doc_id"), ".py").alias("ID"))
+
+
+def labelled_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = table(spark, sf_dir, "documents").filter(F.col("doc_id") % 7 != 0)
+    return doc.select(_text("Testcases_Insecure_Code/CWE-0", F.col("doc_id") % 90 + 10, "/author_", F.col("doc_id"), ".py").alias("path"))
+
+
+def commented_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files that open with a label comment."""
+    cwe = F.col("doc_id") % 900
+    bad = _text("# VULNERABILITY: Kind ", F.col("doc_id") % 5, "\n# SEVERITY: HIGH\n# CWE: CWE-", cwe, "\n# DESCRIPTION: text ", F.col("doc_id"), "\n\n")
+    good = _text("# SECURE CODE: Kind ", F.col("doc_id") % 5, "\n# PATTERN: safe\n\n")
+    head = F.when(F.col("doc_id") % 3 == 0, bad).when(F.col("doc_id") % 3 == 1, good).otherwise("")
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("repo_id"), _path(F.col("doc_id")).alias("path"), F.concat(head, F.col("text")).alias("content"))
