@@ -58,48 +58,63 @@ def has_any(col: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [col.contains(w) for w in words])
 
 
+def _class_end(pattern: str, i: int) -> int:
+    """Position after the character class that opens at i."""
+    i += 1
+    while pattern[i] != "]":
+        i += 2 if pattern[i] == "\\" else 1
+    return i + 1
+
+
+def _group_end(pattern: str, i: int) -> int:
+    """Position after the group that opens at i."""
+    depth = 0
+    while True:
+        ch = pattern[i]
+        if ch == "\\":
+            i += 2
+            continue
+        if ch == "[":
+            i = _class_end(pattern, i)
+            continue
+        depth += (ch == "(") - (ch == ")")
+        i += 1
+        if depth == 0:
+            return i
+
+
 def required_literal(pattern: str) -> str:
     """The longest run of plain characters every match of the pattern must hold, lower-cased; '' if none is sure.
 
     Used as a cheap `contains` test before the regular expression runs.
     """
     runs, run, i = [], "", 0
-    if "|" in pattern:
-        return ""
     while i < len(pattern):
-        ch = pattern[i]
-        if ch == "\\" and i + 1 < len(pattern) and not pattern[i + 1].isalnum():
-            token, i = pattern[i + 1], i + 2
-        elif ch == "\\":
-            token, i = None, i + 2
+        ch, token = pattern[i], None
+        if ch == "|":
+            return ""
+        if ch == "\\":
+            escaped = pattern[i + 1]
+            token, i = (None if escaped.isalnum() else escaped), i + 2
         elif ch == "[":
-            j = i + 1
-            while pattern[j] != "]":
-                j += 2 if pattern[j] == "\\" else 1
-            token, i = None, j + 1
+            i = _class_end(pattern, i)
         elif ch == "(":
-            return ""
-        elif ch == "{" and not _QUANTIFIER.match(pattern, i):
-            token, i = ch, i + 1
-        elif ch in ".^$*+?)":
-            token, i = None, i + 1
+            i = _group_end(pattern, i)
+        elif ch in ".^$" or (ch == "{" and _QUANTIFIER.match(pattern, i)):
+            i = pattern.index("}", i) + 1 if ch == "{" else i + 1
         else:
             token, i = ch, i + 1
+        repeat = _QUANTIFIER.match(pattern, i)
         following = pattern[i:i + 1]
-        repeated = following in ("*", "?") or (following == "{" and _QUANTIFIER.match(pattern, i))
-        if token is None or repeated:
-            runs.append(run)
-            run = ""
-            if repeated:
-                i = pattern.index("}", i) + 1 if following == "{" else i + 1
-            continue
-        run += token
-        if following == "+":
+        if following in ("*", "?") and following or repeat:
+            token, i = None, (repeat.end() if repeat else i + 1)
+        if token is not None:
+            run += token
+        if token is None or following == "+":
             runs.append(run)
             run = ""
-            i += 1
-    runs.append(run)
-    best = max(runs, key=len).lower()
+            i += following == "+"
+    best = max([*runs, run], key=len).lower()
     return best if len(best) > 1 else ""
 
 
@@ -128,6 +143,20 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def sql_matches(text: str, pattern: str, ignore_case: bool = True) -> str:
+    return f"rlike({text}, {quoted(java_regex(pattern, ignore_case))})"
+
+
+def sql_found(patterns: list[str], ignore_case: bool = True, text: str = "content", folded: str = "folded") -> str:
+    """SQL that is true if one of the patterns matches, each behind a test for its plain text in the folded column."""
+    tests = []
+    for p in patterns:
+        literal = required_literal(p)
+        test = sql_matches(text, p, ignore_case)
+        tests.append(f"(contains({folded}, {quoted(literal)}) and {test})" if literal else test)
+    return f"({' or '.join(tests)})"
+
+
 def first_line_of(column: str, pattern: str) -> str:
     """SQL for the 1-based number of the first line where the pattern matches, null if it never does."""
     parts = f"array(split({column}, {quoted(java_regex(pattern))}, 2))"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codesieve.fixed import texts
 from codesieve.functions.text import has_any
 from codesieve.operators.ranking import rank_within
+from codesieve.session import cut_lineage
 
 # Pairs are built in squares of this side, so that no task holds a scope's whole list.
 BLOCK = 1000
@@ -35,8 +36,12 @@ def chain_roles(findings: DataFrame, scope: str = "repo_id") -> DataFrame:
 
 def chain_counts(findings: DataFrame, scope: str = "repo_id") -> DataFrame:
     """Number of chains by scope and pattern, and where each pattern's numbering starts. Linear in the findings."""
+    return _counts(chain_roles(findings, scope), scope)
+
+
+def _counts(roles: DataFrame, scope: str) -> DataFrame:
     n = lambda p, s: F.count_if((F.col("pattern") == p) & (F.col("side") == s))
-    sides = chain_roles(findings, scope).groupBy(scope).agg(
+    sides = roles.groupBy(scope).agg(
         n(1, "L").alias("l1"), n(1, "R").alias("r1"), n(2, "L").alias("l2"), n(2, "R").alias("r2"), n(3, "L").alias("l3"), n(4, "L").alias("l4"))
     one = F.lit(1).cast("bigint")
     rows = F.array(*[F.struct(F.lit(p).alias("pattern"), left.alias("n_left"), right.alias("n_right")) for p, left, right in (
@@ -55,10 +60,12 @@ def attack_chains(findings: DataFrame, scope: str = "repo_id", first: int | None
 
     A chain's number follows from the positions of its two findings, so the
     list itself is never sorted.  `first` keeps the first chains of each scope
-    and never builds the others.
+    and never builds the others.  The parts the findings play, a few narrow
+    columns, are written out once, as they are read several times.
     """
-    counts = chain_counts(findings, scope).filter(F.col("n_chains") > 0)
-    ranked = rank_within(chain_roles(findings, scope), [scope, "pattern", "side"], "ord", ("id",))
+    roles = cut_lineage(chain_roles(findings, scope))
+    counts = _counts(roles, scope).filter(F.col("n_chains") > 0)
+    ranked = rank_within(roles, [scope, "pattern", "side"], "ord", ("id",))
     if first:
         ranked = ranked.filter(F.col("position") <= first)
     parts = ranked.join(counts, [scope, "pattern"])

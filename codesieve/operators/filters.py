@@ -55,9 +55,13 @@ def _text(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+# Columns that the conditions read in lower case; they are folded once per row.
+LOWERED = ["category", "description", "code_snippet", "file"]
+
+
 def context_conditions(flag) -> list[tuple[str, Column]]:
     """(reason, condition) in the order they are tried; `flag(name)` gives a security rule of the repository."""
-    c, t, n, f = (F.lower(_text(x)) for x in ("category", "description", "code_snippet", "file"))
+    c, t, n, f = (F.col(f"_low_{x}") for x in LOWERED)
     client = ~flag("check_client_side_auth")
     relaxed = ~flag("deserialization_strict")
     mocks = ~flag("flag_mock_without_auth")
@@ -88,7 +92,7 @@ def context_conditions(flag) -> list[tuple[str, Column]]:
 
 def test_file_conditions(flag) -> list[tuple[str, Column]]:
     in_test = is_test_file(_text("file"))
-    fixture = F.lower(_text("description")).contains("hardcoded") | F.lower(_text("code_snippet")).contains("test")
+    fixture = F.col("_low_description").contains("hardcoded") | F.col("_low_code_snippet").contains("test")
     return [
         ("test_low_severity", in_test & F.col("severity").isin("LOW", "INFO")),
         ("test_fixture", in_test & ~flag("flag_hardcoded_keys_in_tests") & fixture),
@@ -109,7 +113,8 @@ def _first_reason(conditions: list[tuple[str, Column]]) -> Column:
 
 def _keep(findings: DataFrame, repo_profile, conditions, explain: bool = False) -> DataFrame:
     joined, flag = _with_flags(findings, repo_profile)
-    reasoned = joined.withColumn("drop_reason", _first_reason(conditions(flag))).drop("_rules")
+    folded = joined.withColumns({f"_low_{x}": F.lower(_text(x)) for x in LOWERED})
+    reasoned = folded.withColumn("drop_reason", _first_reason(conditions(flag))).drop("_rules", *[f"_low_{x}" for x in LOWERED])
     return reasoned if explain else reasoned.filter(F.col("drop_reason").isNull()).drop("drop_reason")
 
 

@@ -6,21 +6,19 @@ as a few bits, so no source text is ever shuffled.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesieve.fixed import profile as fixed
-from codesieve.functions.text import any_of, has_any, java_regex, matches, strip
+from codesieve.functions.text import fold, has_any, java_regex, quoted, sql_found, strip
 from codesieve.sources.files import scan_context_files
 
 _SIGNS = [(kind, p) for kind, patterns in fixed.TYPE_SIGNS for p in patterns]
 
 
-def _bits(tests: list[Column]) -> Column:
-    """Booleans as the bits of a whole number, the first one lowest."""
-    return reduce(lambda a, b: a + b, [F.when(t, F.lit(1 << i)).otherwise(0).cast("bigint") for i, t in enumerate(tests)])
+def _bits(tests: list[str]) -> Column:
+    """SQL conditions as the bits of a whole number, the first one lowest."""
+    return F.expr(" + ".join(f"if({t}, {1 << i}L, 0L)" for i, t in enumerate(tests)))
 
 
 def _bit(value: Column, i: int) -> Column:
@@ -29,21 +27,23 @@ def _bit(value: Column, i: int) -> Column:
 
 def file_flags(ctx_files: DataFrame) -> DataFrame:
     """Per file, as bits: framework signs, type signs, route and client signs, and the same for its path."""
-    text, path = F.col("content"), F.col("path")
-    frameworks = [matches(text, any_of(p)) for _, p in fixed.FRAMEWORKS]
-    kinds = [matches(text, p) for _, p in _SIGNS]
-    moves = [matches(text, fixed.ROUTE_SIGN, False), matches(text, fixed.CLIENT_SIGN, False)]
-    calls = sum((matches(text, p, False).cast("int") for p in fixed.CLIENT_CALLS), F.lit(0))
-    samples = [matches(text, any_of(fixed.SERVER_ROUTES), False), calls >= 2]
-    path_kinds = [matches(path, p) for _, p in _SIGNS]
-    path_moves = [matches(path, fixed.ROUTE_SIGN, False), matches(path, fixed.CLIENT_SIGN, False)]
-    return ctx_files.select(
+    path = dict(text="path", folded="low_path")
+    frameworks = [sql_found(p) for _, p in fixed.FRAMEWORKS]
+    kinds = [sql_found([p]) for _, p in _SIGNS]
+    moves = [sql_found([p], False) for p in (fixed.ROUTE_SIGN, fixed.CLIENT_SIGN)]
+    calls = " + ".join(f"cast({sql_found([p], False)} as int)" for p in fixed.CLIENT_CALLS)
+    samples = [sql_found(fixed.SERVER_ROUTES, False), f"{calls} >= 2"]
+    path_kinds = [sql_found([p], **path) for _, p in _SIGNS]
+    path_moves = [sql_found([p], False, **path) for p in (fixed.ROUTE_SIGN, fixed.CLIENT_SIGN)]
+    packaged = " or ".join(f"contains(path, {quoted(f)})" for f in fixed.PACKAGING_FILES)
+    files = ctx_files.select("repo_id", "path", "content", fold(F.col("content")).alias("folded"), fold(F.col("path")).alias("low_path"))
+    return files.select(
         "repo_id", "path",
         _bits(frameworks).alias("framework_bits"),
         _bits(kinds + moves).alias("type_bits"),
         _bits(samples).alias("sample_bits"),
-        _bits(path_kinds + path_moves + [has_any(path, fixed.PACKAGING_FILES)]).alias("path_bits"),
-        matches(text, any_of(fixed.AUTH_SIGNS)).alias("has_auth_check"),
+        _bits(path_kinds + path_moves + [packaged]).alias("path_bits"),
+        F.expr(sql_found(fixed.AUTH_SIGNS)).alias("has_auth_check"),
     )
 
 
@@ -121,13 +121,13 @@ def file_context(ctx_files: DataFrame) -> DataFrame:
     pattern = F.lit(java_regex(fixed.IMPORTS, False))
     imports = F.zip_with(F.regexp_extract_all(text, pattern, 1), F.regexp_extract_all(text, pattern, 2),
                          lambda a, b: F.when(a != "", a).otherwise(b))
-    return ctx_files.select(
+    return ctx_files.select("repo_id", "path", "content", fold(text).alias("folded")).select(
         "repo_id", "path", parents.alias("parent_classes"), imports.alias("imports"),
-        matches(text, any_of(fixed.AUTH_SIGNS)).alias("has_auth_check"),
-        matches(text, any_of(fixed.VALIDATION_SIGNS)).alias("has_input_validation"),
+        F.expr(sql_found(fixed.AUTH_SIGNS)).alias("has_auth_check"),
+        F.expr(sql_found(fixed.VALIDATION_SIGNS)).alias("has_input_validation"),
         has_any(low, fixed.TEST_CONTEXT_SIGNS).alias("is_test_file"),
         (low.contains("mock") | text.contains("Mock")).alias("is_mock"),
-        matches(text, fixed.EXPORTED_CALL, False).alias("exports_api"),
+        F.expr(sql_found([fixed.EXPORTED_CALL], False)).alias("exports_api"),
     )
 
 

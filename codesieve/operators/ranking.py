@@ -16,9 +16,9 @@ def rank_within(df: DataFrame, scope: list[str], by: str, ties: tuple[str, ...]
     are numbered inside (scope, bucket), and the sizes of the buckets before
     it, at most BUCKETS per scope, are added up.
     """
-    low, high = df.select(F.min(by)).scalar(), df.select(F.max(by)).scalar()
-    width = (high - low).cast("double") / F.lit(float(BUCKETS)) + 1.0
-    parts = df.withColumn("_bucket", F.floor((F.col(by) - low).cast("double") / width))
+    span = df.select(F.struct(F.min(by).alias("low"), F.max(by).alias("high"))).scalar()
+    width = (span["high"] - span["low"]).cast("double") / F.lit(float(BUCKETS)) + 1.0
+    parts = df.withColumn("_bucket", F.floor((F.col(by) - span["low"]).cast("double") / width))
     inside = Window.partitionBy(*scope, "_bucket").orderBy(by, *ties)
     earlier = Window.partitionBy(*scope).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = parts.groupBy(*scope, "_bucket").agg(F.count(F.lit(1)).alias("_size"))

@@ -17,14 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions.paths import detect_language, normalize_language
-from codesieve.functions.text import fold, java_regex, quoted, required_literal
+from codesieve.functions.text import fold, quoted, required_literal, sql_matches
 from codesieve.sources.files import drop_blank_files
 
 
-def sql_matches(text: str, pattern: str, ignore_case: bool = True) -> str:
-    return f"rlike({text}, {quoted(java_regex(pattern, ignore_case))})"
-
-
 def prepare(src_files: DataFrame, rules: list) -> DataFrame:
     """Files with their rule-set language, lines, folded lines and the numbers of the rules that can match."""
     files = drop_blank_files(src_files).select(

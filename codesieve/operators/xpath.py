@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from codesieve.fixed import texts
 from codesieve.fixed import xpath as fixed
 from codesieve.functions.identity import finding_id, input_order
-from codesieve.functions.text import any_of, first_line_of, java_regex, matches, strip
-from codesieve.operators.scan import matched_rules, prepare, rule_column, sql_matches
+from codesieve.functions.text import any_of, first_line_of, java_regex, matches, sql_matches, strip
+from codesieve.operators.scan import matched_rules, prepare, rule_column
 from codesieve.sources.rules import XPATH, rule_rows
 
 LOOK_AHEAD = 5

@@ -35,4 +35,4 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="codesieve-"))
-    return df.checkpoint(eager=False)
+    return df.checkpoint()

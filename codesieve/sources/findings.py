@@ -99,15 +99,12 @@ def sarif_findings(documents: DataFrame, root: str | None = None) -> DataFrame:
     """
     runs = documents.select("document", F.explode(F.from_json("value", schemas.SARIF)["runs"]).alias("run"))
 
-    def cwe_of(rule):
-        return parse_cwe_list(F.filter(rule.properties.tags, lambda t: F.lower(t).contains("cwe")))
-
-    # A rule that is listed twice counts as its last listing.
-    rules = F.filter("run.tool.driver.rules", lambda r: r.id.isNotNull())
-    known = F.map_from_arrays(F.array_distinct(F.transform(rules, lambda r: r.id)), F.transform(
-        F.array_distinct(F.transform(rules, lambda r: r.id)),
-        lambda rule_id: cwe_of(F.element_at(F.filter(rules, lambda r: r.id == rule_id), -1))))
-    results = runs.select("document", known.alias("known"), F.explode("run.results").alias("res"))
+    # A rule that is listed twice counts as its last listing: sorted by id and falling position, the first of each id stays.
+    cwe_of = F.transform("run.tool.driver.rules", lambda r: parse_cwe_list(F.filter(r.properties.tags, lambda t: F.lower(t).contains("cwe"))))
+    rules = runs.withColumn("cwes", cwe_of).withColumn("ordered", F.expr(
+        "array_sort(filter(transform(run.tool.driver.rules, (r, i) -> named_struct('id', r.id, 'place', -i, 'cwe', cwes[i])), r -> r.id is not null))"))
+    known = F.expr("map_from_entries(transform(filter(ordered, (r, i) -> i = 0 or ordered[i - 1].id <> r.id), r -> struct(r.id, r.cwe)))")
+    results = rules.select("document", known.alias("known"), F.explode("run.results").alias("res"))
     severity = F.coalesce(F.nullif(F.col("res.properties.severity"), F.lit("")), F.col("res.level"), F.lit("warning"))
     rule_id = F.col("res.ruleId")
     cwe = F.when(rule_id.isNotNull(), F.try_element_at("known", rule_id))

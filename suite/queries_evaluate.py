@@ -8,9 +8,9 @@ from codesieve.fixed import models, texts
 from codesieve.functions.paths import norm_path, rel_path
 from codesieve.operators import evaluate, merge, model_io, sample
 from codesieve.operators.weak_hash import hash_findings, scan_weak_hash
-from codesieve.operators.findings import scan_specialized
+from codesieve.plans.score import score_engine
 from codesieve.sources import files, findings, labels
-from suite import idioms, views
+from suite import views
 from suite import oracle_scan as o
 from suite.oracle_views import (CHAT_ENVELOPES, GROUND_TRUTH, MODEL_RESPONSES, NORM_FINDINGS, PATH, SRC_FILES, USAGE_LOG, case, lit, pick)
 from suite.registry import register, with_
@@ -80,8 +80,7 @@ register("cwe_distribution", lambda s, d: evaluate.cwe_distribution(views.ground
 
 
 def _engine_score(s, d):
-    found = evaluate.findings_to_norm(scan_specialized(views.src_files(s, d)))
-    return evaluate.score_tool(views.ground_truth(s, d), found).select("granularity", "bucket", "tp", "fp", "fn", "tn")
+    return score_engine(views.src_files(s, d), views.ground_truth(s, d)).select("granularity", "bucket", "tp", "fp", "fn", "tn")
 
 
 _ENGINE = [c for c in o.hash_findings_ctes() + o.xpath_findings_ctes()] + [GROUND_TRUTH, """norm_findings AS (

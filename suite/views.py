@@ -53,7 +53,7 @@ def html_rules(spark: SparkSession) -> DataFrame:
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bulk findings out of the order lines."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    line = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    line = spread(table(spark, sf_dir, "lineitem")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     flags = None
     for flag, status, severity in idioms.SEVERITIES:
         test = (F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status)
@@ -163,7 +163,7 @@ def _text(*parts) -> Column:
 
 def scanner_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One Semgrep result, one SARIF log and one findings file as JSON text per event."""
-    ev = table(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
+    ev = spread(table(spark, sf_dir, "events")).select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
     k, kind = F.coalesce("k", F.lit("0")), F.col("event_type")
     cwe = F.when(F.col("event_id") % 3 == 0, _text('["none","CWE-', k, ': text"]')).when(F.col("event_id") % 3 == 1, _text('"CWE-', k, '"')).otherwise("null")
     semgrep = _text('{"results":[{"path":"/srv/app/src/', kind, '_', k, '.py","check_id":"rule.', kind, '","start":{"line":', k,
