@@ -119,7 +119,7 @@ def parse_chat_envelope(responses: DataFrame) -> DataFrame:
     """Content and tokens of a chat completion; a response without content becomes an error row."""
     doc = F.from_json("response", schemas.CHAT_ENVELOPE)
     keep = [c for c in responses.columns if c != "response"]
-    content = F.col("_d.choices")[0]["message"]["content"]
+    content = F.get("_d.choices", F.lit(0))["message"]["content"]
     return responses.select(*keep, doc.alias("_d")).select(
         *keep, content.alias("raw"), F.when(content.isNotNull(), F.coalesce("_d.usage.total_tokens", F.lit(0))).otherwise(0).alias("total_tokens"),
         F.when(content.isNull(), "Invalid response structure").alias("error"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codesieve import schemas
 from codesieve.functions.cwe import parse_cwe, parse_cwe_list
@@ -17,13 +16,7 @@ TEXT_DEFAULTS = {"id": "UNKNOWN", "severity": "MEDIUM", "category": "Unknown", "
 
 def read_findings_json(spark: SparkSession, path: str, repo_id: str = "") -> DataFrame:
     """Findings of JSON arrays, with the defaults of missing fields; items that are not objects are skipped."""
-    raw = spark.read.schema(T.StructType([*schemas.FINDING_JSON.fields, T.StructField("_bad", T.StringType())])).option(
-        "columnNameOfCorruptRecord", "_bad").json(path, multiLine=True)
-    rows = raw.filter(F.col("_bad").isNull()).withColumn("_n", F.monotonically_increasing_id())
-    values = {c: F.coalesce(F.col(c), F.lit(d)) for c, d in TEXT_DEFAULTS.items()}
-    values["references"] = F.coalesce("references", F.array().cast("array<string>"))
-    values.update(repo_id=F.lit(repo_id), origin=F.lit("file"), ord=F.col("_n"))
-    return rows.select(*[values.get(c, F.col(c)).alias(c) for c in schemas.FINDING_COLUMNS])
+    return findings_of_documents(read_documents(spark, path)).withColumn("repo_id", F.lit(repo_id))
 
 
 def read_envelopes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -69,8 +62,9 @@ def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def findings_of_documents(documents: DataFrame) -> DataFrame:
     """Findings of JSON arrays held as text (columns document and value), with the defaults of missing fields."""
-    items = F.from_json("value", T.ArrayType(schemas.FINDING_JSON))
-    rows = documents.select("document", F.posexplode(items).alias("pos", "f")).filter(F.col("f").isNotNull())
+    # Items are first taken as their JSON text, so that one of another kind does not spoil the array.
+    items = documents.select("document", F.posexplode(F.from_json("value", "array<string>")).alias("pos", "item")).filter(F.col("item").startswith("{"))
+    rows = items.select("document", "pos", F.from_json("item", schemas.FINDING_JSON).alias("f"))
     values = {c: F.coalesce(F.col(f"f.{c}"), F.lit(d)) for c, d in TEXT_DEFAULTS.items()}
     values["references"] = F.coalesce("f.references", F.array().cast("array<string>"))
     values.update(repo_id=F.col("document"), origin=F.lit("file"), ord=F.col("pos").cast("bigint"))
