@@ -147,6 +147,20 @@ def _base_names(contexts: DataFrame) -> DataFrame:
         "repo_id", "path", "pos", base.alias("base"))
 
 
+def _keyed_bases(contexts: DataFrame) -> DataFrame:
+    """Each base name once per repository, with its first letters."""
+    bases = _base_names(contexts).select("repo_id", "base").distinct()
+    return bases.select("repo_id", "base", F.substring("base", 1, GRAM).alias("gram"))
+
+
+def _keyed_files(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Files under every letter run of their path that some base name starts with."""
+    low = F.lower("path")
+    grams = F.concat(F.array(F.lit("")), *[F.coalesce(_grams(low, n), F.array().cast("array<string>")) for n in range(1, GRAM + 1)])
+    rows = files.select("repo_id", F.col("path").alias("parent_path"), low.alias("low_path"), F.explode(grams).alias("gram"))
+    return rows.join(wanted.select("repo_id", "gram").distinct(), ["repo_id", "gram"], "left_semi")
+
+
 def parent_files(contexts: DataFrame) -> DataFrame:
     """(repository, base name, file whose path contains it), each base name looked up once per repository.
 
@@ -154,16 +168,9 @@ def parent_files(contexts: DataFrame) -> DataFrame:
     name with every path: a name and the paths that hold its first letters
     meet in one hash join, and the rest of the name is checked there.
     """
-    bases = _base_names(contexts).select("repo_id", "base").distinct()
-    size = F.least(F.length("base"), F.lit(GRAM))
-    keyed = bases.select("repo_id", "base", F.substring("base", 1, GRAM).alias("gram"), size.alias("gram_size"))
-    low = F.lower("path")
-    grams = F.concat(F.array(F.lit("")), *[F.coalesce(_grams(low, n), F.array().cast("array<string>")) for n in range(1, GRAM + 1)])
-    wanted = keyed.select("repo_id", "gram").distinct()
-    files = contexts.select("repo_id", F.col("path").alias("parent_path"), "has_auth_check", F.explode(grams).alias("gram")).join(
-        wanted, ["repo_id", "gram"], "left_semi")
-    return keyed.join(files, ["repo_id", "gram"]).filter(F.lower("parent_path").contains(F.col("base"))).select(
-        "repo_id", "base", "parent_path", "has_auth_check")
+    bases = _keyed_bases(contexts)
+    pairs = bases.join(_keyed_files(contexts, bases), ["repo_id", "gram"]).filter(F.col("low_path").contains(F.col("base")))
+    return pairs.select("repo_id", "base", "parent_path")
 
 
 def inheritance_edges(contexts: DataFrame) -> DataFrame:
@@ -174,12 +181,16 @@ def inheritance_edges(contexts: DataFrame) -> DataFrame:
 def parent_has_auth(contexts: DataFrame) -> DataFrame:
     """Per file, whether a parent file has authentication checks.
 
-    Names are judged once per repository, so files that share a parent never
-    meet its files one by one.
+    Only files with such checks are looked up, and a name is settled by the
+    first of them: the pairs of files and parents are never built.
     """
-    judged = parent_files(contexts).groupBy("repo_id", "base").agg(F.bool_or("has_auth_check").alias("auth"))
-    found = _base_names(contexts).join(judged, ["repo_id", "base"]).groupBy("repo_id", "path").agg(F.bool_or("auth").alias("parent_has_auth"))
-    return contexts.select("repo_id", "path").join(found, ["repo_id", "path"], "left").select(
+    bases = _keyed_bases(contexts).alias("b")
+    guarded = _keyed_files(contexts.filter("has_auth_check"), _keyed_bases(contexts)).alias("f")
+    same = (F.col("b.repo_id") == F.col("f.repo_id")) & (F.col("b.gram") == F.col("f.gram")) & F.col("f.low_path").contains(F.col("b.base"))
+    settled = bases.join(guarded, same, "left_semi").select("repo_id", "base")
+    found = _base_names(contexts).join(settled, ["repo_id", "base"], "left_semi").select("repo_id", "path").distinct()
+    marked = found.withColumn("parent_has_auth", F.lit(True))
+    return contexts.select("repo_id", "path").join(marked, ["repo_id", "path"], "left").select(
         "repo_id", "path", F.coalesce("parent_has_auth", F.lit(False)).alias("parent_has_auth"))
 
 

@@ -22,17 +22,23 @@ def local_session(cores: str = "8", app: str = "codesieve") -> SparkSession:
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write an intermediate result to the reliable checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in `spark.checkpoint.dir`; a temporary one only where that is unset and Spark runs locally."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    folder = tempfile.mkdtemp(prefix="codesieve-")
+    context.setCheckpointDir(folder)
+    return folder
+
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`; only
-    where that is unset and Spark runs locally is a temporary one used.
-    """
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared folder and go on from there."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="codesieve-"))
+    folder = shared_folder(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()

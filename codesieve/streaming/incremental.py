@@ -30,16 +30,16 @@ def stream_source_files(spark: SparkSession, in_dir: str, repo_id: str = "", max
 def scan_incremental(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, repo_id: str = "", max_files: int | None = None, rules=None):
     """Scan what is new and stop; a second call goes on where the first ended.
 
-    Findings go to `out_dir`/findings, files that cannot be read to
-    `out_dir`/errors, where they are not tried again.  A batch that is repeated
-    after a crash overwrites its own folder, so nothing is written twice.
+    Findings go to `out_dir`/findings; `out_dir`/files lists every file seen,
+    with the error of those that cannot be read, which are not tried again.
+    A batch that is repeated after a crash overwrites its own folder, so
+    nothing is written twice.
     """
     def write(batch: DataFrame, number: int) -> None:
         readable = batch.filter(F.col("content").isNotNull())
         scan_specialized(readable, rules).write.mode("overwrite").parquet(f"{out_dir}/findings/batch={number}")
-        batch.filter(F.col("content").isNull()).select("repo_id", "path", F.lit("not UTF-8").alias("error")).write.mode("overwrite").parquet(
-            f"{out_dir}/errors/batch={number}")
-        batch.select("repo_id", "path").write.mode("overwrite").parquet(f"{out_dir}/done/batch={number}")
+        error = F.when(F.col("content").isNull(), "not UTF-8")
+        batch.select("repo_id", "path", error.alias("error")).write.mode("overwrite").parquet(f"{out_dir}/files/batch={number}")
 
     files = stream_source_files(spark, in_dir, repo_id, max_files)
     query = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

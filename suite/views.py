@@ -33,7 +33,10 @@ def _path(doc_id: Column) -> Column:
 
 
 def src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    doc = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+
+
+def corpus(doc: DataFrame) -> DataFrame:
     idiom = _pick(idioms.IDIOMS, F.col("doc_id") % len(idioms.IDIOMS))
     content = F.concat_ws("\n", F.col("text"), idiom, F.split("text", "\n")[0])
     return doc.select(F.col("source").alias("repo_id"), _path(F.col("doc_id")).alias("path"), content.alias("content"))

@@ -16,7 +16,7 @@ def test_incremental_scan(spark, tmp_path):
     incremental.scan_incremental(spark, str(in_dir), out, check, "r", max_files=2)
     first = spark.read.parquet(f"{out}/findings").drop("batch").collect()
     assert sorted(r.id for r in first) == sorted(r.id for r in scan_specialized(scan_source_files(spark, str(in_dir), "r")).collect())
-    assert [r.path for r in spark.read.parquet(f"{out}/errors").collect()] == ["bad.py"]
+    assert [r.path for r in spark.read.parquet(f"{out}/files").filter("error is not null").collect()] == ["bad.py"]
     incremental.scan_incremental(spark, str(in_dir), out, check, "r")
     assert spark.read.parquet(f"{out}/findings").count() == len(first)
     (in_dir / "new.py").write_text("hashlib.sha1(x)")
