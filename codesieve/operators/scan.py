@@ -21,12 +21,17 @@ from codesieve.functions.text import fold, quoted, required_literal, sql_matches
 from codesieve.sources.files import drop_blank_files
 
 
-def prepare(src_files: DataFrame, rules: list) -> DataFrame:
-    """Files with their rule-set language, lines, folded lines and the numbers of the rules that can match."""
+def prepare(src_files: DataFrame, rules: list, **more: list) -> DataFrame:
+    """Files with their rule-set language, lines, folded lines and, in `live`, the numbers of the rules that can match.
+
+    Further rule sets are narrowed in the same pass, each into a column of its name.
+    """
     files = drop_blank_files(src_files).select(
         "repo_id", "path", "content", normalize_language(detect_language(F.col("path"))).alias("language"), fold(F.col("content")).alias("folded"))
-    return files.select("*", F.expr(live_rules(rules)).alias("live")).select(
-        "repo_id", "path", "language", "folded", "live", F.split("content", "\n").alias("lines"), F.split("folded", "\n").alias("lows"))
+    live = {"live": rules, **more}
+    return files.select(
+        "repo_id", "path", "language", "folded", *[F.expr(live_rules(r)).alias(name) for name, r in live.items()],
+        F.split("content", "\n").alias("lines"), F.split("folded", "\n").alias("lows"))
 
 
 def live_rules(rules: list) -> str:
@@ -51,20 +56,20 @@ def live_rules(rules: list) -> str:
     return f"concat({', '.join(parts)})" if parts else none
 
 
-def matched_rules(rules: list, line: str = "get(lines, i)", low: str = "low") -> str:
+def matched_rules(rules: list, line: str = "get(lines, i)", low: str = "low", live: str = "live") -> str:
     """Which of the live rules match a line."""
     branches = []
     for r in rules:
         literal = required_literal(r.pattern)
         gate = f"contains({low}, {quoted(literal)}) and " if literal else ""
         branches.append(f"when {r.rule_no} then {gate}{sql_matches(line, r.pattern)}")
-    return f"filter(live, n -> case n {' '.join(branches)} end)" if branches else "cast(array() as array<int>)"
+    return f"filter({live}, n -> case n {' '.join(branches)} end)" if branches else "cast(array() as array<int>)"
 
 
-def rule_hits(rules: list) -> Column:
+def rule_hits(rules: list, live: str = "live") -> Column:
     """Array of (line_no, line, rule_nos) of the matching lines; null where no rule can match."""
-    found = f"transform(lows, (low, i) -> named_struct('line_no', i + 1, 'line', get(lines, i), 'rule_nos', {matched_rules(rules)}))"
-    return F.expr(f"if(size(live) > 0, filter({found}, h -> size(h.rule_nos) > 0), null)")
+    found = f"transform(lows, (low, i) -> named_struct('line_no', i + 1, 'line', get(lines, i), 'rule_nos', {matched_rules(rules, live=live)}))"
+    return F.expr(f"if(size({live}) > 0, filter({found}, h -> size(h.rule_nos) > 0), null)")
 
 
 def rule_column(rules: list, rule_no: Column, field: str) -> Column:

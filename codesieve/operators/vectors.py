@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions.identity import finding_id, input_order
@@ -11,6 +11,7 @@ from codesieve.operators.scan import prepare, rule_column, rule_hits
 from codesieve.sources.rules import rule_rows
 
 PHASE = 3
+FIELDS = ["rule_id", "vector_id", "vector_name", "category_name", "cwe", "owasp", "severity"]
 
 
 class _VectorRule:
@@ -36,32 +37,36 @@ def find_vectors(src_files: DataFrame, vector_rules: DataFrame) -> DataFrame:
     files = prepare(src_files, rules).select("repo_id", "path", F.explode_outer(rule_hits(rules)).alias("h"))
     rows = files.filter(F.col("h.line_no").isNotNull())
     rows = rows.select("repo_id", "path", "h.line_no", "h.line", F.explode("h.rule_nos").alias("rule_no"))
-    fields = ["rule_id", "vector_id", "vector_name", "category_name", "cwe", "owasp", "severity"]
-    return rows.select("*", *[rule_column(rules, F.col("rule_no"), f).alias(f) for f in fields])
+    return rows.select("*", *[rule_column(rules, F.col("rule_no"), f).alias(f) for f in FIELDS])
+
+
+def finding_columns() -> dict[str, Column]:
+    """The columns of a finding: category is the vector's name, the rest comes from the catalogue."""
+    path, name = F.col("path"), F.col("vector_name")
+    return {
+        "repo_id": F.col("repo_id"),
+        "id": finding_id("VECTOR", path, F.col("line_no")),
+        "severity": F.col("severity"),
+        "category": name,
+        "cwe": F.col("cwe"),
+        "owasp": F.col("owasp"),
+        "file": path,
+        "line": F.col("line_no").cast("int"),
+        "code_snippet": strip(F.col("line")),
+        "description": F.concat(F.lit("Line matches attack vector "), F.col("vector_id"), F.lit(" ("), name, F.lit(").")),
+        "impact": F.coalesce("category_name", F.lit("")),
+        "remediation": F.lit(""),
+        "references": F.array().cast("array<string>"),
+        "cvss_score": F.lit(None).cast("double"),
+        "confidence": F.lit("MEDIUM"),
+        "origin": F.lit("vector"),
+        "ord": input_order(F.col("repo_id"), path, F.lit(PHASE), F.col("line_no"), F.col("rule_no")),
+    }
 
 
 def vector_findings(hits: DataFrame) -> DataFrame:
-    """Hits as findings: category is the vector's name, the rest comes from the catalogue."""
-    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
-    return hits.select(
-        "repo_id",
-        finding_id("VECTOR", F.col("path"), F.col("line_no")).alias("id"),
-        "severity",
-        F.col("vector_name").alias("category"),
-        "cwe",
-        "owasp",
-        F.col("path").alias("file"),
-        F.col("line_no").cast("int").alias("line"),
-        strip(F.col("line")).alias("code_snippet"),
-        text("Line matches attack vector ", F.col("vector_id"), " (", F.col("vector_name"), ").").alias("description"),
-        F.coalesce(F.col("category_name"), F.lit("")).alias("impact"),
-        F.lit("").alias("remediation"),
-        F.array().cast("array<string>").alias("references"),
-        F.lit(None).cast("double").alias("cvss_score"),
-        F.lit("MEDIUM").alias("confidence"),
-        F.lit("vector").alias("origin"),
-        input_order(F.col("repo_id"), F.col("path"), F.lit(PHASE), F.col("line_no"), F.col("rule_no")).alias("ord"),
-    )
+    """Hits as findings."""
+    return hits.select(*[c.alias(name) for name, c in finding_columns().items()])
 
 
 def scan_vectors(src_files: DataFrame, vector_rules: DataFrame) -> DataFrame:

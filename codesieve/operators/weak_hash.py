@@ -75,28 +75,33 @@ def scan_weak_hash(src_files: DataFrame, rules=None, aggressive: bool = True) ->
     )
 
 
+def finding_columns() -> dict[str, Column]:
+    """The columns of a finding, from the columns of a classified hit."""
+    usage, path = F.col("usage"), F.col("path")
+    return {
+        "repo_id": F.col("repo_id"),
+        "id": finding_id("CRYPTO", path, F.col("line_no")),
+        "severity": F.col("severity"),
+        "category": F.lit(texts.HASH_CATEGORY),
+        "cwe": F.lit(texts.HASH_CWE),
+        "owasp": F.lit(texts.HASH_OWASP),
+        "file": path,
+        "line": F.col("line_no").cast("int"),
+        "code_snippet": F.col("code_snippet"),
+        "description": hash_description(F.col("algorithm"), F.col("function_name"), usage),
+        "impact": one_of(usage, texts.HASH_IMPACTS, texts.HASH_IMPACTS[""]),
+        "remediation": one_of(usage, texts.HASH_REMEDIES, texts.HASH_REMEDIES[""]),
+        "references": F.array(*[F.lit(x) for x in texts.HASH_LINKS]),
+        "cvss_score": F.lit(None).cast("double"),
+        "confidence": F.col("confidence"),
+        "origin": F.lit("crypto"),
+        "ord": input_order(F.col("repo_id"), path, F.lit(PHASE), F.col("line_no"), F.col("rule_no")),
+    }
+
+
 def hash_findings(hits: DataFrame) -> DataFrame:
     """Hits as findings."""
-    usage, algorithm = F.col("usage"), F.col("algorithm")
-    return hits.select(
-        "repo_id",
-        finding_id("CRYPTO", F.col("path"), F.col("line_no")).alias("id"),
-        "severity",
-        F.lit(texts.HASH_CATEGORY).alias("category"),
-        F.lit(texts.HASH_CWE).alias("cwe"),
-        F.lit(texts.HASH_OWASP).alias("owasp"),
-        F.col("path").alias("file"),
-        F.col("line_no").cast("int").alias("line"),
-        "code_snippet",
-        hash_description(algorithm, F.col("function_name"), usage).alias("description"),
-        one_of(usage, texts.HASH_IMPACTS, texts.HASH_IMPACTS[""]).alias("impact"),
-        one_of(usage, texts.HASH_REMEDIES, texts.HASH_REMEDIES[""]).alias("remediation"),
-        F.array(*[F.lit(x) for x in texts.HASH_LINKS]).alias("references"),
-        F.lit(None).cast("double").alias("cvss_score"),
-        "confidence",
-        F.lit("crypto").alias("origin"),
-        input_order(F.col("repo_id"), F.col("path"), F.lit(PHASE), F.col("line_no"), F.col("rule_no")).alias("ord"),
-    )
+    return hits.select(*[c.alias(name) for name, c in finding_columns().items()])
 
 
 def hash_description(algorithm: Column, function_name: Column, usage: Column) -> Column:

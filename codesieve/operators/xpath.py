@@ -57,7 +57,7 @@ def _user_source(index: Column, line: Column, first_texts: Column) -> Column:
     return F.coalesce(here, plain, F.lit("unknown"))
 
 
-def _candidates(files: DataFrame, rules: list) -> DataFrame:
+def candidates(files: DataFrame, rules: list) -> DataFrame:
     """Per file, the lines that match a call rule or hold a concatenated query literal."""
     line = "get(lines, i)"
     literal = (f"(contains(low, '//') or contains(low, '@')) and {sql_matches(line, any_of(fixed.QUERY_LITERALS), False)} "
@@ -69,8 +69,13 @@ def _candidates(files: DataFrame, rules: list) -> DataFrame:
     return files.withColumn("found", F.expr(f"if({possible}, {found}, null)"))
 
 
-def _events(files: DataFrame) -> DataFrame:
-    """One row per file event: a hit, or an assignment to a variable that some hit uses."""
+def file_events(files: DataFrame) -> DataFrame:
+    """One row per event of a file: a hit, or an assignment to a variable that some hit uses.
+
+    Events of other rule families, in the column `others`, are passed along.
+    """
+    if "others" not in files.columns:
+        files = files.withColumn("others", F.array().cast(EVENT_ARRAY))
     folded, lines = F.col("folded"), F.col("lines")
     shown = F.transform("found", lambda c: F.struct(
         c.line_no.alias("line_no"), c.line.alias("line"), c.rule_nos.alias("rule_nos"), c.is_string.alias("is_string"),
@@ -82,7 +87,7 @@ def _events(files: DataFrame) -> DataFrame:
     variable = [p for p in fixed.USER_INPUT if _plain_text(p) is None]
     some = F.size("found") > 0
     files = files.select(
-        "repo_id", "path", "lines",
+        "repo_id", "path", "lines", "others",
         F.when(some, shown).alias("found"),
         F.when(some, F.expr(f"array({', '.join(first_line_of('folded', p) for p in fixed.USER_INPUT)})")).alias("user_lines"),
         F.when(some, F.array(*[F.regexp_extract(folded, java_regex(p), 0) for p in variable])).alias("user_texts"),
@@ -100,10 +105,11 @@ def _events(files: DataFrame) -> DataFrame:
             F.coalesce(F.col("safe_line") <= c.last_line, F.lit(False)).alias("sanitised"),
             F.lit(None).cast("string").alias("kind"),
             (c.line_no * 2 + 2 * LOOK_AHEAD + 1).alias("at"),
+            F.lit("xpath").alias("family"), F.lit(None).cast("string").alias("context"),
         )
 
     used = F.array_distinct(F.filter(F.transform("found", lambda c: c["var"]), lambda v: v.isNotNull()))
-    files = files.select("repo_id", "path", "lines", F.transform("found", hit).alias("hits"), used.alias("used"))
+    files = files.select("repo_id", "path", "lines", "others", F.transform("found", hit).alias("hits"), used.alias("used"))
 
     def assigned(line):
         names = F.regexp_extract_all(line, F.lit(java_regex(r"\b(\w+)\s*=", False)), 1)
@@ -122,15 +128,17 @@ def _events(files: DataFrame) -> DataFrame:
         F.lit(None).cast("boolean").alias("is_string"), F.lit(None).cast("boolean").alias("concat"),
         F.lit(None).cast("boolean").alias("dynamic"), name.alias("var"), F.lit(None).cast("string").alias("user_source"),
         F.lit(None).cast("boolean").alias("sanitised"), _assignment_kind(t.line).alias("kind"), (t.line_no * 2).alias("at"),
+        F.lit("assignment").alias("family"), F.lit(None).cast("string").alias("context"),
     ))))
-    events = F.concat("hits", F.coalesce(assignment, F.array().cast(_EVENT_ARRAY)))
+    none = F.array().cast(EVENT_ARRAY)
+    events = F.concat(F.coalesce("hits", none), F.coalesce(assignment, none), F.coalesce("others", none))
     return files.select("repo_id", "path", F.explode_outer(events).alias("e")).filter(F.col("e.line_no").isNotNull()).select(
         "repo_id", "path", "e.*")
 
 
-_EVENT_ARRAY = (
+EVENT_ARRAY = (
     "array<struct<line_no:int,line:string,rule_nos:array<int>,is_string:boolean,concat:boolean,dynamic:boolean,var:string,"
-    "user_source:string,sanitised:boolean,kind:string,at:int>>"
+    "user_source:string,sanitised:boolean,kind:string,at:int,family:string,context:string>>"
 )
 
 
@@ -141,10 +149,14 @@ def find_xpath_lines(src_files: DataFrame, rules=None) -> DataFrame:
     (file, variable).
     """
     rules = XPATH if rules is None else rule_rows(rules)
-    events = _events(_candidates(prepare(src_files, rules), rules))
+    return judged_events(file_events(candidates(prepare(src_files, rules), rules))).drop("family", "context")
+
+
+def judged_events(events: DataFrame) -> DataFrame:
+    """Hits with the last assignment of their variable."""
     upto = Window.partitionBy("repo_id", "path", "var").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     events = events.withColumn("last_assignment", F.when(F.col("var").isNotNull(), F.last("kind", ignorenulls=True).over(upto)))
-    return events.filter(F.col("rule_nos").isNotNull()).drop("kind", "at")
+    return events.filter(F.col("family") != "assignment").drop("kind", "at")
 
 
 def safe_reassignment(hits: DataFrame) -> DataFrame:
@@ -183,25 +195,31 @@ def _string_verdict() -> Column:
     )
 
 
+def verdict_entries() -> Column:
+    """What a line is reported for: (phase, rule, verdict) of each of its calls, or of its query string."""
+    def entry(phase, rule_no, verdict):
+        return F.struct(F.lit(phase).alias("phase"), rule_no.alias("rule_no"), verdict.alias("verdict"))
+
+    call = F.when(F.size("rule_nos") > 0, _call_verdict())
+    calls = F.transform("rule_nos", lambda n: entry(CALLS, n, call))
+    return F.when(call.isNotNull(), calls).when(F.col("is_string"), F.array(entry(STRINGS, F.lit(0), _string_verdict())))
+
+
+def function_of(rules: list, rule_no: Column) -> Column:
+    return F.when(rule_no > 0, rule_column(rules, rule_no, "function_name")).otherwise(texts.XPATH_STRING_NAME)
+
+
 def scan_xpath(src_files: DataFrame, rules=None, suppress: bool = True) -> DataFrame:
     """Calls (phase 1), then query strings on lines without a vulnerable call (phase 2)."""
     rules = XPATH if rules is None else rule_rows(rules)
     lines = find_xpath_lines(src_files, rules)
     if suppress:
         lines = safe_reassignment(lines)
-    lines = lines.withColumn("call", F.when(F.size("rule_nos") > 0, _call_verdict()))
-    entry = lambda phase, rule_no, verdict: F.struct(
-        F.lit(phase).alias("phase"), rule_no.alias("rule_no"), verdict.alias("verdict"))
-    entries = (
-        F.when(F.col("call").isNotNull(), F.transform("rule_nos", lambda n: entry(CALLS, n, F.col("call"))))
-        .when(F.col("is_string"), F.array(entry(STRINGS, F.lit(0), _string_verdict())))
-    )
-    rows = lines.select("*", F.explode_outer(entries).alias("entry")).filter(F.col("entry").isNotNull())
+    rows = lines.select("*", F.explode_outer(verdict_entries()).alias("entry")).filter(F.col("entry").isNotNull())
     rule_no = F.col("entry.rule_no")
     return rows.select(
         "repo_id", "path", F.col("entry.phase").alias("phase"), "line_no", rule_no.alias("rule_no"),
-        F.when(rule_no > 0, rule_column(rules, rule_no, "function_name")).otherwise(texts.XPATH_STRING_NAME).alias("function_name"),
-        F.when(rule_no > 0, rule_column(rules, rule_no, "algorithm_or_library")).alias("library"),
+        function_of(rules, rule_no).alias("function_name"), F.when(rule_no > 0, rule_column(rules, rule_no, "algorithm_or_library")).alias("library"),
         strip(F.col("line")).alias("code_snippet"), "user_source", F.col("sanitised").alias("has_sanitization"),
         F.col("entry.verdict.pattern_type").alias("pattern_type"), F.col("entry.verdict.severity").alias("severity"),
         F.col("entry.verdict.confidence").alias("confidence"), F.col("var").alias("variable"), "last_assignment",
@@ -225,24 +243,30 @@ def xpath_description(function_name: Column, pattern_type: Column, user_source:
     return F.concat_ws(" ", F.format_string(texts.XPATH_OPENING, function_name), middle, ending)
 
 
+def finding_columns() -> dict[str, Column]:
+    """The columns of a finding, from the columns of a hit."""
+    path = F.col("path")
+    return {
+        "repo_id": F.col("repo_id"),
+        "id": finding_id("XPATH", path, F.col("line_no")),
+        "severity": F.col("severity"),
+        "category": F.lit(texts.XPATH_CATEGORY),
+        "cwe": F.lit(texts.XPATH_CWE),
+        "owasp": F.lit(texts.XPATH_OWASP),
+        "file": path,
+        "line": F.col("line_no").cast("int"),
+        "code_snippet": F.col("code_snippet"),
+        "description": xpath_description(F.col("function_name"), F.col("pattern_type"), F.col("user_source"), F.col("has_sanitization")),
+        "impact": F.lit(texts.XPATH_IMPACT),
+        "remediation": F.lit(texts.XPATH_REMEDY),
+        "references": F.array(*[F.lit(x) for x in texts.XPATH_LINKS]),
+        "cvss_score": F.lit(None).cast("double"),
+        "confidence": F.col("confidence"),
+        "origin": F.lit("xpath"),
+        "ord": input_order(F.col("repo_id"), path, F.col("phase"), F.col("line_no"), F.col("rule_no")),
+    }
+
+
 def xpath_findings(hits: DataFrame) -> DataFrame:
     """Hits as findings."""
-    return hits.select(
-        "repo_id",
-        finding_id("XPATH", F.col("path"), F.col("line_no")).alias("id"),
-        "severity",
-        F.lit(texts.XPATH_CATEGORY).alias("category"),
-        F.lit(texts.XPATH_CWE).alias("cwe"),
-        F.lit(texts.XPATH_OWASP).alias("owasp"),
-        F.col("path").alias("file"),
-        F.col("line_no").cast("int").alias("line"),
-        "code_snippet",
-        xpath_description(F.col("function_name"), F.col("pattern_type"), F.col("user_source"), F.col("has_sanitization")).alias("description"),
-        F.lit(texts.XPATH_IMPACT).alias("impact"),
-        F.lit(texts.XPATH_REMEDY).alias("remediation"),
-        F.array(*[F.lit(x) for x in texts.XPATH_LINKS]).alias("references"),
-        F.lit(None).cast("double").alias("cvss_score"),
-        "confidence",
-        F.lit("xpath").alias("origin"),
-        input_order(F.col("repo_id"), F.col("path"), F.col("phase"), F.col("line_no"), F.col("rule_no")).alias("ord"),
-    )
+    return hits.select(*[c.alias(name) for name, c in finding_columns().items()])
