@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesieve.fixed import texts
@@ -65,9 +65,13 @@ def attack_chains(findings: DataFrame, scope: str = "repo_id", first: int | None
     """
     roles = cut_lineage(chain_roles(findings, scope))
     counts = _counts(roles, scope).filter(F.col("n_chains") > 0)
-    ranked = rank_within(roles, [scope, "pattern", "side"], "ord", ("id",))
+    group = [scope, "pattern", "side"]
     if first:
-        ranked = ranked.filter(F.col("position") <= first)
+        # Each task passes on at most `first` rows per group.
+        place = F.row_number().over(Window.partitionBy(*group).orderBy("ord", "id")).cast("bigint")
+        ranked = roles.withColumn("position", place).filter(F.col("position") <= first)
+    else:
+        ranked = rank_within(roles, group, "ord", ("id",))
     parts = ranked.join(counts, [scope, "pattern"])
     block = F.floor((F.col("position") - 1) / BLOCK)
     limit = lambda n: F.least(n, F.lit(first)) if first else n

@@ -10,7 +10,7 @@ from codesieve.functions.severity import crypto_confidence, crypto_severity
 from codesieve.functions.text import strip
 from codesieve.operators import vectors, weak_hash, xpath
 from codesieve.operators.scan import context_window, prepare, rule_column, rule_hits
-from codesieve.sources.rules import CONFIG, WEAK_HASH, XPATH, rule_rows
+from codesieve.sources.rules import CONFIG, WEAK_HASH, XPATH, own_rules
 
 HASH, CALL, VECTOR = "hash", "xpath", "vector"
 
@@ -38,8 +38,8 @@ def scan_specialized(src_files: DataFrame, rules=None, aggressive: bool = True,
     its hits, and the assignments they need, are shuffled.
     """
     rules = rules or {}
-    hash_rules = rule_rows(rules["hash"]) if rules.get("hash") is not None else WEAK_HASH + CONFIG
-    xpath_rules = rule_rows(rules["xpath"]) if rules.get("xpath") is not None else XPATH
+    hash_rules = own_rules(rules["hash"]) if rules.get("hash") is not None else WEAK_HASH + CONFIG
+    xpath_rules = own_rules(rules["xpath"]) if rules.get("xpath") is not None else XPATH
     catalogue = vectors.numbered_vectors(vector_rules) if vector_rules is not None else []
 
     files = prepare(src_files, xpath_rules, live_hash=hash_rules, live_vector=catalogue)

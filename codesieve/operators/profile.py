@@ -21,8 +21,9 @@ def _bits(tests: list[str]) -> Column:
     return F.expr(" + ".join(f"if({t}, {1 << i}L, 0L)" for i, t in enumerate(tests)))
 
 
-def _bit(value: Column, i: int) -> Column:
-    return value.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0
+def _bit(column: str, i: int) -> str:
+    """SQL for one of the bits of a column."""
+    return f"({column} & {1 << i}L) != 0"
 
 
 def file_flags(ctx_files: DataFrame) -> DataFrame:
@@ -62,30 +63,27 @@ def _sampled(flags: DataFrame) -> DataFrame:
     )
 
 
-def _frameworks(bits: Column) -> Column:
-    found = F.array_compact(F.array(*[F.when(_bit(bits, i), F.lit(name)) for i, (name, _) in enumerate(fixed.FRAMEWORKS)]))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("none")))
+def _frameworks(column: str = "framework_bits") -> Column:
+    names = ", ".join(f"if({_bit(column, i)}, {quoted(name)}, null)" for i, (name, _) in enumerate(fixed.FRAMEWORKS))
+    return F.expr(f"transform(array(array_compact(array({names}))), f -> if(size(f) > 0, f, array('none')))[0]")
 
 
 def detect_frameworks(ctx_files: DataFrame) -> DataFrame:
-    return _sampled(file_flags(ctx_files)).select("repo_id", _frameworks(F.col("framework_bits")).alias("frameworks"))
-
-
-def _type_scores(bits: Column, path_bits: Column, frameworks: Column) -> dict[str, Column]:
-    both = bits.bitwiseOR(path_bits)
-    scores = {}
-    for kind, _ in fixed.TYPE_SIGNS:
-        places = [i for i, (k, _) in enumerate(_SIGNS) if k == kind]
-        scores[kind] = sum((_bit(both, i).cast("int") for i in places), F.lit(0))
-    for kind, names, points in fixed.FRAMEWORK_BOOSTS:
-        scores[kind] += F.when(F.arrays_overlap(frameworks, F.array(*[F.lit(n) for n in names])), points).otherwise(0)
-    routes, client = _bit(both, len(_SIGNS)), _bit(both, len(_SIGNS) + 1)
-    packaged = _bit(path_bits, len(_SIGNS) + 2)
-    for kind, points in fixed.CLIENT_BOOSTS:
-        scores[kind] += F.when(~routes & client, points).otherwise(0)
-    for kind, points in fixed.PACKAGING_BOOSTS:
-        scores[kind] += F.when(~routes & packaged, points).otherwise(0)
-    return scores
+    return _sampled(file_flags(ctx_files)).select("repo_id", _frameworks().alias("frameworks"))
+
+
+def _type_scores() -> dict[str, Column]:
+    """Points of each type, from the columns type_bits, path_bits and frameworks."""
+    both = "(type_bits | path_bits)"
+    routes, client, packaged = _bit(both, len(_SIGNS)), _bit(both, len(_SIGNS) + 1), _bit("path_bits", len(_SIGNS) + 2)
+    points = {kind: ["0"] + [f"if({_bit(both, i)}, 1, 0)" for i, (k, _) in enumerate(_SIGNS) if k == kind] for kind, _ in fixed.TYPE_SIGNS}
+    for kind, names, n in fixed.FRAMEWORK_BOOSTS:
+        points[kind].append(f"if(arrays_overlap(frameworks, array({', '.join(quoted(x) for x in names)})), {n}, 0)")
+    for kind, n in fixed.CLIENT_BOOSTS:
+        points[kind].append(f"if(not ({routes}) and {client}, {n}, 0)")
+    for kind, n in fixed.PACKAGING_BOOSTS:
+        points[kind].append(f"if(not ({routes}) and {packaged}, {n}, 0)")
+    return {kind: F.expr(" + ".join(parts)) for kind, parts in points.items()}
 
 
 def _best_type(scores: dict[str, Column]) -> Column:
@@ -99,18 +97,18 @@ def detect_codebase_type(ctx_files: DataFrame) -> DataFrame:
     """Repository type with the scores it follows from."""
     flags = file_flags(ctx_files)
     by_path = flags.groupBy("repo_id").agg(F.bit_or("path_bits").alias("path_bits"))
-    joined = _sampled(flags).join(by_path, "repo_id").withColumn("frameworks", _frameworks(F.col("framework_bits")))
-    scores = _type_scores(F.col("type_bits"), F.col("path_bits"), F.col("frameworks"))
+    joined = _sampled(flags).join(by_path, "repo_id").withColumn("frameworks", _frameworks())
+    scores = _type_scores()
     return joined.select("repo_id", "frameworks", *[s.alias(f"score_{k}") for k, s in scores.items()],
                          _best_type(scores).alias("codebase_type"))
 
 
 def has_server_routes(ctx_files: DataFrame) -> DataFrame:
-    return _sampled(file_flags(ctx_files)).select("repo_id", _bit(F.col("sample_bits"), 0).alias("has_server_routes"))
+    return _sampled(file_flags(ctx_files)).select("repo_id", F.expr(_bit("sample_bits", 0)).alias("has_server_routes"))
 
 
 def has_api_client_pattern(ctx_files: DataFrame) -> DataFrame:
-    return _sampled(file_flags(ctx_files)).select("repo_id", _bit(F.col("sample_bits"), 1).alias("has_api_client_pattern"))
+    return _sampled(file_flags(ctx_files)).select("repo_id", F.expr(_bit("sample_bits", 1)).alias("has_api_client_pattern"))
 
 
 def file_context(ctx_files: DataFrame) -> DataFrame:
@@ -234,14 +232,14 @@ def profile_repo(src_files: DataFrame, flags: DataFrame | None = None) -> DataFr
         F.bit_or("path_bits").alias("path_bits"), F.count(F.lit(1)).alias("n_files"), F.count_if("has_auth_check").alias("n_auth_files"))
     # At most len(TEST_DIRECTORIES) spellings apart from case.
     tests = test_directories(src_files).groupBy("repo_id").agg(F.array_sort(F.collect_set("directory")).alias("test_directories"))
-    joined = whole.join(_sampled(flags), "repo_id").join(tests, "repo_id", "left").withColumn("frameworks", _frameworks(F.col("framework_bits")))
-    scores = _type_scores(F.col("type_bits"), F.col("path_bits"), F.col("frameworks"))
+    joined = whole.join(_sampled(flags), "repo_id").join(tests, "repo_id", "left").withColumn("frameworks", _frameworks())
+    scores = _type_scores()
     typed = joined.withColumn("codebase_type", _best_type(scores))
     return typed.select(
         "repo_id", "codebase_type", "frameworks", "n_files", "n_auth_files",
-        _bit(F.col("sample_bits"), 0).alias("has_server_routes"),
+        F.expr(_bit("sample_bits", 0)).alias("has_server_routes"),
         (F.col("n_auth_files") > 0).alias("has_auth_middleware"),
-        _bit(F.col("sample_bits"), 1).alias("has_api_client_pattern"),
+        F.expr(_bit("sample_bits", 1)).alias("has_api_client_pattern"),
         F.coalesce("test_directories", F.array().cast("array<string>")).alias("test_directories"),
         *security_rules(F.col("codebase_type")),
     )

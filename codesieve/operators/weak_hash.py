@@ -13,14 +13,14 @@ from codesieve.functions.identity import finding_id, input_order
 from codesieve.functions.severity import crypto_confidence, crypto_severity
 from codesieve.functions.text import any_of, matches, one_of, strip
 from codesieve.operators.scan import context_window, prepare, rule_column, rule_hits
-from codesieve.sources.rules import CONFIG, WEAK_HASH, rule_rows
+from codesieve.sources.rules import CONFIG, WEAK_HASH, own_rules
 
 PHASE = 0
 
 
 def find_weak_hash(src_files: DataFrame, rules=None) -> DataFrame:
     """One row per (line, rule) hit, with the lines around it."""
-    rules = WEAK_HASH + CONFIG if rules is None else rule_rows(rules)
+    rules = WEAK_HASH + CONFIG if rules is None else own_rules(rules)
     found = prepare(src_files, rules).withColumn("hits", rule_hits(rules))
     with_context = found.select(
         "repo_id", "path", "language",

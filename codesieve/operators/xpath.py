@@ -16,7 +16,7 @@ from codesieve.fixed import xpath as fixed
 from codesieve.functions.identity import finding_id, input_order
 from codesieve.functions.text import any_of, first_line_of, java_regex, matches, sql_matches, strip
 from codesieve.operators.scan import matched_rules, prepare, rule_column
-from codesieve.sources.rules import XPATH, rule_rows
+from codesieve.sources.rules import XPATH, own_rules
 
 LOOK_AHEAD = 5
 CALLS, STRINGS = 1, 2
@@ -148,7 +148,7 @@ def find_xpath_lines(src_files: DataFrame, rules=None) -> DataFrame:
     The only shuffle carries hits and the assignments they need, keyed by
     (file, variable).
     """
-    rules = XPATH if rules is None else rule_rows(rules)
+    rules = XPATH if rules is None else own_rules(rules)
     return judged_events(file_events(candidates(prepare(src_files, rules), rules))).drop("family", "context")
 
 
@@ -211,7 +211,7 @@ def function_of(rules: list, rule_no: Column) -> Column:
 
 def scan_xpath(src_files: DataFrame, rules=None, suppress: bool = True) -> DataFrame:
     """Calls (phase 1), then query strings on lines without a vulnerable call (phase 2)."""
-    rules = XPATH if rules is None else rule_rows(rules)
+    rules = XPATH if rules is None else own_rules(rules)
     lines = find_xpath_lines(src_files, rules)
     if suppress:
         lines = safe_reassignment(lines)

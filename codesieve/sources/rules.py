@@ -152,6 +152,15 @@ def rule_rows(rules: DataFrame | list) -> list:
     return list(rules)
 
 
+def own_rules(rules: DataFrame | list) -> list[Rule]:
+    """A user's rule table, numbered in its own order; without a language a rule applies everywhere."""
+    if not isinstance(rules, DataFrame):
+        return list(rules)
+    rows = sorted(rule_rows(rules), key=lambda r: (r["rule_no"] or 0, r["rule_id"]))
+    return [Rule(r["rule_set"], n, r["rule_id"], r["language"] or "*", r["pattern"], r["function_name"], r["algorithm_or_library"])
+            for n, r in enumerate(rows, 1)]
+
+
 def check_rules(spark: SparkSession, rules: DataFrame | list) -> DataFrame:
     """Rules with the pattern as the JVM reads it and a flag whether it compiles."""
     rows = []
