@@ -12,7 +12,7 @@ from codesieve.plans.score import score_engine
 from codesieve.sources import files, findings, labels
 from suite import views
 from suite import oracle_scan as o
-from suite.oracle_views import (CHAT_ENVELOPES, GROUND_TRUTH, MODEL_RESPONSES, NORM_FINDINGS, PATH, SRC_FILES, USAGE_LOG, case, lit, pick)
+from suite.oracle_views import (CHAT_ENVELOPES, GROUND_TRUTH, MODEL_RESPONSES, NORM_FINDINGS, PATH, USAGE_LOG, case, lit, pick)
 from suite.registry import register, with_
 
 # --- matching and metrics --------------------------------------------------------------------------------------------
@@ -130,8 +130,8 @@ register("read_sarif", lambda s, d: _NORM(findings.sarif_findings(_docs(s, d, "s
 register("read_findings_json", lambda s, d: findings.findings_of_documents(_docs(s, d, "findings")).select(
             "repo_id", "id", "severity", "category", "file", _LINE("line"), F.coalesce("cvss_score", F.lit(-1.0)).alias("cvss_score"), "confidence", "ord"),
          f"""SELECT CAST(event_id AS VARCHAR) AS repo_id, 'X' || event_id AS id, 'HIGH' AS severity, 'XSS' AS category, event_type || '.py' AS file, CAST({K} AS INTEGER) AS line,
-           7.5 AS cvss_score, 'MEDIUM' AS confidence, 0 AS ord FROM events
-           UNION ALL SELECT CAST(event_id AS VARCHAR), 'UNKNOWN', 'MEDIUM', 'Unknown', 'plain.py', -1, -1.0, 'MEDIUM', 1 FROM events""")
+           CAST(7.5 AS DOUBLE) AS cvss_score, 'MEDIUM' AS confidence, 0 AS ord FROM events
+           UNION ALL SELECT CAST(event_id AS VARCHAR), 'UNKNOWN', 'MEDIUM', 'Unknown', 'plain.py', -1, CAST(-1.0 AS DOUBLE), 'MEDIUM', 1 FROM events""")
 register("read_envelopes", lambda s, d: findings.envelope_findings(_docs(s, d, "envelope")).select(
             "run_id", "file", _LINE("line"), _LINE("cwe"), "severity", F.coalesce("tool", F.lit("")).alias("tool"), F.coalesce("dry_run", F.lit(False)).cast("int").alias("dry_run")),
          f"""SELECT CAST(event_id AS VARCHAR) AS run_id, event_type || '.py' AS file, CASE WHEN event_id % 5 = 0 THEN CAST({K} AS INTEGER) ELSE -1 END AS line, CAST({K} AS INTEGER) AS cwe,

@@ -19,7 +19,7 @@ from suite.registry import register, with_
 
 RANK = case([(f"severity = {lit(s)}", str(i)) for i, s in enumerate(severity.SEVERITIES)], "5")
 CVSS = "CASE WHEN coalesce(cvss_score, 0) <> 0 THEN cvss_score ELSE " + case([(f"severity = {lit(k)}", str(v)) for k, v in severity.DEFAULT_CVSS.items()], "5.0") + " END"
-EFFORT = case([(f"severity = {lit(k)}", str(v)) for k, v in severity.EFFORT_HOURS.items()], "2.0")
+EFFORT = "CAST(" + case([(f"severity = {lit(k)}", str(v)) for k, v in severity.EFFORT_HOURS.items()], "2.0") + " AS DOUBLE)"
 _SHOWN = ["repo_id", "id", "severity", "category", "file", "confidence"]
 _COLS = ", ".join(_SHOWN)
 
@@ -193,14 +193,14 @@ over_findings("attack_chain_counts", lambda f: chains.chain_counts(f).filter("n_
 
 # --- report sections -------------------------------------------------------------------------------------------------
 over_findings("risk_matrix", report.risk_matrix, f"""SELECT severity, n, repeat('█', CAST(floor(CAST(n AS DOUBLE) / max(n) OVER () * 50) AS INTEGER)) AS bar
-  FROM (SELECT severity, sum(n) AS n FROM (SELECT severity, count(*) AS n FROM findings GROUP BY 1 UNION ALL
+  FROM (SELECT severity, CAST(sum(n) AS BIGINT) AS n FROM (SELECT severity, count(*) AS n FROM findings GROUP BY 1 UNION ALL
         SELECT unnest([{', '.join(lit(s) for s in severity.SEVERITIES)}]), 0) GROUP BY 1)""")
 over_findings("category_counts", report.category_counts, "SELECT category, count(*) AS n, min(ord) AS first_seen FROM findings GROUP BY category")
 PHASE = case([(f"severity IN ({', '.join(lit(s) for s in r[2])})", lit(r[0])) for r in severity.ROADMAP])
 over_findings("roadmap_items", lambda f: report.roadmap_items(f).drop("ord"), f"""SELECT repo_id, {PHASE} AS phase, id, category AS title,
   {case([(f"severity IN ({', '.join(lit(s) for s in r[2])})", lit(r[3])) for r in severity.ROADMAP])} AS effort FROM findings WHERE severity <> 'UNRATED'""")
 over_findings("remediation_roadmap", report.remediation_roadmap, " UNION ALL ".join(
-    f"SELECT {lit(r[0])} AS phase, {lit(r[1])} AS timeframe, count(*) AS n_findings, count(*) * {r[4]} AS total_effort FROM findings WHERE severity IN ({', '.join(lit(s) for s in r[2])})"
+    f"SELECT {lit(r[0])} AS phase, {lit(r[1])} AS timeframe, count(*) AS n_findings, CAST(count(*) * {r[4]} AS DOUBLE) AS total_effort FROM findings WHERE severity IN ({', '.join(lit(s) for s in r[2])})"
     for r in severity.ROADMAP))
 _IMPACT = f"CASE WHEN critical > 0 THEN {lit(texts.IMPACT_CRITICAL)} WHEN high > 2 THEN {lit(texts.IMPACT_HIGH)} ELSE {lit(texts.IMPACT_OTHER)} END"
 _A, _B, _E = texts.OVERVIEW.replace("%d", "%s").split("%s")
