@@ -11,7 +11,7 @@ so little that the first tokens of both must overlap (prefix filter):
 Which tokens are frequent changes the work, never the result: `FREQUENT` is doubled until the class fits a broadcast of
 MAX_FREQUENT tokens. Index entries found in one class only are dropped. Small entries give pairs by a join. Large ones are
 cut in blocks that meet pairwise; in each pair of blocks, parity bitmaps (each set bit says that an odd number of tokens
-fell there, so two bitmaps differ in at most as many bits as the sets in tokens) leave out what cannot be similar, and each
+fell there, so two bitmaps differ in no more bits than the sets in tokens) leave out what cannot be similar, and each
 document is paired with its nearest candidate only. All pairs are then verified on whole sets; when the links found so far
 have been followed, the blocks meet once more, and every candidate pair that is not yet connected is verified too. So no
 group's pairs are all written down, and no link that could join two components is missed.
@@ -53,10 +53,19 @@ def spare(n, percent: int):
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    odd = (np.bincount((tokens % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+    """Parity bits of a set, at least BITS and two for each token, so that long sets tell apart as well as short ones.
+
+    The size is a power of two; a larger bitmap becomes a smaller one when its halves are added.
+    """
+    size = max(BITS, 1 << int(2 * len(tokens)).bit_length())
+    odd = (np.bincount((tokens % np.uint64(size)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), 0)
+
+
 _DOC = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 _DOC_COLUMNS = "key long, n long, hi long, lo long, prefix array<long>, bits array<long>"
 
@@ -74,11 +83,11 @@ def _describe(run: int, percent: int):
                 bits.append(bitmap(s))
             ids = np.array(ids, np.int64).reshape(len(n), 2)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            width = BITS // 64
+            widths = np.concatenate([[0], np.cumsum([len(b) for b in bits])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 batch.column("key"), pa.array(n, pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)]).astype(np.int64))),
-                pa.ListArray.from_arrays(pa.array(np.arange(0, width * len(n) + 1, width, dtype=np.int32)), pa.array(np.concatenate([*bits, np.zeros(0, np.int64)]).astype(np.int64)))], schema=_DOC)
+                pa.ListArray.from_arrays(pa.array(widths), pa.array(np.concatenate([*bits, np.zeros(0, np.int64)]).astype(np.int64)))], schema=_DOC)
     return f
 
 
@@ -146,7 +155,8 @@ def _meet(percent: int, nearest: bool):
         out, size = [], 0
         for g in _groups(batches):
             c, n, side, label = (g.column(x).to_numpy() for x in ("c", "n", "side", "label"))
-            bits = np.array(g.column("bits").to_pylist(), np.int64).view(np.uint64)
+            full = [np.array(x, np.int64).view(np.uint64) for x in g.column("bits").to_pylist()]
+            bits = np.stack([folded(x, BITS // 64) for x in full])
             same_block = g.column("i")[0].as_py() == g.column("j")[0].as_py()
             rows = np.arange(len(c)) if same_block else np.flatnonzero(side == 0)
             cols = np.arange(len(c)) if same_block else np.flatnonzero(side == 1)
@@ -157,6 +167,13 @@ def _meet(percent: int, nearest: bool):
             allowed = total - 2 * -(-percent * total // (100 + percent))
             good = (differ <= allowed) & (100 * np.minimum(n[rows][:, None], n[cols][None, :]) >= percent * np.maximum(n[rows][:, None], n[cols][None, :]))
             good &= c[rows][:, None] != c[cols][None, :]
+            if not nearest:
+                good &= label[rows][:, None] != label[cols][None, :]
+            for i, j in np.argwhere(good & (np.maximum(n[rows][:, None], n[cols][None, :]) > BITS // 2)).tolist():
+                x, y = full[rows[i]], full[cols[j]]
+                m = min(len(x), len(y))
+                differ[i, j] = np.bitwise_count(folded(x, m) ^ folded(y, m)).sum()
+                good[i, j] = differ[i, j] <= allowed[i, j]
             if nearest:
                 differ = np.where(good, differ, 1 << 30)
                 x = [(rows[i], cols[j]) for i, j in zip(range(len(rows)), differ.argmin(1)) if good[i, j]]
@@ -164,7 +181,6 @@ def _meet(percent: int, nearest: bool):
                     x += [(rows[i], cols[j]) for i, j in zip(differ.argmin(0), range(len(cols))) if good[i, j]]
                 a, b = (np.array([p[s] for p in x], np.int64) for s in (0, 1))
             else:
-                good &= label[rows][:, None] != label[cols][None, :]
                 a, b = np.nonzero(good)
                 a, b = rows[a], cols[b]
             if len(a):
@@ -229,7 +245,9 @@ def linked(docs: DataFrame, run: int = RUN, percent: int = PERCENT) -> tuple[Dat
     few = index.where(F.col("cnt") <= SMALL)
     close = (F.col("x.c") < F.col("y.c")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
     pairs = few.alias("x").join(few.alias("y"), "k").where(close).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), (F.col("x.n") + F.col("y.n")).alias("total")).distinct()
-    differ = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    half = F.least(F.size("p"), F.size("q"))
+    fold = lambda x: F.when(F.size(x) > half, F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))).otherwise(F.col(x))
+    differ = F.aggregate(F.zip_with(fold("p"), fold("q"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     pairs = pairs.join(bits.select(F.col("c").alias("a"), F.col("bits").alias("p")), "a").join(bits.select(F.col("c").alias("b"), F.col("bits").alias("q")), "b")
     pairs = pairs.where(differ <= F.col("total") - 2 * F.ceil(F.col("total") * percent / (100 + percent))).select("a", "b")
 
