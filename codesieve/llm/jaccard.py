@@ -36,7 +36,7 @@ from codesieve.llm.graph import components
 from codesieve.llm.order import LOWEST, by_key
 
 RUN, PERCENT = 4, 85
-FREQUENT, MAX_FREQUENT, SMALL, BLOCK, BITS = 32, 1 << 20, 8, 512, 512
+FREQUENT, MAX_FREQUENT, SMALL, BLOCK, BITS, LOW = 32, 1 << 20, 8, 512, 512, 8
 
 
 def token_set(text: bytes, run: int, known: WordHash) -> np.ndarray:
@@ -66,8 +66,8 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(-1, words), 0)
 
 
-_DOC = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
-_DOC_COLUMNS = "key long, n long, hi long, lo long, prefix array<long>, bits array<long>"
+_DOC = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("brief", pa.list_(pa.int64()))])
+_DOC_COLUMNS = "key long, n long, hi long, lo long, prefix array<long>, bits array<long>, brief array<long>"
 
 
 def _describe(run: int, percent: int):
@@ -87,7 +87,8 @@ def _describe(run: int, percent: int):
             yield pa.RecordBatch.from_arrays([
                 batch.column("key"), pa.array(n, pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)]).astype(np.int64))),
-                pa.ListArray.from_arrays(pa.array(widths), pa.array(np.concatenate([*bits, np.zeros(0, np.int64)]).astype(np.int64)))], schema=_DOC)
+                pa.ListArray.from_arrays(pa.array(widths), pa.array(np.concatenate([*bits, np.zeros(0, np.int64)]).astype(np.int64))),
+                pa.ListArray.from_arrays(pa.array(np.arange(0, BITS // 64 * len(n) + 1, BITS // 64, dtype=np.int32)), pa.array(np.concatenate([*(folded(b, BITS // 64) for b in bits), np.zeros(0, np.int64)]).astype(np.int64)))], schema=_DOC)
     return f
 
 
@@ -149,51 +150,70 @@ def _groups(batches) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _lists(g: pa.Table, column: str) -> np.ndarray:
+    """A column of lists of equal length as a matrix of unsigned numbers."""
+    flat = g.column(column).combine_chunks()
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(g), -1)
+
+
 def _meet(percent: int, nearest: bool):
-    """Candidate pairs of two blocks: each member's nearest, or all that are in different components."""
+    """Candidate pairs of two blocks: each member's nearest, or all that are in different components.
+
+    Two documents usually meet in many entries. Each carries its lowest entries; where both carry a lower one than this,
+    the pair is left to that entry.
+    """
     def f(batches):
         out, size = [], 0
+
+        def flush():
+            pairs = np.unique(np.concatenate(out), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_PAIR)
+
         for g in _groups(batches):
             c, n, side, label = (g.column(x).to_numpy() for x in ("c", "n", "side", "label"))
-            full = [np.array(x, np.int64).view(np.uint64) for x in g.column("bits").to_pylist()]
-            bits = np.stack([folded(x, BITS // 64) for x in full])
+            k = g.column("k")[0].as_py()
+            bits = _lists(g, "brief").view(np.uint64)
             same_block = g.column("i")[0].as_py() == g.column("j")[0].as_py()
             rows = np.arange(len(c)) if same_block else np.flatnonzero(side == 0)
             cols = np.arange(len(c)) if same_block else np.flatnonzero(side == 1)
             if not len(rows) or not len(cols):
                 continue
-            differ = np.bitwise_count(bits[rows][:, None, :] ^ bits[cols][None, :, :]).sum(2, dtype=np.int64)
+            differ = np.zeros((len(rows), len(cols)), np.int32)
+            for w in range(bits.shape[1]):
+                differ += np.bitwise_count(bits[rows, w][:, None] ^ bits[cols, w][None, :])
             total = n[rows][:, None] + n[cols][None, :]
             allowed = total - 2 * -(-percent * total // (100 + percent))
             good = (differ <= allowed) & (100 * np.minimum(n[rows][:, None], n[cols][None, :]) >= percent * np.maximum(n[rows][:, None], n[cols][None, :]))
             good &= c[rows][:, None] != c[cols][None, :]
-            if not nearest:
-                good &= label[rows][:, None] != label[cols][None, :]
-            for i, j in np.argwhere(good & (np.maximum(n[rows][:, None], n[cols][None, :]) > BITS // 2)).tolist():
-                x, y = full[rows[i]], full[cols[j]]
-                m = min(len(x), len(y))
-                differ[i, j] = np.bitwise_count(folded(x, m) ^ folded(y, m)).sum()
-                good[i, j] = differ[i, j] <= allowed[i, j]
             if nearest:
                 differ = np.where(good, differ, 1 << 30)
-                x = [(rows[i], cols[j]) for i, j in zip(range(len(rows)), differ.argmin(1)) if good[i, j]]
+                at = differ.argmin(1)
+                has = good[np.arange(len(rows)), at]
+                a, b = rows[has], cols[at[has]]
                 if not same_block:
-                    x += [(rows[i], cols[j]) for i, j in zip(differ.argmin(0), range(len(cols))) if good[i, j]]
-                a, b = (np.array([p[s] for p in x], np.int64) for s in (0, 1))
+                    at = differ.argmin(0)
+                    has = good[at, np.arange(len(cols))]
+                    a, b = np.concatenate([a, rows[at[has]]]), np.concatenate([b, cols[has]])
             else:
+                good &= label[rows][:, None] != label[cols][None, :]
                 a, b = np.nonzero(good)
                 a, b = rows[a], cols[b]
+                if len(a):
+                    low = _lists(g, "low")
+                    sooner = np.zeros(len(a), bool)
+                    for x in range(low.shape[1]):
+                        sooner |= ((low[a, x][:, None] == low[b]) & (low[b] < k)).any(1)
+                    a, b = a[~sooner], b[~sooner]
             if len(a):
                 pairs = np.unique(np.sort(np.stack([c[a], c[b]], 1), 1), axis=0)
                 out.append(pairs)
                 size += len(pairs)
             if size >= 50_000:
-                pairs = np.unique(np.concatenate(out), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_PAIR)
+                yield flush()
                 out, size = [], 0
         if out:
-            pairs = np.unique(np.concatenate(out), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_PAIR)
+            yield flush()
     return f
 
 
@@ -240,43 +260,48 @@ def linked(docs: DataFrame, run: int = RUN, percent: int = PERCENT) -> tuple[Dat
     entries = in_arrow(wide.select("key", "n", "prefix"), _entries(frequent, percent), "k long, c long, n long")
     shared = entries.groupBy("k").agg(F.count("*").alias("cnt")).where("cnt > 1")
     index = written(entries.join(shared, "k"))
-    bits = wide.select(F.col("key").alias("c"), "bits")
 
     few = index.where(F.col("cnt") <= SMALL)
     close = (F.col("x.c") < F.col("y.c")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    pairs = few.alias("x").join(few.alias("y"), "k").where(close).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), (F.col("x.n") + F.col("y.n")).alias("total")).distinct()
+    pairs = few.alias("x").join(few.alias("y"), "k").where(close).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
     half = F.least(F.size("p"), F.size("q"))
     fold = lambda x: F.when(F.size(x) > half, F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))).otherwise(F.col(x))
     differ = F.aggregate(F.zip_with(fold("p"), fold("q"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.join(bits.select(F.col("c").alias("a"), F.col("bits").alias("p")), "a").join(bits.select(F.col("c").alias("b"), F.col("bits").alias("q")), "b")
-    pairs = pairs.where(differ <= F.col("total") - 2 * F.ceil(F.col("total") * percent / (100 + percent))).select("a", "b")
+    total = F.col("n_a") + F.col("n_b")
+
+    def possible(some: DataFrame) -> DataFrame:
+        """Pairs whose whole bitmaps do not rule them out."""
+        some = some.join(wide.select(F.col("key").alias("a"), F.col("bits").alias("p"), F.col("n").alias("n_a")), "a").join(wide.select(F.col("key").alias("b"), F.col("bits").alias("q"), F.col("n").alias("n_b")), "b")
+        return some.where(differ <= total - 2 * F.ceil(total * percent / (100 + percent))).select("a", "b")
 
     blocks = F.ceil(F.col("cnt") / BLOCK).cast("int")
-    many = index.where(F.col("cnt") > SMALL).join(bits, "c").withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("c"), blocks).cast("int")})
-    many = written(many.select("k", "c", "n", "bits", "own", "blocks"))
+    many = index.where(F.col("cnt") > SMALL).join(wide.select(F.col("key").alias("c"), "brief"), "c").withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("c"), blocks).cast("int")})
+    many = written(many.select("k", "c", "n", "brief", "own", "blocks"))
 
     def meet(rows: DataFrame, nearest: bool) -> DataFrame:
-        met = rows.select("k", "c", "n", "bits", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        met = met.select("k", "c", "n", "bits", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+        kept = ["k", "c", "n", "brief", "label"] + ([] if nearest else ["low"])
+        met = rows.select(*kept, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        met = met.select(*kept, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
         return in_arrow(met.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j"), _meet(percent, nearest), "a long, b long")
 
-    pairs = written(pairs.unionByName(meet(many.withColumn("label", F.col("c")), True)).distinct())
-    needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    source = narrow.select("key", "text").join(needed, "key", "left_semi")
-    sets = written(in_arrow(source.dropDuplicates(["key"]) if repeated else source, _sets(run), "c long, tokens array<long>"))
-
     def verified(some: DataFrame) -> DataFrame:
+        """Pairs that are similar by their whole sets; these are made from the texts of the pairs' documents alone."""
+        needed = some.select(F.col("a").alias("key")).unionByName(some.select(F.col("b").alias("key"))).distinct()
+        source = narrow.select("key", "text").join(needed, "key", "left_semi")
+        sets = written(in_arrow(source.dropDuplicates(["key"]) if repeated else source, _sets(run), "c long, tokens array<long>"))
         both = some.join(sets.select(F.col("c").alias("a"), F.col("tokens").alias("s")), "a").join(sets.select(F.col("c").alias("b"), F.col("tokens").alias("t")), "b")
-        return both.where(_similar(F.size("s"), F.size("t"), F.size(F.array_intersect("s", "t")), percent)).select("a", "b")
+        return written(both.where(_similar(F.size("s"), F.size("t"), F.size(F.array_intersect("s", "t")), percent)).select("a", "b"))
 
-    links = written(verified(pairs))
+    pairs = written(possible(pairs.select("a", "b").unionByName(meet(many.withColumn("label", F.col("c")), True)).distinct()))
+    links = verified(pairs)
     labels = components(links)
     known = many.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("component", "c")).drop("component")
     # An entry whose members are all in one component has nothing more to say.
     open_entries = known.groupBy("k").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("k")
-    later = meet(known.join(open_entries, "k", "left_semi"), False).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = written(verified(later))
-    labels = written(components(links.unionByName(more)))
+    known = written(known.join(open_entries, "k", "left_semi"))
+    lowest = known.groupBy("c").agg(F.sort_array(F.collect_set("k")).alias("ks")).select("c", F.transform(F.sequence(F.lit(1), F.lit(LOW)), lambda i: F.coalesce(F.try_element_at("ks", i), F.element_at("ks", 1))).alias("low"))
+    later = written(possible(meet(known.join(lowest, "c"), False).distinct().join(pairs, ["a", "b"], "left_anti")))
+    labels = written(components(links.unionByName(verified(later))))
     out = members.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("component", "c")).select("key", "n", "c", "label")
     return out, keyed, repeated
 
