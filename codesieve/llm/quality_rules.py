@@ -11,8 +11,10 @@ a null id is passed on; no labels, or labels of one kind only, leave the base ru
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from codesieve.llm import labels as labelled
 from codesieve.llm.base import WordHash, by_batch, in_arrow, run_hashes, ship, texts
@@ -175,9 +177,6 @@ def judge(docs: DataFrame, trees: Trees | None) -> DataFrame:
 
 def keep(docs: DataFrame, trees: Trees | None) -> DataFrame:
     """The documents that pass, with all their columns."""
-    from pyspark.sql import functions as F
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def passes(text: pd.Series) -> pd.Series:
         return pd.Series(verdicts([(t or "").encode() for t in text], trees)["kept"])
