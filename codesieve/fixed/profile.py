@@ -4,10 +4,6 @@
 CONTEXT_SKIP_DIRS = [".git", "node_modules", "venv", "__pycache__", "build", "dist", ".next", "vendor", ".tox", "egg-info"]
 CONTEXT_EXTENSIONS = [".py", ".js", ".jsx", ".ts", ".tsx", ".java", ".go", ".rb", ".php", ".yml", ".yaml", ".json"]
 
-# How many files of a repository are sampled.
-TYPE_SAMPLE_FILES = 100
-ROUTE_SAMPLE_FILES = 50
-
 # Framework signs (any, ignore case), in report order.
 FRAMEWORKS = [
     ("django", [r"from django", r"import django", r"INSTALLED_APPS", r"manage\.py"]),

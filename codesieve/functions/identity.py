@@ -18,11 +18,11 @@ def fingerprint_full(file: Column, line: Column, category: Column, snippet: Colu
 
 
 def fingerprint_dedup(file: Column, line: Column, category: Column, snippet: Column) -> Column:
-    """A missing line and line 0 both print as nothing; the snippet counts up to 100 characters."""
+    """A missing line and line 0 both print as nothing; the whole snippet counts."""
     shown = F.when(line != 0, line.cast("string")).otherwise("")
     blank = F.lit("")
     return F.md5(F.concat_ws(":", F.coalesce(file, blank), F.coalesce(shown, blank), F.coalesce(category, blank),
-                             F.coalesce(F.substring(snippet, 1, 100), blank)))
+                             F.coalesce(snippet, blank)))
 
 
 def file_no(repo_id: Column, path: Column) -> Column:

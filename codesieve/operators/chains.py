@@ -29,7 +29,7 @@ def chain_roles(findings: DataFrame, scope: str = "repo_id") -> DataFrame:
     roles = F.array_compact(F.array(*[
         F.when(test, F.struct(F.lit(p).alias("pattern"), F.lit(s).alias("side"))) for p, s, test in parts]))
     return findings.select(
-        F.col(scope), F.col("id"), F.col("ord"), F.substring(F.coalesce("description", F.lit("")), 1, 50).alias("excerpt"),
+        F.col(scope), F.col("id"), F.col("ord"), F.coalesce("description", F.lit("")).alias("excerpt"),
         F.explode(roles).alias("r"),
     ).select(scope, "r.pattern", "r.side", "id", "ord", "excerpt")
 

@@ -6,7 +6,7 @@ as a few bits, so no source text is ever shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.fixed import profile as fixed
@@ -33,7 +33,7 @@ def file_flags(ctx_files: DataFrame) -> DataFrame:
     kinds = [sql_found([p]) for _, p in _SIGNS]
     moves = [sql_found([p], False) for p in (fixed.ROUTE_SIGN, fixed.CLIENT_SIGN)]
     calls = " + ".join(f"cast({sql_found([p], False)} as int)" for p in fixed.CLIENT_CALLS)
-    samples = [sql_found(fixed.SERVER_ROUTES, False), f"{calls} >= 2"]
+    routes = [sql_found(fixed.SERVER_ROUTES, False), f"{calls} >= 2"]
     path_kinds = [sql_found([p], **path) for _, p in _SIGNS]
     path_moves = [sql_found([p], False, **path) for p in (fixed.ROUTE_SIGN, fixed.CLIENT_SIGN)]
     packaged = " or ".join(f"contains(path, {quoted(f)})" for f in fixed.PACKAGING_FILES)
@@ -42,25 +42,17 @@ def file_flags(ctx_files: DataFrame) -> DataFrame:
         "repo_id", "path",
         _bits(frameworks).alias("framework_bits"),
         _bits(kinds + moves).alias("type_bits"),
-        _bits(samples).alias("sample_bits"),
+        _bits(routes).alias("route_bits"),
         _bits(path_kinds + path_moves + [packaged]).alias("path_bits"),
         F.expr(sql_found(fixed.AUTH_SIGNS)).alias("has_auth_check"),
     )
 
 
-def first_files(flags: DataFrame, n: int) -> DataFrame:
-    """The first n files of each repository by path; each task passes on at most n per repository."""
-    window = Window.partitionBy("repo_id").orderBy("path")
-    return flags.withColumn("position", F.row_number().over(window)).filter(F.col("position") <= n)
-
-
-def _sampled(flags: DataFrame) -> DataFrame:
-    early = F.col("position") <= fixed.ROUTE_SAMPLE_FILES
-    return first_files(flags, fixed.TYPE_SAMPLE_FILES).groupBy("repo_id").agg(
-        F.bit_or("framework_bits").alias("framework_bits"),
-        F.bit_or("type_bits").alias("type_bits"),
-        F.coalesce(F.bit_or(F.when(early, F.col("sample_bits"))), F.lit(0).cast("bigint")).alias("sample_bits"),
-    )
+def _by_repo(flags: DataFrame) -> DataFrame:
+    """The flags of all files of a repository together; each task sums its files up before the shuffle."""
+    return flags.groupBy("repo_id").agg(
+        *[F.bit_or(c).alias(c) for c in ("framework_bits", "type_bits", "route_bits", "path_bits")],
+        F.count(F.lit(1)).alias("n_files"), F.count_if("has_auth_check").alias("n_auth_files"))
 
 
 def _frameworks(column: str = "framework_bits") -> Column:
@@ -69,7 +61,7 @@ def _frameworks(column: str = "framework_bits") -> Column:
 
 
 def detect_frameworks(ctx_files: DataFrame) -> DataFrame:
-    return _sampled(file_flags(ctx_files)).select("repo_id", _frameworks().alias("frameworks"))
+    return _by_repo(file_flags(ctx_files)).select("repo_id", _frameworks().alias("frameworks"))
 
 
 def _type_scores() -> dict[str, Column]:
@@ -95,20 +87,18 @@ def _best_type(scores: dict[str, Column]) -> Column:
 
 def detect_codebase_type(ctx_files: DataFrame) -> DataFrame:
     """Repository type with the scores it follows from."""
-    flags = file_flags(ctx_files)
-    by_path = flags.groupBy("repo_id").agg(F.bit_or("path_bits").alias("path_bits"))
-    joined = _sampled(flags).join(by_path, "repo_id").withColumn("frameworks", _frameworks())
+    signs = _by_repo(file_flags(ctx_files)).withColumn("frameworks", _frameworks())
     scores = _type_scores()
-    return joined.select("repo_id", "frameworks", *[s.alias(f"score_{k}") for k, s in scores.items()],
+    return signs.select("repo_id", "frameworks", *[s.alias(f"score_{k}") for k, s in scores.items()],
                          _best_type(scores).alias("codebase_type"))
 
 
 def has_server_routes(ctx_files: DataFrame) -> DataFrame:
-    return _sampled(file_flags(ctx_files)).select("repo_id", F.expr(_bit("sample_bits", 0)).alias("has_server_routes"))
+    return _by_repo(file_flags(ctx_files)).select("repo_id", F.expr(_bit("route_bits", 0)).alias("has_server_routes"))
 
 
 def has_api_client_pattern(ctx_files: DataFrame) -> DataFrame:
-    return _sampled(file_flags(ctx_files)).select("repo_id", F.expr(_bit("sample_bits", 1)).alias("has_api_client_pattern"))
+    return _by_repo(file_flags(ctx_files)).select("repo_id", F.expr(_bit("route_bits", 1)).alias("has_api_client_pattern"))
 
 
 def file_context(ctx_files: DataFrame) -> DataFrame:
@@ -224,22 +214,20 @@ def lookup_file_context(df: DataFrame, contexts: DataFrame, path: str = "path")
 def profile_repo(src_files: DataFrame, flags: DataFrame | None = None) -> DataFrame:
     """One row per repository.
 
-    `flags` may be a stored `file_flags` table; otherwise the text is read
-    once for the sample and once for the authentication signs.
+    All files count. `flags` may be a stored `file_flags` table; otherwise the
+    text is read once.
     """
     flags = file_flags(scan_context_files(src_files)) if flags is None else flags
-    whole = flags.groupBy("repo_id").agg(
-        F.bit_or("path_bits").alias("path_bits"), F.count(F.lit(1)).alias("n_files"), F.count_if("has_auth_check").alias("n_auth_files"))
     # At most len(TEST_DIRECTORIES) spellings apart from case.
     tests = test_directories(src_files).groupBy("repo_id").agg(F.array_sort(F.collect_set("directory")).alias("test_directories"))
-    joined = whole.join(_sampled(flags), "repo_id").join(tests, "repo_id", "left").withColumn("frameworks", _frameworks())
+    joined = _by_repo(flags).join(tests, "repo_id", "left").withColumn("frameworks", _frameworks())
     scores = _type_scores()
     typed = joined.withColumn("codebase_type", _best_type(scores))
     return typed.select(
         "repo_id", "codebase_type", "frameworks", "n_files", "n_auth_files",
-        F.expr(_bit("sample_bits", 0)).alias("has_server_routes"),
+        F.expr(_bit("route_bits", 0)).alias("has_server_routes"),
         (F.col("n_auth_files") > 0).alias("has_auth_middleware"),
-        F.expr(_bit("sample_bits", 1)).alias("has_api_client_pattern"),
+        F.expr(_bit("route_bits", 1)).alias("has_api_client_pattern"),
         F.coalesce("test_directories", F.array().cast("array<string>")).alias("test_directories"),
         *security_rules(F.col("codebase_type")),
     )

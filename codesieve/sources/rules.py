@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,7 +121,10 @@ def load_fp_filters(spark: SparkSession, path: str | None = None, keep_hash_patt
     try:
         lines = spark.read.text(path)
         lines.schema
-    except Exception:
+    except AnalysisException as e:
+        # Only a file that is not there has a substitute; any other failure is the caller's to see.
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([(p,) for p in noise.NOISE_FALLBACK], "pattern string")
     active = ~F.col("value").startswith("#")
     if keep_hash_patterns:

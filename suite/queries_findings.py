@@ -45,7 +45,7 @@ over_findings(
         severity_rank(F.col("severity")).alias("rank"), cvss_or_default(F.col("cvss_score"), F.col("severity")).alias("cvss"),
         effort_hours(F.col("severity")).alias("hours")),
     f"""SELECT id, md5(file || ':' || coalesce(CAST(line AS VARCHAR), 'None') || ':' || category || ':' || code_snippet) AS full_fp,
-      md5(file || ':' || coalesce(CAST(NULLIF(line, 0) AS VARCHAR), '') || ':' || category || ':' || substr(code_snippet, 1, 100)) AS dedup_fp,
+      md5(file || ':' || coalesce(CAST(NULLIF(line, 0) AS VARCHAR), '') || ':' || category || ':' || code_snippet) AS dedup_fp,
       {RANK} AS rank, {CVSS} AS cvss, {EFFORT} AS hours FROM findings""")
 
 # --- filters ---------------------------------------------------------------------------------------------------------
@@ -120,7 +120,7 @@ over_findings("filter_by_severity_strict",
               f"SELECT {_COLS} FROM findings WHERE severity IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW')")
 
 # --- deduplication, statistics, order --------------------------------------------------------------------------------
-DEDUP = f"""keyed AS (SELECT *, md5(file || ':' || coalesce(CAST(NULLIF(line, 0) AS VARCHAR), '') || ':' || category || ':' || substr(code_snippet, 1, 100)) AS fp,
+DEDUP = f"""keyed AS (SELECT *, md5(file || ':' || coalesce(CAST(NULLIF(line, 0) AS VARCHAR), '') || ':' || category || ':' || code_snippet) AS fp,
     {RANK} AS rank FROM findings),
 unique_findings AS (SELECT * EXCLUDE (ord, fp, rank, pos, first_ord), first_ord AS ord FROM (
     SELECT *, row_number() OVER (PARTITION BY repo_id, fp ORDER BY rank, ord, id) AS pos, min(ord) OVER (PARTITION BY repo_id, fp) AS first_ord FROM keyed)
@@ -181,7 +181,7 @@ pairs AS (
 numbered AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY pattern, lo, ro) AS chain_no FROM pairs),
 chains AS (SELECT repo_id, 'CHAIN-' || CASE WHEN chain_no < 1000 THEN lpad(CAST(chain_no AS VARCHAR), 3, '0') ELSE CAST(chain_no AS VARCHAR) END AS id, chain_no, pattern, left_id, right_id,
   {case([(f'pattern = {r[0]}', lit(r[1])) for r in texts.CHAINS])} AS severity, {case([(f'pattern = {r[0]}', lit(r[2])) for r in texts.CHAINS])} AS impact,
-  CASE WHEN pattern = 1 THEN 'Attacker bypasses authentication (' || substr(ld, 1, 50) || '...) then accesses sensitive data (' || substr(rd, 1, 50) || '...)'
+  CASE WHEN pattern = 1 THEN 'Attacker bypasses authentication (' || ld || '...) then accesses sensitive data (' || rd || '...)'
        ELSE {case([(f'pattern = {r[0]}', lit(r[3])) for r in texts.CHAINS[1:]])} END AS description FROM numbered)"""
 _CHAIN = ["repo_id", "id", "chain_no", "pattern", "left_id", "severity", "impact", "description"]
 over_findings("attack_chains", lambda f: chains.attack_chains(f).select(*_CHAIN, F.coalesce("right_id", F.lit("")).alias("right_id")),
@@ -245,7 +245,7 @@ register(
     "weak_hash_by_severity",
     lambda s, d: aggregate.deduplicate(hash_findings(scan_weak_hash(views.src_files(s, d)))).groupBy("repo_id", "severity").agg(F.count(F.lit(1)).alias("n")),
     with_(o.hash_ctes(), """SELECT repo_id, severity, count(*) AS n FROM (
-      SELECT repo_id, severity, row_number() OVER (PARTITION BY repo_id, path, line_no, substr(code_snippet, 1, 100) ORDER BY
+      SELECT repo_id, severity, row_number() OVER (PARTITION BY repo_id, path, line_no, code_snippet ORDER BY
         CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END) AS pos FROM hash_scan) WHERE pos = 1 GROUP BY 1, 2"""),
 )
 

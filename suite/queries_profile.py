@@ -17,11 +17,10 @@ from suite.queries_findings import CVSS, NOISE, cascade
 from suite.registry import register, with_
 
 CTX = r"ctx AS (SELECT * FROM src_files WHERE regexp_matches(path, '\.(py|js|jsx|ts|tsx|java|go|rb|php|yml|yaml|json)$'))"
-RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS pos FROM ctx)"
 
 
-def _flag(test: str, sample: str = "pos <= 100") -> str:
-    return f"coalesce(bool_or({test}) FILTER (WHERE {sample}), false)"
+def _flag(test: str) -> str:
+    return f"coalesce(bool_or({test}), false)"
 
 
 def _signs() -> str:
@@ -31,9 +30,9 @@ def _signs() -> str:
     out.append(f"({_flag(like('content', fixed.ROUTE_SIGN, False))} OR bool_or({like('path', fixed.ROUTE_SIGN, False)})) AS routes")
     out.append(f"({_flag(like('content', fixed.CLIENT_SIGN, False))} OR bool_or({like('path', fixed.CLIENT_SIGN, False)})) AS client")
     out.append("bool_or(contains(path, 'setup.py') OR contains(path, 'pyproject.toml')) AS packaged")
-    out.append(f"{_flag(any_like('content', fixed.SERVER_ROUTES, False), 'pos <= 50')} AS server_routes")
+    out.append(f"{_flag(any_like('content', fixed.SERVER_ROUTES, False))} AS server_routes")
     calls = " + ".join(f"CAST({like('content', p, False)} AS INTEGER)" for p in fixed.CLIENT_CALLS)
-    out.append(f"{_flag(f'({calls}) >= 2', 'pos <= 50')} AS api_client")
+    out.append(f"{_flag(f'({calls}) >= 2')} AS api_client")
     out.append(f"count(*) FILTER (WHERE {any_like('content', fixed.AUTH_SIGNS)}) AS n_auth")
     out.append("count(*) AS n_files")
     return ", ".join(out)
@@ -57,7 +56,7 @@ _KINDS = [k for k, _ in fixed.TYPE_SIGNS]
 _NAMES = ", ".join(f"CASE WHEN fw_{n} THEN '{n}' END" for n, _ in fixed.FRAMEWORKS)
 _TOP = f"greatest({', '.join(f'score_{k}' for k in _KINDS)})"
 PROFILE = [
-    SRC_FILES, CTX, RANKED, f"signs_by_repo AS (SELECT repo_id, {_signs()} FROM ranked GROUP BY repo_id)",
+    SRC_FILES, CTX, f"signs_by_repo AS (SELECT repo_id, {_signs()} FROM ctx GROUP BY repo_id)",
     f"scored AS (SELECT *, {', '.join(_score(k) for k in _KINDS)}, coalesce(NULLIF(concat_ws(',', {_NAMES}), ''), 'none') AS frameworks FROM signs_by_repo)",
     f"profile AS (SELECT *, {case([(f'{_TOP} = 0', lit('unknown'))] + [(f'score_{k} = {_TOP}', lit(k)) for k in _KINDS])} AS codebase_type FROM scored)",
 ]

@@ -30,4 +30,4 @@ register("stream_weak_hash", lambda s, d: _stream(s, d, lambda src: hash_finding
          with_(o.hash_findings_ctes(), f"SELECT {', '.join(_COLUMNS)} FROM hash_findings"))
 register("dedup_stream", lambda s, d: _stream(s, d, lambda src: dedup_stream(hash_findings(scan_weak_hash(src))).select("repo_id", "fingerprint")).select(
             "repo_id", F.col("fingerprint")),
-         with_(o.hash_findings_ctes(), "SELECT DISTINCT repo_id, md5(file || ':' || line || ':' || category || ':' || substr(code_snippet, 1, 100)) AS fingerprint FROM hash_findings"))
+         with_(o.hash_findings_ctes(), "SELECT DISTINCT repo_id, md5(file || ':' || line || ':' || category || ':' || code_snippet) AS fingerprint FROM hash_findings"))

@@ -15,10 +15,11 @@ def ids(df):
 
 
 def test_deduplicate_keeps_the_most_severe_at_the_first_place(finding):
-    same = dict(file="a.py", line=3, category="XSS", code_snippet="s" * 120)
-    df = finding({**same, "severity": "MEDIUM"}, dict(file="b.py"), {**same, "severity": "CRITICAL"}, {**same, "severity": "CRITICAL"}, {**same, "code_snippet": "s" * 100 + "t", "severity": "INFO"})
+    same = dict(file="a.py", line=3, category="XSS", code_snippet="s" * 200)
+    df = finding({**same, "severity": "MEDIUM"}, dict(file="b.py"), {**same, "severity": "CRITICAL"}, {**same, "severity": "CRITICAL"}, {**same, "code_snippet": "s" * 149 + "t" * 51, "severity": "INFO"})
     got = aggregate.deduplicate(df).orderBy("ord").collect()
-    assert [(r.id, r.ord) for r in got] == [("F2", 0), ("F1", 1)]
+    # A snippet that differs from character 150 on is another finding.
+    assert [(r.id, r.ord) for r in got] == [("F2", 0), ("F1", 1), ("F4", 4)]
 
 
 def test_missing_line_and_line_zero_are_one_fingerprint_but_repositories_stay_apart(finding):
@@ -139,7 +140,7 @@ def test_chain_text(finding):
     df = finding(dict(severity="CRITICAL", category="authentication_bypass", description="d" * 60), dict(category="idor_data_exposure", description="short"))
     chain = chains.attack_chains(df).first()
     assert chain.severity == "CRITICAL" and chain.steps == ["F0", "F1"]
-    assert chain.description == f"Attacker bypasses authentication ({'d' * 50}...) then accesses sensitive data (short...)"
+    assert chain.description == f"Attacker bypasses authentication ({'d' * 60}...) then accesses sensitive data (short...)"
 
 
 def test_rank_within_equals_row_number(spark):

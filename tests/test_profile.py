@@ -26,16 +26,17 @@ def test_flags(src):
     assert p.n_files == 3 and p.check_client_side_auth is (p.codebase_type != "client_sdk")
 
 
-def test_sample_is_the_first_files_by_path(src):
-    files = [(f"f{i:03d}.py", "from django" if i == 100 else "@app.route" if i == 50 else "") for i in range(101)]
+def test_every_file_counts(src):
+    files = [(f"f{i:04d}.py", "from django" if i == 4999 else "@app.route" if i == 4000 else "") for i in range(5000)]
     p = kind(src, *files)
-    assert p.frameworks == ["flask"] and p.has_server_routes is False
-    assert kind(src, *files[1:]).frameworks == ["django", "flask"]
+    assert p.frameworks == ["django", "flask"] and p.has_server_routes is True and p.n_files == 5000
+    renamed = [(f"z{path}" if text else path, text) for path, text in files]
+    assert kind(src, *renamed).codebase_type == p.codebase_type
 
 
-def test_first_files_pass_few_rows_on(src):
-    plan = profile.detect_frameworks(src(("a.py", "")))._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "content" not in plan.split("Exchange")[0]
+def test_profile_shuffles_bits_only(src):
+    plan = profile.detect_codebase_type(src(("a.py", "")))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1 and "content" not in plan.split("Exchange")[0]
 
 
 CONTEXTS = [("base_auth.py", "class Base:\n    check_auth()"), ("plain.py", "x"), ("a.py", "class A(lib.Base_Auth, object):\n  pass"), ("b.py", "class B(Plain): pass"), ("c.py", "class C( ): pass\nclass D(A,): pass")]
