@@ -46,10 +46,21 @@ def _same_file(a: Column, b: Column, strict: bool) -> Column:
     return a.endswith(b) | b.endswith(a)
 
 
+def _repository(df: DataFrame) -> Column:
+    return F.col("repo_id") if "repo_id" in df.columns else F.lit(None).cast("string")
+
+
+def _same_corpus(ground_truth: DataFrame, norm_findings: DataFrame) -> Column:
+    """Same dataset and, if both tables name repositories, same repository (null meets null)."""
+    same = F.col("dataset") == F.col("f_dataset")
+    both = "repo_id" in ground_truth.columns and "repo_id" in norm_findings.columns
+    return same & F.col("repo_id").eqNullSafe(F.col("f_repo")) if both else same
+
+
 def _entries(ground_truth: DataFrame) -> DataFrame:
     dataset = F.col("dataset") if "dataset" in ground_truth.columns else F.lit("dataset")
     return ground_truth.select(
-        dataset.alias("dataset"), "id", norm_path(F.col("file")).alias("gt_path"), "cwe", F.coalesce("is_vulnerable", F.lit(False)).alias("is_vulnerable"),
+        dataset.alias("dataset"), _repository(ground_truth).alias("repo_id"), "id", norm_path(F.col("file")).alias("gt_path"), "cwe", F.coalesce("is_vulnerable", F.lit(False)).alias("is_vulnerable"),
         "line")
 
 
@@ -57,21 +68,21 @@ def _reports(norm_findings: DataFrame) -> DataFrame:
     has = norm_findings.columns
     return norm_findings.select(
         (F.col("dataset") if "dataset" in has else F.lit("dataset")).alias("f_dataset"),
-        (F.col("run_id") if "run_id" in has else F.lit("run")).alias("run_id"),
+        (F.col("run_id") if "run_id" in has else F.lit("run")).alias("run_id"), _repository(norm_findings).alias("f_repo"),
         norm_path(F.col("file")).alias("f_path"), F.col("cwe").alias("f_cwe"), F.col("line").alias("f_line"))
 
 
 def match_ground_truth(ground_truth: DataFrame, norm_findings: DataFrame, strict: bool = False) -> DataFrame:
-    """(run, dataset, entry id) of the entries reported with their CWE in their file.
+    """(run, dataset, repository, entry id) of the entries reported with their CWE in their file.
 
     A hash join on CWE and the end of the path; findings are made distinct
     first, so a file reported a million times meets its entry once.
     """
     truth = _entries(ground_truth).select("*", F.explode(_join_keys(F.col("gt_path"), True)).alias("key"))
-    seen = _reports(norm_findings).select("f_dataset", "run_id", "f_path", "f_cwe").distinct().select(
+    seen = _reports(norm_findings).select("f_dataset", "f_repo", "run_id", "f_path", "f_cwe").distinct().select(
         "*", F.explode(_join_keys(F.col("f_path"), False)).alias("f_key"))
-    same = (F.col("dataset") == F.col("f_dataset")) & F.col("cwe").eqNullSafe(F.col("f_cwe")) & (F.col("key") == F.col("f_key"))
-    return truth.join(seen, same & _same_file(F.col("gt_path"), F.col("f_path"), strict)).select("run_id", "dataset", "id").distinct()
+    same = _same_corpus(ground_truth, norm_findings) & F.col("cwe").eqNullSafe(F.col("f_cwe")) & (F.col("key") == F.col("f_key"))
+    return truth.join(seen, same & _same_file(F.col("gt_path"), F.col("f_path"), strict)).select("run_id", "dataset", "repo_id", "id").distinct()
 
 
 def match_within_lines(ground_truth: DataFrame, norm_findings: DataFrame, tol: int = 3, strict: bool = False) -> DataFrame:
@@ -89,11 +100,11 @@ def match_within_lines(ground_truth: DataFrame, norm_findings: DataFrame, tol: i
     lines = _reports(norm_findings).filter(F.col("f_line").isNotNull()).distinct().select(
         "*", F.floor(F.col("f_line") / strip_size).alias("f_strip"), F.explode(_join_keys(F.col("f_path"), False)).alias("f_key"))
     same = (
-        (F.col("dataset") == F.col("f_dataset")) & F.col("cwe").eqNullSafe(F.col("f_cwe")) & (F.col("key") == F.col("f_key"))
+        _same_corpus(ground_truth, norm_findings) & F.col("cwe").eqNullSafe(F.col("f_cwe")) & (F.col("key") == F.col("f_key"))
         & (F.col("strip") == F.col("f_strip"))
     )
     near = F.abs(F.col("line") - F.col("f_line")) <= tol
-    hits = labelled.join(lines, same & near & _same_file(F.col("gt_path"), F.col("f_path"), strict)).select("run_id", "dataset", "id").distinct()
+    hits = labelled.join(lines, same & near & _same_file(F.col("gt_path"), F.col("f_path"), strict)).select("run_id", "dataset", "repo_id", "id").distinct()
     safe = match_ground_truth(ground_truth.filter(~F.coalesce("is_vulnerable", F.lit(False))), norm_findings, strict)
     return hits.unionByName(safe)
 
@@ -130,19 +141,29 @@ def confusion_counts(ground_truth: DataFrame, matched: DataFrame, runs: DataFram
             F.count_if("is_vulnerable").alias(vulnerable), F.count_if(~F.col("is_vulnerable")).alias(safe))
 
     totals = by_bucket(truth, ["dataset"], "pos", "neg")
-    hits = by_bucket(matched.join(truth.select("dataset", "id", "cwe", "is_vulnerable"), ["dataset", "id"]), ["run_id", "dataset"], "tp", "fp")
+    known = truth.select(F.col("dataset").alias("t_dataset"), F.col("repo_id").alias("t_repo"), F.col("id").alias("t_id"), "cwe", "is_vulnerable")
+    entry = (F.col("dataset") == F.col("t_dataset")) & F.col("repo_id").eqNullSafe(F.col("t_repo")) & (F.col("id") == F.col("t_id"))
+    hits = by_bucket(matched.join(known, entry), ["run_id", "dataset"], "tp", "fp")
     rows = totals.join(runs.distinct(), "dataset").join(hits, ["run_id", "dataset", "bucket"], "left")
     tp, fp = F.coalesce("tp", F.lit(0)), F.coalesce("fp", F.lit(0))
     return rows.select("run_id", "dataset", "bucket", tp.alias("tp"), fp.alias("fp"), (F.col("pos") - tp).alias("fn"), (F.col("neg") - fp).alias("tn"))
 
 
-def run_list(norm_findings: DataFrame) -> DataFrame:
-    return _reports(norm_findings).select("run_id", F.col("f_dataset").alias("dataset")).distinct()
+def run_list(norm_findings: DataFrame, ground_truth: DataFrame | None = None) -> DataFrame:
+    """(run_id, dataset) of the findings; with the ground truth, a dataset without any finding is a run named `run`.
+
+    A run that is silent on one dataset only cannot be seen in the findings: list it in `runs`.
+    """
+    seen = _reports(norm_findings).select("run_id", F.col("f_dataset").alias("dataset")).distinct()
+    if ground_truth is None:
+        return seen
+    datasets = _entries(ground_truth).select("dataset").distinct()
+    return datasets.join(seen, "dataset", "left").select(F.coalesce("run_id", F.lit("run")).alias("run_id"), "dataset")
 
 
 def score_tool(ground_truth: DataFrame, norm_findings: DataFrame, tol: int = 3, runs: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """Metrics by run, dataset, granularity and bucket. No line rows where no vulnerable entry has a line."""
-    runs = run_list(norm_findings) if runs is None else runs
+    runs = run_list(norm_findings, ground_truth) if runs is None else runs
     by_file = confusion_counts(ground_truth, match_ground_truth(ground_truth, norm_findings, strict), runs)
     labelled = _entries(ground_truth).filter(F.col("is_vulnerable") & F.col("line").isNotNull()).select("dataset").distinct()
     by_line = confusion_counts(ground_truth, match_within_lines(ground_truth, norm_findings, tol, strict), runs).join(labelled, "dataset", "left_semi")
@@ -150,13 +171,16 @@ def score_tool(ground_truth: DataFrame, norm_findings: DataFrame, tol: int = 3,
     return classification_metrics(both)
 
 
-def score_counts(ground_truth: DataFrame, norm_findings: DataFrame) -> DataFrame:
+def score_counts(ground_truth: DataFrame, norm_findings: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Sizes of the ground truth by dataset, with the number of findings of each run, 0 included."""
+    runs = run_list(norm_findings, ground_truth) if runs is None else runs.distinct()
     truth = _entries(ground_truth).groupBy("dataset").agg(
         F.count(F.lit(1)).alias("ground_truth_entries"), F.count_if("is_vulnerable").alias("vulnerable"),
         F.count_if(~F.col("is_vulnerable")).alias("non_vulnerable"),
         F.count_if(F.col("is_vulnerable") & F.col("line").isNotNull()).alias("vulnerable_entries_with_line_labels"))
     reports = _reports(norm_findings).groupBy("run_id", F.col("f_dataset").alias("dataset")).agg(F.count(F.lit(1)).alias("tool_findings"))
-    return truth.join(reports, "dataset")
+    rows = truth.join(runs, "dataset").join(reports, ["run_id", "dataset"], "left")
+    return rows.withColumn("tool_findings", F.coalesce("tool_findings", F.lit(0)))
 
 
 def metrics_across_runs(scores: DataFrame) -> DataFrame:
@@ -173,10 +197,10 @@ def metrics_across_runs(scores: DataFrame) -> DataFrame:
 
 
 def finding_stability(norm_findings: DataFrame, n_runs: int | None = None) -> DataFrame:
-    """Share of the distinct (file, CWE) reports that all runs made; null without reports."""
+    """Share of the distinct (dataset, repository, file, CWE) reports that all runs made; null without reports."""
     reports = _reports(norm_findings)
     runs = F.lit(n_runs) if n_runs else reports.select(F.count_distinct("run_id")).scalar()
-    pairs = reports.groupBy("f_path", "f_cwe").agg(F.count_distinct("run_id").alias("n"))
+    pairs = reports.groupBy("f_dataset", "f_repo", "f_path", "f_cwe").agg(F.count_distinct("run_id").alias("n"))
     return pairs.agg(F.count_if(F.col("n") == runs).alias("in_all"), F.count(F.lit(1)).alias("in_any")).select(
         F.when(F.col("in_any") > 0, F.col("in_all") / F.col("in_any")).alias("stability"), "in_all", "in_any")
 

@@ -127,3 +127,27 @@ def test_costs_and_models(spark):
     tasks = spark.createDataFrame([("SAST",), ("validation",), ("other",), (None,)], "task string")
     assert [r.model for r in model_io.select_model(tasks).collect()] == ["claude-3.7-sonnet", "gpt4o-mini", "claude", "claude"]
     assert model_io.select_model(tasks, "mine").first().model == "mine"
+
+
+REPOS = "id string, repo_id string, file string, cwe int, is_vulnerable boolean, line int"
+
+
+def test_repositories_are_scored_apart(spark):
+    entries = spark.createDataFrame([("g1", "A", "a.py", 89, True, 3), ("g1", "B", "a.py", 89, True, 3), ("g2", None, "a.py", 89, True, 3)], REPOS)
+    reports = spark.createDataFrame([("A", "a.py", 3, 89)], "repo_id string, file string, line int, cwe int")
+    for match in (evaluate.match_ground_truth, evaluate.match_within_lines):
+        assert [(r.repo_id, r.id) for r in match(entries, reports).collect()] == [("A", "g1")]
+    got = {r.granularity: (r.tp, r.fn) for r in evaluate.score_tool(entries, reports).filter("bucket = 'overall'").collect()}
+    assert got == {"file_cwe": (1, 2), "line": (1, 2)}
+    # A corpus without repositories takes findings of any.
+    assert evaluate.match_ground_truth(entries.filter("id = 'g2'").drop("repo_id"), reports).count() == 1
+    runs = spark.createDataFrame([("A", "a.py", 3, 89, "r1"), ("B", "a.py", 3, 89, "r2")], "repo_id string, file string, line int, cwe int, run_id string")
+    assert evaluate.finding_stability(runs).first().in_any == 2
+
+
+def test_a_run_without_findings_misses_everything(spark):
+    entries = spark.createDataFrame([("g1", "A", "a.py", 89, True, 3), ("g2", "A", "b.py", 79, False, None)], REPOS)
+    none = spark.createDataFrame([], "repo_id string, file string, line int, cwe int")
+    got = evaluate.score_tool(entries, none).filter("bucket = 'overall' and granularity = 'file_cwe'").first()
+    assert (got.run_id, got.tp, got.fp, got.fn, got.tn) == ("run", 0, 0, 1, 1)
+    assert evaluate.score_counts(entries, none).first().tool_findings == 0
