@@ -294,14 +294,16 @@ def linked(docs: DataFrame, run: int = RUN, percent: int = PERCENT) -> tuple[Dat
 
     pairs = written(possible(pairs.select("a", "b").unionByName(meet(many.withColumn("label", F.col("c")), True)).distinct()))
     links = verified(pairs)
-    labels = components(links)
+    labels = written(components(links))
     known = many.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("component", "c")).drop("component")
     # An entry whose members are all in one component has nothing more to say.
     open_entries = known.groupBy("k").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("k")
     known = written(known.join(open_entries, "k", "left_semi"))
     lowest = known.groupBy("c").agg(F.sort_array(F.collect_set("k")).alias("ks")).select("c", F.transform(F.sequence(F.lit(1), F.lit(LOW)), lambda i: F.coalesce(F.try_element_at("ks", i), F.element_at("ks", 1))).alias("low"))
     later = written(possible(meet(known.join(lowest, "c"), False).distinct().join(pairs, ["a", "b"], "left_anti")))
-    labels = written(components(links.unionByName(verified(later))))
+    # The components so far are stars, so only what the later links join moves.
+    stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    labels = written(components(stars.unionByName(verified(later))))
     out = members.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("component", "c")).select("key", "n", "c", "label")
     return out, keyed, repeated
 
