@@ -9,6 +9,11 @@ A piece's first token has nothing before it in its segment to be predicted from,
 Documents are tokenised where they are read and packed in the same task: no shuffle, and a pool of at most `POOL` items is
 all that is held. Task numbers and the order of rows come from the scan, so a repeated task gives the same pieces.
 
+With a training order, documents are range-sorted by it first, and sequence ids follow it: the pool is a window of WINDOW
+tokens in that order, emptied before the next begins. Only its last, unfilled sequence goes on, as the start of the next
+window's; full parts of long texts wait in the window like the rest. Sequences of a window are numbered by the mean place
+of their tokens.
+
 Defined cases: null text is empty, and an empty text is its end id alone; repeated rows are packed each; a null id is
 passed on; no rows give no pieces; other columns are not looked at.
 """
@@ -17,16 +22,19 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.llm.base import in_arrow
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS, END_ID, POOL = 4096, 256, 4095, 2, 2048
+#: Tokens that share one stretch of the training order.
+WINDOW = 32 * MAX_TOKENS
 _ROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -95,19 +103,19 @@ def encoder(path: str | None) -> Encoder:
 
 
 class Packer:
-    """Packs the items of one task; `rows` collects finished pieces."""
+    """Packs the items of one task; `rows` collects finished pieces. `window`: tokens of a stretch of the training order, if it has one."""
 
-    def __init__(self, task: int, max_tokens: int, max_segments: int, max_loss: int):
-        self.next, self.tokens, self.segments, self.loss = task << 32, max_tokens, max_segments, max_loss
+    def __init__(self, task: int, max_tokens: int, max_segments: int, max_loss: int, window: int | None = None):
+        self.next, self.tokens, self.segments, self.loss, self.window = task << 32, max_tokens, max_segments, max_loss, window
         self.largest = min(max_tokens, max_loss + 1)
-        self.items: list[tuple] = []  # (doc_id, start, ids, doc_tokens)
-        self.sizes = np.zeros(0, np.int64)
+        self.items: list[tuple] = []  # (doc_id, start, ids, doc_tokens, place)
+        self.open: list[tuple] = []  # of the window before
         self.rows: list[tuple] = []
-        self.held = 0
+        self.held = self.waiting = self.place = 0
 
     def emit(self, pieces: list[tuple]) -> None:
         at = 0
-        for doc, start, ids, total in pieces:
+        for doc, start, ids, total, _ in pieces:
             n = len(ids) // 4
             self.rows.append((doc, start, n, ids, total, self.next, at))
             self.held += len(ids)
@@ -118,21 +126,29 @@ class Packer:
         total, step = len(ids) // 4, self.largest
         for start in range(0, total, step):
             part = ids[4 * start:4 * (start + step)]
-            if len(part) == 4 * self.tokens:
-                self.emit([(doc, start, part, total)])
+            item = (doc, start, part, total, self.place)
+            if self.window:
+                self.items.append(item)
+                self.waiting += len(part) // 4
+                if self.waiting >= self.window:
+                    self.pack(0)
+            elif len(part) == 4 * self.tokens:
+                self.emit([item])
             else:
-                self.items.append((doc, start, part, total))
-        if len(self.items) >= POOL:
+                self.items.append(item)
+        self.place += 1
+        if not self.window and len(self.items) >= POOL:
             self.pack(POOL // 2)
 
-    def pack(self, leave: int) -> None:
+    def pack(self, leave: int, last: bool = False) -> None:
         """Fill sequences until at most `leave` items are in the pool."""
         items, sizes = self.items, np.array([len(x[2]) // 4 for x in self.items], np.int64)
         free = np.ones(len(items), bool)
         left = len(items)
         limit = np.array([self.tokens, self.segments, self.loss], float)
-        while left > leave:
-            room, chosen = limit.copy(), []
+        done, chosen, self.open, self.waiting = [], self.open, [], 0
+        while left > leave or chosen:
+            room = limit - [sum(len(x[2]) // 4 for x in chosen), len(chosen), sum(len(x[2]) // 4 - 1 for x in chosen)]
             while left and room[0] > 0 and room[1] > 0:
                 most = min(room[0], room[2] + 1)
                 if most < 1:
@@ -144,37 +160,45 @@ class Packer:
                 whole = free[best] and sizes[best] <= most
                 if not whole:
                     best = int(product.argmax())
-                doc, start, ids, total = items[best]
+                doc, start, ids, total, place = items[best]
                 n = int(sizes[best] if whole else most)
-                chosen.append((doc, start, ids[:4 * n], total))
+                chosen.append((doc, start, ids[:4 * n], total, place))
                 room -= (n, 1, n - 1)
                 if whole:
                     free[best], sizes[best] = False, 0
                     left -= 1
                 else:
-                    items[best], sizes[best] = (doc, start + n, ids[4 * n:], total), sizes[best] - n
+                    items[best], sizes[best] = (doc, start + n, ids[4 * n:], total, place), sizes[best] - n
             if room[0] == 0:
-                self.emit(chosen)
+                done.append(chosen)
+            elif self.window and not last and not left and room[1] > 0 and room[2] >= 0:
+                self.open = chosen
             else:
-                self.powers(chosen)
+                done += self.powers(chosen)
+            chosen = []
+        if self.window:
+            done.sort(key=lambda pieces: sum(len(x[2]) * x[4] for x in pieces) / sum(len(x[2]) for x in pieces))
+        for pieces in done:
+            self.emit(pieces)
         self.items = [x for x, f in zip(items, free) if f]
 
-    def powers(self, pieces: list[tuple]) -> None:
+    def powers(self, pieces: list[tuple]) -> list[list[tuple]]:
         """Sequences whose lengths are the binary digits of what the pieces hold together."""
-        total = sum(len(x[2]) // 4 for x in pieces)
+        total, found = sum(len(x[2]) // 4 for x in pieces), []
         for bit in range(total.bit_length() - 1, -1, -1):
             need, out = total & (1 << bit), []
             while need:
-                doc, start, ids, whole = pieces[0]
+                doc, start, ids, whole, place = pieces[0]
                 n = min(need, len(ids) // 4)
-                out.append((doc, start, ids[:4 * n], whole))
+                out.append((doc, start, ids[:4 * n], whole, place))
                 need -= n
                 if 4 * n == len(ids):
                     pieces = pieces[1:]
                 else:
-                    pieces = [(doc, start + n, ids[4 * n:], whole), *pieces[1:]]
+                    pieces = [(doc, start + n, ids[4 * n:], whole, place), *pieces[1:]]
             if out:
-                self.emit(out)
+                found.append(out)
+        return found
 
     def take(self, all_of_them: bool = False):
         if self.rows and (all_of_them or self.held >= 8 << 20):
@@ -182,22 +206,39 @@ class Packer:
             self.rows, self.held = [], 0
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, end_id: int = END_ID) -> DataFrame:
+def stored_order() -> list[Column]:
+    """The order in which a table's rows were written: number of the part file, its name, row in it.
+
+    Spark names the files of a range-sorted table by the number of their range, but reads them in another order.
+    """
+    name = F.col("_metadata.file_name")
+    return [F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long"), name, F.col("_metadata.row_index")]
+
+
+def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, end_id: int = END_ID,
+         order: Sequence[Column] = (), window: int = WINDOW) -> DataFrame:
     """Pieces of (doc_id, text) rows with their place in sequences; `ids` holds little-endian unsigned 32-bit integers.
 
-    `tokenizer`: path of a tokenizer file each executor has; None: the public word vocabulary.
+    `tokenizer`: path of a tokenizer file each executor has; None: the public word vocabulary. `order`: the training order
+    that sequence ids are to follow, see `stored_order`; `window`: tokens of it that are packed together.
     """
+    keys = {f"_order{i}": c for i, c in enumerate(order)}
+    stretch = window if keys else None
+
     def run(batches):
         packer, encode, end = None, None, np.array([end_id], "<u4").tobytes()
         for b in batches:
             if packer is None:
-                packer, encode = Packer(TaskContext.get().partitionId(), max_tokens, max_segments, max_loss), encoder(tokenizer)
+                packer, encode = Packer(TaskContext.get().partitionId(), max_tokens, max_segments, max_loss, stretch), encoder(tokenizer)
             column = b.column("text")
             for i, doc in enumerate(b.column("doc_id").to_pylist()):
                 packer.add(doc, encode(column[i].as_py() or "") + end)
                 yield from packer.take()
         if packer is not None:
-            packer.pack(0)
+            packer.pack(0, last=True)
             yield from packer.take(True)
 
-    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECES)
+    df = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(c.alias(k) for k, c in keys.items()))
+    if keys:
+        df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return in_arrow(df.select("doc_id", "text"), run, PIECES)

@@ -31,8 +31,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in sequences."""
-    return packing.pack(docs)
+    """Token pieces in sequences that follow the training order, which is the order the mixture was written in."""
+    return packing.pack(docs, order=packing.stored_order())
 
 
 STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("personal data", personal_data), ("mixing", mixture), ("packing", packed)]

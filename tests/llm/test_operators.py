@@ -110,6 +110,58 @@ def test_packing(docs, odd):
     assert packing.pack(empty(odd)).count() == 0
 
 
+def test_sequences_follow_training_order(spark, docs):
+    """On a table of several part files, whose scan order differs from the order they were written in."""
+    import corpus_pipeline
+    rows = base.written(docs.crossJoin(spark.range(12)).withColumn("doc_id", F.col("doc_id") + 100_000 * F.col("id")).drop("id"))
+    copies = mixing.plan(rows).select("doc_id", F.explode("positions").alias("position")).collect()
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed = base.written(corpus_pipeline.mixture(spark, rows, SMALL))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(mixed.inputFiles()) > 1
+    pieces = corpus_pipeline.packed(spark, mixed, SMALL).collect()
+    want, got, length = collections.defaultdict(list), collections.defaultdict(list), {}
+    for r in copies:
+        want[r.doc_id].append(r.position)
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        length[p.doc_id] = max(length.get(p.doc_id, 0), p.doc_tokens)
+        got[p.doc_id].append((p.start, p.length, p.doc_tokens, p.sequence_id))
+    assert set(got) == set(want)
+    once = {d for d, x in want.items() if len(x) == 1}
+    starts, at = {}, 0
+    for position, d in sorted((x, d) for d, xs in want.items() for x in xs):
+        starts.setdefault(d, at)
+        at += length[d]
+    assert at > 4 * packing.WINDOW and len(once) > 50
+    placed = sorted((sequence, starts[d] + start) for d in once for start, n, _, sequence in got[d])
+    furthest = np.maximum.accumulate([p for _, p in placed])
+    assert all(p >= f - 2 * packing.WINDOW for (_, p), f in zip(placed, furthest))
+
+
+def test_packing_windows():
+    """Each window's tokens leave in its own sequences or in the next window's; nothing waits longer, nothing is lost."""
+    rng = np.random.default_rng(5)
+    sizes = [int(n) for n in rng.choice([1, 3, 40, 300, 900, 5000, 12_000], 600)]
+    packer = packing.Packer(7, 4096, 256, 4095, 8 * 4096)
+    for d, n in enumerate(sizes):
+        packer.add(d, np.arange(n, dtype="<u4").tobytes())
+    packer.pack(0, last=True)
+    first, sums, seen = np.concatenate([[0], np.cumsum(sizes)]), collections.Counter(), collections.defaultdict(list)
+    furthest = 0
+    for d, start, n, ids, total, sequence, at in packer.rows:
+        assert total == sizes[d] and at == sums[sequence] and np.array_equal(np.frombuffer(ids, "<u4"), np.arange(start, start + n))
+        sums[sequence] += n
+        seen[d].append((start, n))
+        furthest = max(furthest, first[d] + start)
+        assert first[d] + start + 2 * (8 * 4096 + 4096) >= furthest
+    assert all(sum(n for _, n in x) == sizes[d] and len({s for s, _ in x}) == len(x) for d, x in seen.items()) and len(seen) == len(sizes)
+    assert [r[5] for r in packer.rows] == sorted(r[5] for r in packer.rows) and min(sums) == 7 << 32
+    assert all(n == 4096 or n & (n - 1) == 0 for n in sums.values()) and max(sums.values()) == 4096
+
+
 def plain_dedup(rows):
     seen, out = {}, []
     windows = [(i, j, tuple(w[j:j + 20])) for i, (_, w) in enumerate(rows) for j in range(len(w) - 19)]
