@@ -314,6 +314,22 @@ def test_mixing(spark, docs, odd):
     assert sum(len(words(r.text)) for r in mixing.mix(odd).collect()) == sum(r.taken for r in mixing.plan(odd).collect())
 
 
+def test_mixing_equal_rows_of_several_sources(spark):
+    """Rows equal in id and text, but of different sources, keep their own source's copies; one id's rows spread over slices."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(5 + i)) for i in range(20)]
+    rows = [(None, t, s) for t in texts for s in ("a", "b", None)] + [(7, t, s) for t in texts for s in ("c", "a")] + [(i, "x " * 400, "d") for i in range(100, 110)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.plan(df).collect()
+    taken, mixed = collections.Counter(), collections.Counter()
+    for r in plan:
+        taken[r.source] += r.taken
+    for r in mixing.mix(df).collect():
+        mixed[r.source] += len(words(r.text))
+    assert len({taken[s] for s in ("a", "b", "c", None)}) > 1 and mixed == taken
+    first = {r.positions[0] for r in plan if r.doc_id is None and r.source == "b" and r.positions}
+    assert len(first) > 1 and len(plan) == len(rows)
+
+
 def test_inverse_demand():
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
