@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.llm import byte_cnn, chat, jaccard, labels, mixing, packing, pii, quality_rules, separators, sketch, substrings
+from codesieve.llm import byte_cnn, chat, fim, jaccard, labels, merkle, mixing, packing, pieces, pii, quality_rules, separators, sketch, substrings
 from codesieve.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,80 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("first_position"))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.restored(fim.transform(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+ORACLES["op11_fill_in_middle"] = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+draws AS (SELECT *, CAST(('0x' || s[1:8]) AS BIGINT) % (n + 1) AS x, CAST(('0x' || s[9:16]) AS BIGINT) % (n + 1) AS y,
+    CAST(('0x' || s[17:24]) AS BIGINT) AS h3, CAST(('0x' || s[25:32]) AS BIGINT) AS h4 FROM texts),
+forms AS (SELECT *, least(x, y) AS a, greatest(x, y) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM draws),
+parts AS (SELECT *, '<P>' || substring(t, 1, a) AS p, '<M>' || substring(t, a + 1, b - a) AS m, '<S>' || substring(t, b + 1) AS z FROM forms)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN p || z || m ELSE z || p || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
+@query
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2("spans", 256).alias("spans_sha256"))
+
+
+MANIFEST = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    raised = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    received = merkle.leaf([raised if c == "n_chars" else F.col(c) for c in MANIFEST])
+    rows = merkle.manifest(docs, MANIFEST, "lang", received)
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _shown(column: str) -> str:
+    text = f"CAST({column} AS VARCHAR)"
+    return f"coalesce(strlen({text}) || ':' || {text}, '-')"
+
+
+def _tree(name: str) -> str:
+    """Nodes, heads and climbs of the trees over `{name}_leaves` (tree, pos, h)."""
+    return f"""
+{name} AS (SELECT tree, 0 AS level, pos, h FROM {name}_leaves
+    UNION ALL SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}) WHERE n > 1 GROUP BY tree, level, pos // 2),
+{name}_heads AS (SELECT tree, max(level) AS height, arg_max(h, level) AS h FROM {name} GROUP BY tree)"""
+
+
+def _climb(name: str, start: str) -> str:
+    """From (k, tree, pos, h, siblings) up to the tree's head, one level at a time."""
+    return f"""
+{name}_climb AS (SELECT k, tree, 0 AS level, pos, h, siblings FROM {start}
+    UNION ALL SELECT c.k, c.tree, c.level + 1, c.pos // 2, sha256(CASE WHEN c.pos % 2 = 1 THEN s.h || c.h ELSE c.h || coalesce(s.h, '') END), c.siblings || coalesce(s.h, '')
+    FROM {name}_climb c JOIN {name}_heads e ON c.tree = e.tree AND c.level < e.height LEFT JOIN {name} s ON s.tree = c.tree AND s.level = c.level AND s.pos = xor(c.pos, 1)),
+{name}_ends AS (SELECT c.* FROM {name}_climb c JOIN {name}_heads e ON c.tree = e.tree AND c.level = e.height)"""
+
+
+#: CRC-32 of a decimal number: each byte is mixed in, then eight times the lowest bit decides on the polynomial.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST({} AS VARCHAR), ''), lambda d: [CAST(ord(d) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"""
+_LEAF = "sha256(" + " || ".join(_shown(c) for c in MANIFEST) + ")"
+_RECEIVED = _LEAF.replace(_shown("n_chars"), _shown("raised"))
+ORACLES["op13_merkle_manifest"] = f"""
+WITH RECURSIVE base AS (SELECT *, n_chars + CASE WHEN {_CRC32.format('doc_id')} % 7 = 0 THEN 1 ELSE 0 END AS raised FROM documents),
+hashed AS (SELECT doc_id, {_LEAF} AS leaf, {_RECEIVED} AS received, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM base),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS k FROM hashed),
+low_leaves AS (SELECT tree, pos, leaf AS h FROM placed),{_tree("low")},
+top_leaves AS (SELECT 0 AS tree, tree AS pos, h FROM low_heads),{_tree("top")},
+low_start AS (SELECT k, tree, pos, received AS h, '' AS siblings FROM placed),{_climb("low", "low_start")},
+top_start AS (SELECT k, 0 AS tree, tree AS pos, h, siblings FROM low_ends),{_climb("top", "top_start")}
+SELECT p.doc_id, p.leaf, l.h AS subroot, r.h AS root, sha256(e.siblings) AS proof_sha256, e.h AS folded_root, e.h = r.h AS verified
+FROM placed p JOIN top_ends e USING (k) JOIN low_heads l ON l.tree = p.tree CROSS JOIN top_heads r
+"""
