@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,11 +85,13 @@ def _describe(run: int, percent: int):
             ids = np.array(ids, np.int64).reshape(len(n), 2)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             widths = np.concatenate([[0], np.cumsum([len(b) for b in bits])]).astype(np.int32)
+            briefs = [folded(b, max(BITS, 1 << (m - 1).bit_length()) // 64) if m > 1 else folded(b, BITS // 64) for b, m in zip(bits, n)]
+            narrow = np.concatenate([[0], np.cumsum([len(b) for b in briefs])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 batch.column("key"), pa.array(n, pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)]).astype(np.int64))),
                 pa.ListArray.from_arrays(pa.array(widths), pa.array(np.concatenate([*bits, np.zeros(0, np.int64)]).astype(np.int64))),
-                pa.ListArray.from_arrays(pa.array(np.arange(0, BITS // 64 * len(n) + 1, BITS // 64, dtype=np.int32)), pa.array(np.concatenate([*(folded(b, BITS // 64) for b in bits), np.zeros(0, np.int64)]).astype(np.int64)))], schema=_DOC)
+                pa.ListArray.from_arrays(pa.array(narrow), pa.array(np.concatenate([*briefs, np.zeros(0, np.int64)]).astype(np.int64)))], schema=_DOC)
     return f
 
 
@@ -150,11 +153,16 @@ def _groups(batches) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _lists(g: pa.Table, column: str) -> np.ndarray:
-    """A column of lists of equal length as a matrix of unsigned numbers."""
-    flat = g.column(column).combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(g), -1)
+def _lists(g: pa.Table, column: str, rows: np.ndarray) -> np.ndarray:
+    """A column of lists at rows where they are equally long, as a matrix of numbers."""
+    some = pa.concat_arrays(g.column(column).take(pa.array(rows)).chunks)
+    return some.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+
+def _bits(g: pa.Table, rows: np.ndarray, words: int) -> np.ndarray:
+    """Short bitmaps of rows that have as many words, or twice as many: these are folded."""
+    bits = _lists(g, "brief", rows).view(np.uint64)
+    return bits if bits.shape[1] == words else bits[:, :words] ^ bits[:, words:]
 
 
 def _meet(percent: int, nearest: bool):
@@ -173,38 +181,43 @@ def _meet(percent: int, nearest: bool):
         for g in _groups(batches):
             c, n, side, label = (g.column(x).to_numpy() for x in ("c", "n", "side", "label"))
             k = g.column("k")[0].as_py()
-            bits = _lists(g, "brief").view(np.uint64)
+            words = pc.list_value_length(g.column("brief")).to_numpy()
             same_block = g.column("i")[0].as_py() == g.column("j")[0].as_py()
             rows = np.arange(len(c)) if same_block else np.flatnonzero(side == 0)
-            cols = np.arange(len(c)) if same_block else np.flatnonzero(side == 1)
-            if not len(rows) or not len(cols):
-                continue
-            differ = np.zeros((len(rows), len(cols)), np.int32)
-            for w in range(bits.shape[1]):
-                differ += np.bitwise_count(bits[rows, w][:, None] ^ bits[cols, w][None, :])
-            total = n[rows][:, None] + n[cols][None, :]
-            allowed = total - 2 * -(-percent * total // (100 + percent))
-            good = (differ <= allowed) & (100 * np.minimum(n[rows][:, None], n[cols][None, :]) >= percent * np.maximum(n[rows][:, None], n[cols][None, :]))
-            good &= c[rows][:, None] != c[cols][None, :]
-            if nearest:
-                differ = np.where(good, differ, 1 << 30)
-                at = differ.argmin(1)
-                has = good[np.arange(len(rows)), at]
-                a, b = rows[has], cols[at[has]]
-                if not same_block:
-                    at = differ.argmin(0)
-                    has = good[at, np.arange(len(cols))]
-                    a, b = np.concatenate([a, rows[at[has]]]), np.concatenate([b, cols[has]])
-            else:
-                good &= label[rows][:, None] != label[cols][None, :]
-                a, b = np.nonzero(good)
-                a, b = rows[a], cols[b]
-                if len(a):
-                    low = _lists(g, "low")
-                    sooner = np.zeros(len(a), bool)
-                    for x in range(low.shape[1]):
-                        sooner |= ((low[a, x][:, None] == low[b]) & (low[b] < k)).any(1)
-                    a, b = a[~sooner], b[~sooner]
+            cols = rows if same_block else np.flatnonzero(side == 1)
+            nearer, partner, found = np.full(len(c), 1 << 30), np.full(len(c), -1), [np.zeros((2, 0), np.int64)]
+            # Similar sets have bitmaps of the same size or of neighbouring sizes.
+            for w in np.unique(words).tolist():
+                for x, y in ((w, w), (w, 2 * w), (2 * w, w)):
+                    r, q = rows[words[rows] == x], cols[words[cols] == y]
+                    if not len(r) or not len(q):
+                        continue
+                    p, o = _bits(g, r, w), _bits(g, q, w)
+                    differ = np.zeros((len(r), len(q)), np.int32)
+                    for i in range(w):
+                        differ += np.bitwise_count(p[:, i][:, None] ^ o[:, i][None, :])
+                    total = n[r][:, None] + n[q][None, :]
+                    good = (differ <= total - 2 * -(-percent * total // (100 + percent))) & (100 * np.minimum(n[r][:, None], n[q][None, :]) >= percent * np.maximum(n[r][:, None], n[q][None, :]))
+                    good &= c[r][:, None] != c[q][None, :]
+                    if not nearest:
+                        good &= label[r][:, None] != label[q][None, :]
+                        a, b = np.nonzero(good)
+                        found.append(np.stack([r[a], q[b]]))
+                        continue
+                    differ = np.where(good, differ, 1 << 30)
+                    for mine, theirs, d in ((r, q, differ), (q, r, differ.T)):
+                        at = d.argmin(1)
+                        d = d[np.arange(len(mine)), at]
+                        # Among equally near ones the lowest key, whatever block or size it is in.
+                        closer = (d < nearer[mine]) | (d == nearer[mine]) & (d < 1 << 30) & (c[theirs[at]] < c[partner[mine]])
+                        nearer[mine[closer]], partner[mine[closer]] = d[closer], theirs[at[closer]]
+            a, b = (np.flatnonzero(partner >= 0), partner[partner >= 0]) if nearest else np.concatenate(found, 1)
+            if len(a) and not nearest:
+                low_a, low_b = _lists(g, "low", a), _lists(g, "low", b)
+                sooner = np.zeros(len(a), bool)
+                for x in range(low_a.shape[1]):
+                    sooner |= ((low_a[:, x][:, None] == low_b) & (low_b < k)).any(1)
+                a, b = a[~sooner], b[~sooner]
             if len(a):
                 pairs = np.unique(np.sort(np.stack([c[a], c[b]], 1), 1), axis=0)
                 out.append(pairs)
@@ -256,6 +269,7 @@ def linked(docs: DataFrame, run: int = RUN, percent: int = PERCENT) -> tuple[Dat
         bound *= 2
     frequent = np.sort(np.array([r.t for r in often.where(F.col("n") > bound).select("t").collect()], np.int64).view(np.uint64))
     frequent = docs.sparkSession.sparkContext.broadcast(frequent)
+    forget(often)
 
     entries = in_arrow(wide.select("key", "n", "prefix"), _entries(frequent, percent), "k long, c long, n long")
     shared = entries.groupBy("k").agg(F.count("*").alias("cnt")).where("cnt > 1")
@@ -282,7 +296,7 @@ def linked(docs: DataFrame, run: int = RUN, percent: int = PERCENT) -> tuple[Dat
         kept = ["k", "c", "n", "brief", "label"] + ([] if nearest else ["low"])
         met = rows.select(*kept, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         met = met.select(*kept, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-        return in_arrow(met.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j"), _meet(percent, nearest), "a long, b long")
+        return in_arrow(met.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "c"), _meet(percent, nearest), "a long, b long")
 
     def verified(some: DataFrame) -> DataFrame:
         """Pairs that are similar by their whole sets; these are made from the texts of the pairs' documents alone."""
@@ -290,20 +304,30 @@ def linked(docs: DataFrame, run: int = RUN, percent: int = PERCENT) -> tuple[Dat
         source = narrow.select("key", "text").join(needed, "key", "left_semi")
         sets = written(in_arrow(source.dropDuplicates(["key"]) if repeated else source, _sets(run), "c long, tokens array<long>"))
         both = some.join(sets.select(F.col("c").alias("a"), F.col("tokens").alias("s")), "a").join(sets.select(F.col("c").alias("b"), F.col("tokens").alias("t")), "b")
-        return written(both.where(_similar(F.size("s"), F.size("t"), F.size(F.array_intersect("s", "t")), percent)).select("a", "b"))
+        found = written(both.where(_similar(F.size("s"), F.size("t"), F.size(F.array_intersect("s", "t")), percent)).select("a", "b"))
+        forget(sets)
+        return found
 
     pairs = written(possible(pairs.select("a", "b").unionByName(meet(many.withColumn("label", F.col("c")), True)).distinct()))
+    forget(index)
     links = verified(pairs)
     labels = written(components(links))
+    forget(links)
     known = many.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("component", "c")).drop("component")
     # An entry whose members are all in one component has nothing more to say.
     open_entries = known.groupBy("k").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("k")
     known = written(known.join(open_entries, "k", "left_semi"))
+    forget(many)
     lowest = known.groupBy("c").agg(F.sort_array(F.collect_set("k")).alias("ks")).select("c", F.transform(F.sequence(F.lit(1), F.lit(LOW)), lambda i: F.coalesce(F.try_element_at("ks", i), F.element_at("ks", 1))).alias("low"))
     later = written(possible(meet(known.join(lowest, "c"), False).distinct().join(pairs, ["a", "b"], "left_anti")))
+    for done in (known, pairs, wide):
+        forget(done)
     # The components so far are stars, so only what the later links join moves.
     stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    labels = written(components(stars.unionByName(verified(later))))
+    joined = written(components(stars.unionByName(verified(later))))
+    for done in (labels, later):
+        forget(done)
+    labels = joined
     out = members.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("component", "c")).select("key", "n", "c", "label")
     return out, keyed, repeated
 
