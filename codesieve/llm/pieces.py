@@ -10,7 +10,7 @@ remembered up to CACHE bytes, for one task only. Nothing is shuffled; batches ar
 
 Defined cases: null text is empty; an empty text has the begin and end ids only; repeated rows are encoded each; a null id is
 passed on; very long texts go through in stretches cut before a blank; no rows give no rows; other columns are not looked
-at. Models with user-defined or unused pieces, and others than byte-pair models, are refused.
+at. Other than byte-pair models with bytes for unknown characters, and models with user-defined or unused pieces, are refused.
 """
 
 from __future__ import annotations
@@ -121,20 +121,21 @@ class CharMap:
 
 
 class Known(dict):
-    """Ids and lengths of stretches, remembered up to a number of bytes."""
+    """Ids of stretches, remembered up to a number of bytes: when half of it is full, what was not asked for again goes."""
 
     def __init__(self, model: Model):
-        self.model, self.held = model, 0
+        self.model, self.held, self.before = model, 0, {}
 
-    def __missing__(self, stretch: str) -> tuple[bytes, bytes]:
+    def __missing__(self, stretch: str) -> bytes:
         if len(stretch) > LONGEST:
-            parts = [self[p] if len(p) <= LONGEST else self.model.merge(p) for p in self.model.parted(stretch)]
-            return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
-        found = self.model.merge(stretch)
-        self.held += 350 + 2 * len(stretch) + 2 * len(found[0])
-        if self.held > CACHE:
+            return b"".join([self[p] if len(p) <= LONGEST else self.model.merge(p) for p in self.model.parted(stretch)])
+        found = self.before.get(stretch)
+        if found is None:
+            found = self.model.merge(stretch)
+        self.held += 240 + 2 * len(stretch) + len(found)
+        if 2 * self.held > CACHE:
+            self.before, self.held = dict(self), 0
             self.clear()
-            self.held = 0
         self[stretch] = found
         return found
 
@@ -151,17 +152,22 @@ class Model:
             elif n in (2, 3):
                 (trainer if n == 2 else norm).update(fields(v))
         kinds = np.array([k for _, _, k in pieces])
-        if trainer.get(3, 1) != 2 or trainer.get(24, 0) or np.isin(kinds, (USER, UNUSED)).any():
-            raise ValueError("only byte-pair models without user-defined or unused pieces, blanks before words")
+        if trainer.get(3, 1) != 2 or trainer.get(24, 0) or not trainer.get(35, 0) or np.isin(kinds, (USER, UNUSED)).any():
+            raise ValueError("only byte-pair models with bytes for unknown characters, blanks before words, no user-defined or unused pieces")
         self.ids = {p: i for i, (p, _, _) in enumerate(pieces)}
-        self.sizes = [len(p.encode()) for p, _, _ in pieces]
+        self.sizes = np.array([0 if k == BYTE else len(p.encode()) for p, _, k in pieces])
+        self.leads = np.zeros(len(pieces), np.int64)
         self.scores = {p: s for p, s, k in pieces if k == NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
-        self.fallback = bool(trainer.get(35, 0)) and len(self.bytes) == 256
-        self.unknown = int(np.flatnonzero(kinds == UNKNOWN)[0])
+        for b, i in self.bytes.items():
+            self.leads[i] = 1 if b < 0x80 else 0 if b < 0xC0 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
         self.begin, self.end = (self.ids[trainer.get(n, d).decode()] for n, d in ((46, b"<s>"), (47, b"</s>")))
         self.map = CharMap(norm[2]) if norm.get(2) else None
         self.dummy, self.squeeze, self.escape = (bool(norm.get(n, 1)) for n in (3, 4, 5))
+        order = {x: i for i, x in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        splits = [(self.ids[a] << 32 | self.ids[b], p) for p in self.scores for i in range(1, len(p)) if (a := p[:i]) in self.scores and (b := p[i:]) in self.scores]
+        #: By the ids of two neighbours: the place of their union's score among all, and its id.
+        self.ranks, self.unions = {k: order[self.scores[p]] for k, p in splits}, {k: self.ids[p] for k, p in splits}
         self.pairs = {p[i:i + 2] for p in self.scores for i in range(len(p) - 1)}
         inner = any(SPACE in p.lstrip(SPACE) for p in self.scores)
         self.stretches = re.compile("(?s:.+)" if inner or not self.escape else self._pattern())
@@ -178,56 +184,49 @@ class Model:
             letters = joined
         kinds = [f"{SPACE}*[{re.escape(''.join(sorted(x)))}]+" for x in (letters, joined - letters) if x]
         other = "[^" + re.escape("".join(sorted(joined | {SPACE}))) + "]"
-        return "|".join([*kinds, f"{SPACE}+", other if self.fallback else other + "+"])
+        return "|".join([*kinds, f"{SPACE}+", other])
 
     def parted(self, stretch: str) -> Iterator[str]:
-        """A long stretch, cut between characters that no piece has side by side, and where one unknown does not follow another."""
-        at, ids = 0, self.ids
+        """A long stretch, cut between characters that no piece has side by side."""
+        at = 0
         for i, pair in enumerate(map(str.__add__, stretch, stretch[1:]), 1):
-            if pair not in self.pairs and (self.fallback or pair[0] in ids or pair[1] in ids):
+            if pair not in self.pairs:
                 yield stretch[at:i]
                 at = i
         yield stretch[at:]
 
-    def merge(self, stretch: str) -> tuple[bytes, bytes]:
-        """Ids of a normalised stretch and the normalised bytes of each, as little-endian unsigned 32-bit integers.
+    def merge(self, stretch: str) -> bytes:
+        """Ids of a normalised stretch, as little-endian unsigned 32-bit integers.
 
-        Again and again the neighbours whose union has the highest score become one, the leftmost among equals.
+        Again and again the neighbours whose union has the highest score become one, the leftmost among equals. In a short
+        stretch of known characters all ranks are looked at each time.
         """
-        parts = self._few(list(stretch)) if len(stretch) <= LONGEST else self._many(list(stretch))
-        ids, sizes = array("I"), array("I")
-        for part in parts:
-            n = self.ids.get(part, self.unknown)
-            if n != self.unknown:
-                ids.append(n)
-                sizes.append(self.sizes[n])
-                continue
-            data = part.encode()
-            if self.fallback:
-                ids.extend([self.bytes[b] for b in data])
-                sizes.extend([0] * (len(data) - 1) + [len(data)])
-            elif ids and ids[-1] == self.unknown:
-                sizes[-1] += len(data)
+        ids = [self.ids.get(c) for c in stretch]
+        if len(ids) > LONGEST or None in ids:
+            return self._long(stretch)
+        get, none = self.ranks.get, len(self.kinds)
+        ranks = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            ids[i] = self.unions[ids[i] << 32 | ids[i + 1]]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 32 | ids[i + 1], none)
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 32 | ids[i], none)
+        return array("I", ids).tobytes()
+
+    def _long(self, stretch: str) -> bytes:
+        ids = array("I")
+        for part in self._merged(list(stretch)):
+            n = self.ids.get(part)
+            if n is None:
+                ids.extend([self.bytes[b] for b in part.encode()])
             else:
                 ids.append(n)
-                sizes.append(len(data))
-        return ids.tobytes(), sizes.tobytes()
-
-    def _few(self, parts: list[str]) -> list[str]:
-        """Merges in a short stretch: all scores are looked at each time."""
-        get, none = self.scores.get, float("-inf")
-        scores = [get(a + b, none) for a, b in zip(parts, parts[1:])]
-        while scores and (best := max(scores)) > none:
-            i = scores.index(best)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            del scores[i]
-            if i < len(scores):
-                scores[i] = get(parts[i] + parts[i + 1], none)
-            if i:
-                scores[i - 1] = get(parts[i - 1] + parts[i], none)
-        return parts
+        return ids.tobytes()
 
-    def _many(self, parts: list[str]) -> Iterator[str]:
+    def _merged(self, parts: list[str]) -> Iterator[str]:
         """Merges in a long stretch: offers wait in a heap, those that an earlier merge made void are passed over."""
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap, scores = [], self.scores
@@ -250,6 +249,13 @@ class Model:
                 offer(before[a], a)
         return filter(None, parts)
 
+    def lengths(self, ids: np.ndarray) -> np.ndarray:
+        """Normalised bytes that each id covers; of a character in byte pieces the last one covers all."""
+        size = self.sizes[ids]
+        if len(lead := np.flatnonzero(self.leads[ids])):
+            size[lead + self.leads[ids[lead]] - 1] = self.leads[ids[lead]]
+        return size
+
     def normalise(self, data: bytes, first: bool = True) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them and for their end the source byte it comes from."""
         if not data:
@@ -298,9 +304,9 @@ class Model:
         ids, spans = [np.array([self.begin], "<u4")], [np.zeros((1, 2), "<u4")]
         for start, part in self.cuts(data):
             norm, source = self.normalise(part, start == 0)
-            found = [known[s] for s in self.stretches.findall(norm.decode())]
-            ids.append(np.frombuffer(b"".join([f[0] for f in found]), "<u4"))
-            ends = np.cumsum(np.frombuffer(b"".join([f[1] for f in found]), "<u4"), dtype=np.int64)
+            found = np.frombuffer(b"".join(map(known.__getitem__, self.stretches.findall(norm.decode()))), "<u4")
+            ids.append(found)
+            ends = np.cumsum(self.lengths(found))
             spans.append((start + np.stack([source[np.concatenate([[0], ends[:-1]])[:len(ends)]], source[ends]], 1)).astype("<u4"))
         ids.append(np.array([self.end], "<u4"))
         spans.append(np.full((1, 2), len(data), "<u4"))
