@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 
 from codesieve.llm.base import in_arrow
 
+#: Bytes that an encoder remembers.
+MEMORY = 128 << 20
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS, END_ID, POOL = 4096, 256, 4095, 2, 2048
 #: Tokens that share one stretch of the training order.
 WINDOW = 32 * MAX_TOKENS
@@ -47,36 +50,42 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Stretches(dict):
-    """Ids of stretches of text without white space, as bytes, encoded once each up to a bound."""
+    """Ids of stretches of text without white space, remembered up to a number of bytes.
+
+    When half of it is full, what was not asked for since the last time goes. Runs of letters, digits or signs within a
+    stretch are stretches themselves.
+    """
 
-    LIMIT = 500_000
     #: Stretches that need no normalisation but lower case: ASCII without quote and angle bracket, and precomposed Latin-1 letters.
     EASY = re.compile("[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
     RUNS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
-
-    def __init__(self, tokenizer):
-        self.tokenizer, self.model, self.runs, self.letters = tokenizer, tokenizer.model, {}, _byte_letters()
-
-    def run(self, text: str) -> bytes:
-        shown = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
-        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+    #: The longest stretch that is remembered.
+    LONGEST = 64
+
+    def __init__(self, tokenizer, memory: int):
+        self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
+        self.limit, self.held, self.before = memory // 2, 0, {}
+
+    def ids(self, part: str) -> bytes:
+        if not self.EASY.fullmatch(part):
+            return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        runs = self.RUNS.findall(part.lower())
+        if runs != [part]:
+            return b"".join(map(self.__getitem__, runs))
+        shown = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        if self.EASY.fullmatch(part):
-            if len(self.runs) >= self.LIMIT:
-                self.runs.clear()
-            out = []
-            for r in self.RUNS.findall(part.lower()):
-                if (ids := self.runs.get(r)) is None:
-                    ids = self.runs[r] = self.run(r)
-                out.append(ids)
-            value = b"".join(out)
-        else:
-            value = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        self[part] = value
-        return value
+        ids = self.before.get(part)
+        if ids is None:
+            ids = self.ids(part)
+        if len(part) <= self.LONGEST:
+            self.held += 150 + 2 * len(part) + len(ids)
+            if self.held > self.limit:
+                self.before, self.held = dict(self), 0
+                self.clear()
+            self[part] = ids
+        return ids
 
 
 class Encoder:
@@ -85,12 +94,12 @@ class Encoder:
     The vocabulary's tokens never reach over white space, so the ids of a text are those of its stretches in a row.
     """
 
-    def __init__(self, path: str | None):
+    def __init__(self, path: str | None, memory: int = MEMORY):
         from tokenizers import Tokenizer
         if path is None:
             import public_tokenizers
             path = public_tokenizers.path("word_bpe_49k.json")
-        self.parts = _Stretches(Tokenizer.from_file(path))
+        self.parts = _Stretches(Tokenizer.from_file(path), memory)
 
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self.parts.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
@@ -98,7 +107,7 @@ class Encoder:
 
 @functools.lru_cache(1)
 def encoder(path: str | None) -> Encoder:
-    """One for each Python worker, which Spark keeps between tasks."""
+    """One for each Python worker, which Spark keeps between tasks; what it remembers stays below MEMORY bytes."""
     return Encoder(path)
 
 

@@ -11,13 +11,12 @@ a null id is passed on; no labels, or labels of one kind only, leave the base ru
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.llm import labels as labelled
-from codesieve.llm.base import WordHash, by_batch, in_arrow, run_hashes, ship, texts
+from codesieve.llm.base import WordHash, by_batch, in_arrow, run_hashes, ship, slices, texts
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, RUN = 50, 50, 3
@@ -177,9 +176,10 @@ def judge(docs: DataFrame, trees: Trees | None) -> DataFrame:
 
 def keep(docs: DataFrame, trees: Trees | None) -> DataFrame:
     """The documents that pass, with all their columns."""
-    @F.pandas_udf("boolean")
-    def passes(text: pd.Series) -> pd.Series:
-        return pd.Series(verdicts([(t or "").encode() for t in text], trees)["kept"])
+    @F.arrow_udf("boolean")
+    def passes(text: pa.Array) -> pa.Array:
+        parts = slices(pa.RecordBatch.from_arrays([text], ["text"]))
+        return pa.concat_arrays([pa.array([], pa.bool_()), *(pa.array(verdicts(texts(part), trees)["kept"]) for part in parts)])
 
     ship(docs.sparkSession)
     return docs.where(passes(F.col("text").cast("string")))
