@@ -11,7 +11,7 @@ from codesieve import schemas
 from codesieve.fixed import models as fixed
 from codesieve.functions.identity import finding_id
 from codesieve.functions.paths import detect_language
-from codesieve.operators.profile import parent_has_auth
+from codesieve.operators.parents import parent_has_auth
 
 FINDING_ITEM = ", ".join([
     "severity string", "category string", "cwe string", "owasp string", "file string", "line int", "code_snippet string", "description string",

@@ -119,69 +119,6 @@ def file_context(ctx_files: DataFrame) -> DataFrame:
     )
 
 
-# Parents are found by their first GRAM letters; shorter names by as many letters as they have.
-GRAM = 4
-
-
-def _grams(text: Column, n: int) -> Column:
-    positions = F.sequence(F.lit(1), F.length(text) - n + 1)
-    return F.when(F.length(text) >= n, F.array_distinct(F.transform(positions, lambda i: F.substr(text, i, F.lit(n)))))
-
-
-def _base_names(contexts: DataFrame) -> DataFrame:
-    """(repository, file, parent position, lower-cased last part of the parent's name)."""
-    base = F.lower(F.element_at(F.split("parent", r"\."), -1))
-    return contexts.select("repo_id", "path", F.posexplode("parent_classes").alias("pos", "parent")).select(
-        "repo_id", "path", "pos", base.alias("base"))
-
-
-def _keyed_bases(contexts: DataFrame) -> DataFrame:
-    """Each base name once per repository, with its first letters."""
-    bases = _base_names(contexts).select("repo_id", "base").distinct()
-    return bases.select("repo_id", "base", F.substring("base", 1, GRAM).alias("gram"))
-
-
-def _keyed_files(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Files under every letter run of their path that some base name starts with."""
-    low = F.lower("path")
-    grams = F.concat(F.array(F.lit("")), *[F.coalesce(_grams(low, n), F.array().cast("array<string>")) for n in range(1, GRAM + 1)])
-    rows = files.select("repo_id", F.col("path").alias("parent_path"), low.alias("low_path"), F.explode(grams).alias("gram"))
-    return rows.join(wanted.select("repo_id", "gram").distinct(), ["repo_id", "gram"], "left_semi")
-
-
-def parent_files(contexts: DataFrame) -> DataFrame:
-    """(repository, base name, file whose path contains it), each base name looked up once per repository.
-
-    Containment is found through shared letter runs instead of comparing every
-    name with every path: a name and the paths that hold its first letters
-    meet in one hash join, and the rest of the name is checked there.
-    """
-    bases = _keyed_bases(contexts)
-    pairs = bases.join(_keyed_files(contexts, bases), ["repo_id", "gram"]).filter(F.col("low_path").contains(F.col("base")))
-    return pairs.select("repo_id", "base", "parent_path")
-
-
-def inheritance_edges(contexts: DataFrame) -> DataFrame:
-    """File -> file whose path contains the name of one of its parents (once per parent)."""
-    return _base_names(contexts).join(parent_files(contexts), ["repo_id", "base"]).select("repo_id", "path", "pos", "parent_path")
-
-
-def parent_has_auth(contexts: DataFrame) -> DataFrame:
-    """Per file, whether a parent file has authentication checks.
-
-    Only files with such checks are looked up, and a name is settled by the
-    first of them: the pairs of files and parents are never built.
-    """
-    bases = _keyed_bases(contexts).alias("b")
-    guarded = _keyed_files(contexts.filter("has_auth_check"), _keyed_bases(contexts)).alias("f")
-    same = (F.col("b.repo_id") == F.col("f.repo_id")) & (F.col("b.gram") == F.col("f.gram")) & F.col("f.low_path").contains(F.col("b.base"))
-    settled = bases.join(guarded, same, "left_semi").select("repo_id", "base")
-    found = _base_names(contexts).join(settled, ["repo_id", "base"], "left_semi").select("repo_id", "path").distinct()
-    marked = found.withColumn("parent_has_auth", F.lit(True))
-    return contexts.select("repo_id", "path").join(marked, ["repo_id", "path"], "left").select(
-        "repo_id", "path", F.coalesce("parent_has_auth", F.lit(False)).alias("parent_has_auth"))
-
-
 def auth_files(contexts: DataFrame) -> DataFrame:
     return contexts.filter("has_auth_check").select("repo_id", "path")
 

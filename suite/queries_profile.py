@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codesieve.fixed import profile as fixed
-from codesieve.operators import profile
+from codesieve.operators import parents, profile
 from codesieve.operators.model_io import build_requests
 from codesieve.plans.analyze import analyze
 from codesieve.sources.files import scan_context_files
@@ -95,10 +95,25 @@ register("file_context", lambda s, d: context(s, d).select(
          with_(CONTEXT, """SELECT repo_id, path, coalesce((SELECT string_agg(trim(x), ',') FROM (SELECT unnest(string_split(array_to_string(captures, ','), ',')) AS x WHERE len(captures) > 0)), '') AS parents,
            array_to_string([CASE WHEN p[1] <> '' THEN p[1] ELSE p[2] END for p in pairs], ',') AS imports, CAST(auth AS INTEGER) AS auth, CAST(validation AS INTEGER) AS validation,
            CAST(is_test AS INTEGER) AS is_test, CAST(is_mock AS INTEGER) AS is_mock, CAST(exports AS INTEGER) AS exports FROM contexts"""))
-register("inheritance_edges", lambda s, d: profile.inheritance_edges(context(s, d)).select("repo_id", "path", "parent_path"),
+register("inheritance_edges", lambda s, d: parents.inheritance_edges(context(s, d)).select("repo_id", "path", "parent_path"),
          with_(CONTEXT, "SELECT repo_id, path, parent_path FROM edges"))
-register("parent_has_auth", lambda s, d: profile.parent_has_auth(context(s, d)).select("repo_id", "path", F.col("parent_has_auth").cast("int").alias("parent_has_auth")),
+register("parent_has_auth", lambda s, d: parents.parent_has_auth(context(s, d)).select("repo_id", "path", F.col("parent_has_auth").cast("int").alias("parent_has_auth")),
          with_(CONTEXT, "SELECT c.repo_id, c.path, CAST(coalesce(bool_or(e.auth), false) AS INTEGER) AS parent_has_auth FROM contexts c LEFT JOIN edges e USING (repo_id, path) GROUP BY 1, 2"))
+register("parent_counts", lambda s, d: parents.parent_counts(context(s, d)),
+         with_(CONTEXT, "SELECT repo_id, base, count(DISTINCT parent_path) AS n_files FROM edges GROUP BY 1, 2"))
+
+
+def _rarest(s, d):
+    """Edges of the parent names that the fewest paths of their repository hold."""
+    files = context(s, d)
+    counts = parents.parent_counts(files)
+    least = counts.groupBy("repo_id").agg(F.min("n_files").alias("n_files"))
+    return parents.inheritance_edges(files, counts.join(least, ["repo_id", "n_files"])).select("repo_id", "path", "parent_path")
+
+
+register("rarest_parents", _rarest,
+         with_(CONTEXT + ["held AS (SELECT repo_id, base, count(DISTINCT parent_path) AS n FROM edges GROUP BY 1, 2)"], """SELECT repo_id, path, parent_path FROM edges
+           WHERE (repo_id, base) IN (SELECT (h.repo_id, h.base) FROM held h WHERE h.n = (SELECT min(n) FROM held x WHERE x.repo_id = h.repo_id))"""))
 register("auth_files", lambda s, d: profile.auth_files(context(s, d)), with_(CONTEXT, "SELECT repo_id, path FROM contexts WHERE auth"))
 register("test_directories", lambda s, d: profile.test_directories(views.src_files(s, d)),
          with_([SRC_FILES], "SELECT DISTINCT repo_id, string_split(path, '/')[1] AS directory FROM src_files WHERE contains(path, '/') AND lower(string_split(path, '/')[1]) IN ('tests', 'test', 'spec', '__tests__')"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from codesieve.operators import profile
+from codesieve.operators import parents, profile
 from codesieve.operators.model_io import build_requests
 
 
@@ -55,11 +55,34 @@ def test_file_context(src):
 def test_inheritance_equals_brute_force(src):
     ctx = {r.path: r for r in contexts(src).collect()}
     want = sorted((p, o) for p, c in ctx.items() for parent in c.parent_classes for o in ctx if parent.split(".")[-1].lower() in o.lower())
-    assert sorted((r.path, r.parent_path) for r in profile.inheritance_edges(contexts(src)).collect()) == want
+    assert sorted((r.path, r.parent_path) for r in parents.inheritance_edges(contexts(src)).collect()) == want
     # An empty parent name is in every path.
     assert ("c.py", "plain.py") in want
     auth = {p for p, o in want if ctx[o].has_auth_check}
-    assert {r.path for r in profile.parent_has_auth(contexts(src)).filter("parent_has_auth").collect()} == auth
+    assert {r.path for r in parents.parent_has_auth(contexts(src)).filter("parent_has_auth").collect()} == auth
+
+
+def test_parents_in_small_shards_and_slices(spark):
+    """A repository whose paths all hold one name, overlapping names, letters of two cases and bytes; no part sees it whole."""
+    rows = [("big", f"Base/{'ÉTÉ' if i % 3 else 'ete'}/view_{i}.py", [f"x.View_{i % 7}", "Base", "été", "se/"] + ([""] if i == 5 else []), i % 50 == 0) for i in range(300)]
+    rows += [(f"r{i}", f"{n}.py", [n.upper(), "none"], n == "ab") for i in range(3) for n in ("a", "ab", "b")] + [(None, "n.py", ["n"], True), ("empty", "e.py", [], False)]
+    ctx = spark.createDataFrame(rows, "repo_id string, path string, parent_classes array<string>, has_auth_check boolean")
+    names = {(r, p.split(".")[-1].lower()) for r, _, ps, _ in rows for p in ps if r}
+    held = sorted((r, b, p) for r, b in names for q, p, _, _ in rows if q == r and b in p.lower())
+    assert sorted(map(tuple, parents.parent_files(ctx, shard=3, size=40).collect())) == held
+    counted = sorted((r, b, n) for r, b in names if (n := sum(h[:2] == (r, b) for h in held)))
+    assert sorted(map(tuple, parents.parent_counts(ctx, shard=3, size=40).collect())) == counted == sorted(map(tuple, parents.parent_counts(ctx).collect()))
+    auth = {(r, p) for r, p, _, a in rows if a}
+    want = {(r, p) for r, p, ps, _ in rows for x in ps if any(h[:2] == (r, x.split(".")[-1].lower()) and (r, h[2]) in auth for h in held)}
+    assert {(r.repo_id, r.path) for r in parents.parent_has_auth(ctx).where("parent_has_auth").collect()} == want
+    some = spark.createDataFrame([("big", "view_3"), ("r1", "ab")], "repo_id string, base string")
+    assert {(r.repo_id, r.parent_path) for r in parents.inheritance_edges(ctx, some).collect()} == {(r, p) for r, b, p in held if (r, b) in (("big", "view_3"), ("r1", "ab"))}
+    assert parents.parent_counts(ctx.where("false")).count() == 0
+
+
+def test_no_letters_of_paths_are_exploded(src):
+    plan = parents.parent_counts(contexts(src))._jdf.queryExecution().optimizedPlan().toString()
+    assert "substr" not in plan and "BroadcastNestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_lookup_and_requests(src):
