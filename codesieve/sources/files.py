@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesieve.functions.cwe import parse_cwe
@@ -15,6 +15,13 @@ def read_tree(spark: SparkSession, root: str, repo_id: str, max_file_bytes: int
     return _tree(spark, root, repo_id, max_file_bytes)
 
 
+def relative_path(path: Column, root: str) -> Column:
+    """A file's path below `root`."""
+    below = F.regexp_replace(path, r"^[a-z]+:/*", "/")
+    prefix = "/" + root.split("://")[-1].removeprefix("file:").strip("/") + "/"
+    return F.when(below.startswith(prefix), F.substr(below, F.lit(len(prefix) + 1))).otherwise(below)
+
+
 def _tree(spark: SparkSession, root: str, repo_id: str, max_file_bytes: int | None, keep=None) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     if max_file_bytes:
@@ -22,11 +29,8 @@ def _tree(spark: SparkSession, root: str, repo_id: str, max_file_bytes: int | No
     if keep is not None:
         # A test of the file's name alone is answered from the listing: other files are never opened.
         files = files.filter(keep(F.col("_metadata.file_path")))
-    below = F.regexp_replace(F.col("path"), r"^[a-z]+:/*", "/")
-    prefix = "/" + root.split("://")[-1].removeprefix("file:").strip("/") + "/"
-    rel = F.when(below.startswith(prefix), F.substr(below, F.lit(len(prefix) + 1))).otherwise(below)
     return files.select(
-        F.lit(repo_id).alias("repo_id"), rel.alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("content")
+        F.lit(repo_id).alias("repo_id"), relative_path(F.col("path"), root).alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("content")
     ).filter(F.col("content").isNotNull())
 
 

@@ -11,6 +11,7 @@ from codesieve.functions.paths import is_scanned
 from codesieve.functions.severity import severity_rank
 from codesieve.operators.aggregate import deduplicate
 from codesieve.operators.findings import scan_specialized
+from codesieve.sources.files import relative_path
 
 _BINARY = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -20,10 +21,7 @@ def stream_source_files(spark: SparkSession, in_dir: str, repo_id: str = "", max
     reader = spark.readStream.format("binaryFile").schema(_BINARY).option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    prefix = "/" + in_dir.split("://")[-1].removeprefix("file:").strip("/") + "/"
-    clean = F.regexp_replace("path", r"^[a-z]+:/*", "/")
-    rel = F.when(clean.startswith(prefix), F.substr(clean, F.lit(len(prefix) + 1))).otherwise(clean)
-    return reader.load(in_dir).select(F.lit(repo_id).alias("repo_id"), rel.alias("path"),
+    return reader.load(in_dir).select(F.lit(repo_id).alias("repo_id"), relative_path(F.col("path"), in_dir).alias("path"),
                                       F.try_validate_utf8(F.col("content").cast("string")).alias("content")).filter(is_scanned(F.col("path")))
 
 
@@ -46,8 +44,9 @@ def scan_incremental(spark: SparkSession, in_dir: str, out_dir: str, checkpoint:
     query.awaitTermination()
 
 
-def stream_findings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(schemas.FINDINGS).parquet(path)
+def stream_findings(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schemas.FINDINGS)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
 def dedup_stream(findings: DataFrame) -> DataFrame:

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from codesieve.operators.weak_hash import hash_findings, scan_weak_hash
 from codesieve.session import shared_folder
-from codesieve.streaming.incremental import dedup_stream
+from codesieve.streaming import ledger, merged
+from codesieve.streaming.incremental import dedup_stream, stream_findings
 from suite import oracle_scan as o
 from suite import views
+from suite.oracle_views import FINDINGS, SRC_FILES
+from suite.queries_findings import DEDUP
 from suite.registry import register, with_
 
 
@@ -31,3 +34,31 @@ register("stream_weak_hash", lambda s, d: _stream(s, d, lambda src: hash_finding
 register("dedup_stream", lambda s, d: _stream(s, d, lambda src: dedup_stream(hash_findings(scan_weak_hash(src))).select("repo_id", "fingerprint")).select(
             "repo_id", F.col("fingerprint")),
          with_(o.hash_findings_ctes(), "SELECT DISTINCT repo_id, md5(file || ':' || line || ':' || category || ':' || code_snippet) AS fingerprint FROM hash_findings"))
+
+
+def _merged(spark, sf_dir):
+    """All findings as a stream of several batches, merged into buckets."""
+    folder = f"{shared_folder(spark)}/merged-{uuid.uuid4().hex}"
+    views.findings(spark, sf_dir).repartition(3, "id").write.parquet(f"{folder}/in")
+    stream = stream_findings(spark, f"{folder}/in", max_files=1)
+    merged.merge_stream(stream, f"{folder}/table", f"{folder}/state", buckets=8)
+    return merged.merged_findings(spark, f"{folder}/table")
+
+
+_KEPT = ["repo_id", "id", "severity", "category", "file", "confidence", "ord"]
+register("merged_findings", lambda s, d: _merged(s, d).select(*_KEPT), with_([FINDINGS, DEDUP], f"SELECT {', '.join(_KEPT)} FROM unique_findings"))
+
+
+def _pending(spark, sf_dir):
+    """Every file as listed, and a ledger of two runs: finished, failed, changed since, mark taken away."""
+    n = F.length("content")
+    files = views.src_files(spark, sf_dir).select("repo_id", "path", n.cast("long").alias("n"))
+    listing = files.withColumn("modified", F.timestamp_seconds("n"))
+    state = F.when(F.col("n") % 3 == 0, ledger.FAILED).otherwise(ledger.DONE)
+    first = files.where("n % 4 != 0").select("repo_id", "path", F.timestamp_seconds(F.col("n") - F.when(F.col("n") % 5 == 0, 1).otherwise(0)).alias("modified"), state.alias("state"), F.lit(None).cast("string").alias("error"), F.lit(1).cast("long").alias("run"))
+    second = files.where("n % 4 != 0 and n % 7 = 0").select("repo_id", "path", F.timestamp_seconds("n").alias("modified"), F.lit(ledger.OPEN).alias("state"), F.lit(None).cast("string").alias("error"), F.lit(2).cast("long").alias("run"))
+    return ledger.pending(listing, first.unionByName(second)).select("repo_id", "path", "n")
+
+
+register("pending_files", _pending, with_([SRC_FILES], """SELECT repo_id, path, n FROM (SELECT repo_id, path, length(content) AS n FROM src_files) f
+  WHERE n % 4 = 0 OR n % 5 = 0 OR n % 7 = 0"""))
