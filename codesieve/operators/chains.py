@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from codesieve.fixed import texts
 from codesieve.functions.text import has_any
 from codesieve.operators.ranking import rank_within
-from codesieve.session import cut_lineage
 
 # Pairs are built in squares of this side, so that no task holds a scope's whole list.
 BLOCK = 1000
@@ -60,10 +59,9 @@ def attack_chains(findings: DataFrame, scope: str = "repo_id", first: int | None
 
     A chain's number follows from the positions of its two findings, so the
     list itself is never sorted.  `first` keeps the first chains of each scope
-    and never builds the others.  The parts the findings play, a few narrow
-    columns, are written out once, as they are read several times.
+    and never builds the others.
     """
-    roles = cut_lineage(chain_roles(findings, scope))
+    roles = chain_roles(findings, scope)
     counts = _counts(roles, scope).filter(F.col("n_chains") > 0)
     group = [scope, "pattern", "side"]
     if first:
@@ -93,6 +91,46 @@ def attack_chains(findings: DataFrame, scope: str = "repo_id", first: int | None
     if first:
         chains = chains.filter(F.col("chain_no") <= first)
 
+    return _described(chains, scope)
+
+
+def chain_ranges(findings: DataFrame, scope: str = "repo_id") -> DataFrame:
+    """The chains as ranges, one per left finding: (scope, pattern, left_id, first_no, n). Linear in the findings.
+
+    A left finding's chains have consecutive numbers, one for each right finding in its order; `list_chains` turns numbers
+    into chains.
+    """
+    roles = chain_roles(findings, scope)
+    lefts = rank_within(roles.filter("side = 'L'").drop("excerpt"), [scope, "pattern"], "ord", ("id",))
+    counts = _counts(roles, scope).filter(F.col("n_chains") > 0)
+    first = F.col("start") + (F.col("position") - 1) * F.col("n_right") + 1
+    return lefts.join(counts, [scope, "pattern"]).select(scope, "pattern", F.col("id").alias("left_id"), first.alias("first_no"), F.col("n_right").alias("n"))
+
+
+def list_chains(findings: DataFrame, wanted: DataFrame, scope: str = "repo_id") -> DataFrame:
+    """The chains with the `wanted` (scope, chain_no), without the others: a number gives the places of its findings by arithmetic.
+
+    Numbers that no chain has give no row; a number that is asked for twice gives its chain once.
+    """
+    roles = chain_roles(findings, scope)
+    counts = _counts(roles, scope).filter(F.col("n_chains") > 0)
+    places = wanted.select(scope, F.col("chain_no").cast("bigint").alias("chain_no")).distinct().join(counts, scope).filter(
+        (F.col("chain_no") > F.col("start")) & (F.col("chain_no") <= F.col("start") + F.col("n_chains")))
+    offset = F.col("chain_no") - F.col("start") - 1
+    places = places.select(scope, "pattern", "chain_no", (F.floor(offset / F.col("n_right")) + 1).alias("left_position"), (offset % F.col("n_right") + 1).alias("right_position"))
+    ranked = rank_within(roles, [scope, "pattern", "side"], "ord", ("id",))
+
+    def side(name: str, prefix: str) -> DataFrame:
+        return ranked.filter(F.col("side") == name).select(scope, "pattern", F.col("position").alias(f"{prefix}_position"), F.col("id").alias(f"{prefix}_id"), F.col("excerpt").alias(f"{prefix}_excerpt"))
+
+    both = places.join(side("L", "left"), [scope, "pattern", "left_position"]).join(side("R", "right"), [scope, "pattern", "right_position"], "left")
+    paired = F.col("pattern").isin(1, 2)
+    shown = [F.when(paired, F.col(f"{p}_excerpt")).otherwise("").alias(f"{p}_excerpt") for p in ("left", "right")]
+    return _described(both.select(scope, "pattern", "chain_no", "left_id", "right_id", *shown), scope)
+
+
+def _described(chains: DataFrame, scope: str) -> DataFrame:
+    """Chains with their texts."""
     def by_pattern(value):
         out = None
         for row in texts.CHAINS:

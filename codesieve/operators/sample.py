@@ -15,9 +15,18 @@ def draw(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 15), 16, 10).cast("bigint")
 
 
-def _picked(entries: DataFrame, strata: list[str], sizes: DataFrame, seed: int) -> DataFrame:
-    """The rows with the lowest draws of each stratum, `_take` of them."""
-    drawn = rank_within(entries.withColumn("_draw", draw(F.col("id"), seed)), strata, "_draw", ("id",), "_place")
+#: Samples of up to so many rows per stratum are drawn by a limited rank: a task passes on no more than that.
+LIMITED = 100_000
+
+
+def _picked(entries: DataFrame, strata: list[str], sizes: DataFrame, seed: int, most: int) -> DataFrame:
+    """The rows with the lowest draws of each stratum, `_take` of them; `most`: an upper bound of `_take`."""
+    drawn = entries.withColumn("_draw", draw(F.col("id"), seed))
+    if most <= LIMITED:
+        place = F.row_number().over(Window.partitionBy(*strata).orderBy("_draw", "id"))
+        drawn = drawn.withColumn("_place", place).filter(F.col("_place") <= most)
+    else:
+        drawn = rank_within(drawn, strata, "_draw", ("id",), "_place")
     same = F.lit(True)
     for s in strata:
         same = same & F.col(s).eqNullSafe(F.col(f"_{s}"))
@@ -38,7 +47,7 @@ def largest_remainder(entries: DataFrame, strata: list[str], target: int) -> Dat
 
 def sample_largest_remainder(entries: DataFrame, strata: list[str], target: int = 400, seed: int = 42) -> DataFrame:
     sizes = largest_remainder(entries, strata, target).select(*[F.col(s).alias(f"_{s}") for s in strata], F.col("take").alias("_take"))
-    return _picked(entries, strata, sizes, seed)
+    return _picked(entries, strata, sizes, seed, target)
 
 
 def sample_fraction(entries: DataFrame, strata: list[str], target: int, seed: int = 42) -> DataFrame:
@@ -47,7 +56,7 @@ def sample_fraction(entries: DataFrame, strata: list[str], target: int, seed: in
     counts = entries.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"))
     take = F.greatest(F.lit(1), F.bround(F.col("n") * (F.lit(float(target)) / total), 0).cast("bigint"))
     sizes = counts.select(*[F.col(s).alias(f"_{s}") for s in strata], take.alias("_take"))
-    return _picked(entries, strata, sizes, seed)
+    return _picked(entries, strata, sizes, seed, target + 1)
 
 
 def sample_spread(entries: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

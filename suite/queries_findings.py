@@ -188,6 +188,17 @@ over_findings("attack_chains", lambda f: chains.attack_chains(f).select(*_CHAIN,
               f"SELECT {', '.join(_CHAIN)}, right_id FROM chains", [CHAINS])
 over_findings("attack_chains_first", lambda f: chains.attack_chains(f, first=3).select(*_CHAIN, F.coalesce("right_id", F.lit("")).alias("right_id")),
               f"SELECT {', '.join(_CHAIN)}, right_id FROM chains WHERE chain_no <= 3", [CHAINS])
+over_findings("attack_chain_ranges", chains.chain_ranges, "SELECT repo_id, pattern, left_id, min(chain_no) AS first_no, count(*) AS n FROM chains GROUP BY repo_id, pattern, left_id", [CHAINS])
+
+
+def _every_37th(f):
+    """Every 37th chain of each repository, by its number alone."""
+    totals = chains.chain_counts(f).groupBy("repo_id").agg(F.sum("n_chains").alias("n")).filter("n > 0")
+    return chains.list_chains(f, totals.select("repo_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"), F.lit(37).cast("bigint"))).alias("chain_no")))
+
+
+over_findings("attack_chains_listed", lambda f: _every_37th(f).select(*_CHAIN, F.coalesce("right_id", F.lit("")).alias("right_id")),
+              f"SELECT {', '.join(_CHAIN)}, right_id FROM chains WHERE chain_no % 37 = 1", [CHAINS])
 over_findings("attack_chain_counts", lambda f: chains.chain_counts(f).filter("n_chains > 0").select("repo_id", "pattern", "n_chains", (F.col("start") + 1).alias("first_no")),
               "SELECT repo_id, pattern, count(*) AS n_chains, min(chain_no) AS first_no FROM chains GROUP BY repo_id, pattern", [CHAINS])
 

@@ -149,6 +149,39 @@ def test_rank_within_equals_row_number(spark):
     assert got.filter("position <> want").count() == 0 and got.count() == 5000
 
 
+def test_rank_parts_follow_the_rows(spark):
+    """Numbers from 0 on mixed with hashed ones, most of them far apart: no part is above three times its share."""
+    df = spark.range(60_000).select("id", F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.xxhash64("id")).alias("o"), (F.col("id") % 10 != 0).alias("g"))
+    sizes = [r.n for r in ranking.parted(df, "o").groupBy("_part").agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 3 * 60_000 / ranking.SIDE ** 2 and len(sizes) > 0.8 * ranking.SIDE ** 2
+    some = df.withColumn("o", F.when(F.col("id") % 7 != 0, F.col("o")))
+    got = ranking.rank_within(some, ["g"], "o", ("id",)).withColumn("want", F.expr("row_number() over (partition by g order by o, id)"))
+    assert got.filter("position <> want").count() == 0 and got.count() == 60_000 and ranking.rank_within(df.limit(0), ["g"], "o").count() == 0
+
+
+def test_plans_are_built_without_jobs(spark, finding):
+    df = finding(dict(severity="CRITICAL", category="authentication_bypass"), dict(category="idor_data_exposure"))
+    spark.sparkContext.setJobGroup("planned", "plans only")
+    try:
+        made = [chains.attack_chains(df), chains.attack_chains(df, first=2), chains.chain_ranges(df), aggregate.group_by_category(df), report.summary_rows(df)]
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planned")
+        assert made[0].count() == 1 and spark.sparkContext.statusTracker().getJobIdsForGroup("planned")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_chains_by_number(spark, finding):
+    rows = [dict(severity="HIGH", category="auth_bypass", description=f"d{i}") for i in range(4)] + [dict(category="idor_data_exposure") for _ in range(3)]
+    rows += [dict(category="xss", description="session") for _ in range(2)] + [dict(category="ssrf"), dict(category="sql_injection", file="admin.py")]
+    df = finding(*rows, *[{**r, "repo_id": "b"} for r in rows[:6]])
+    whole = {(r.repo_id, r.chain_no): r for r in chains.attack_chains(df).collect()}
+    asked = [(repo, n) for repo in ("r", "b", "none") for n in (0, 1, 1, 2, 5, 8, 11, 12, 13, 14, 17, 18, 19, 99)]
+    got = {(r.repo_id, r.chain_no): r for r in chains.list_chains(df, spark.createDataFrame(asked, "repo_id string, chain_no int")).collect()}
+    assert got == {k: whole[k] for k in set(asked) if k in whole} and len(got) > 10
+    spread = sorted((r.repo_id, r.left_id, r.first_no + i) for r in chains.chain_ranges(df).collect() for i in range(r.n))
+    assert spread == sorted((k[0], r.left_id, k[1]) for k, r in whole.items())
+
+
 def test_report_tables(finding):
     df = finding(*[dict(severity=s, category="XSS", owasp="A03" if i % 2 else None) for i, s in enumerate(["CRITICAL", "HIGH", "HIGH", "LOW", "ODD"])])
     matrix = {r.severity: (r.n, len(r.bar)) for r in report.risk_matrix(df).collect()}
