@@ -28,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,16 +152,23 @@ def _groups(batches) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _lists(g: pa.Table, column: str, rows: np.ndarray) -> np.ndarray:
-    """A column of lists at rows where they are equally long, as a matrix of numbers."""
-    some = pa.concat_arrays(g.column(column).take(pa.array(rows)).chunks)
-    return some.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+def _flat(g: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a column of lists in a row, and where each list starts and the last ends."""
+    lists = g.column(column).combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    starts = lists.offsets.to_numpy()
+    return lists.values.to_numpy(zero_copy_only=False), starts
 
 
-def _bits(g: pa.Table, rows: np.ndarray, words: int) -> np.ndarray:
-    """Short bitmaps of rows that have as many words, or twice as many: these are folded."""
-    bits = _lists(g, "brief", rows).view(np.uint64)
-    return bits if bits.shape[1] == words else bits[:, :words] ^ bits[:, words:]
+def _matrix(flat: tuple[np.ndarray, np.ndarray], rows: np.ndarray, size: int) -> np.ndarray:
+    """Lists of equal length as the rows of a matrix."""
+    return flat[0][flat[1][rows][:, None] + np.arange(size)]
+
+
+def _bits(flat: tuple[np.ndarray, np.ndarray], rows: np.ndarray, size: int, words: int) -> np.ndarray:
+    """Short bitmaps of `size` words; where that is twice what is asked for they are folded."""
+    bits = _matrix(flat, rows, size).view(np.uint64)
+    return bits if size == words else bits[:, :words] ^ bits[:, words:]
 
 
 def _meet(percent: int, nearest: bool):
@@ -181,21 +187,24 @@ def _meet(percent: int, nearest: bool):
         for g in _groups(batches):
             c, n, side, label = (g.column(x).to_numpy() for x in ("c", "n", "side", "label"))
             k = g.column("k")[0].as_py()
-            words = pc.list_value_length(g.column("brief")).to_numpy()
+            briefs = _flat(g, "brief")
+            words = np.diff(briefs[1])
             same_block = g.column("i")[0].as_py() == g.column("j")[0].as_py()
             rows = np.arange(len(c)) if same_block else np.flatnonzero(side == 0)
             cols = rows if same_block else np.flatnonzero(side == 1)
             nearer, partner, found = np.full(len(c), 1 << 30), np.full(len(c), -1), [np.zeros((2, 0), np.int64)]
             # Similar sets have bitmaps of the same size or of neighbouring sizes.
-            for w in np.unique(words).tolist():
-                for x, y in ((w, w), (w, 2 * w), (2 * w, w)):
-                    r, q = rows[words[rows] == x], cols[words[cols] == y]
-                    if not len(r) or not len(q):
+            sizes = set(words.tolist())
+            for w in sorted(sizes):
+                for x, y in ((w, w), (w, 2 * w), (2 * w, w)) if 2 * w in sizes else ((w, w),):
+                    r, q = (rows, cols) if len(sizes) == 1 else (rows[words[rows] == x], cols[words[cols] == y])
+                    if not len(r) or not len(q) or same_block and x > y:
                         continue
-                    p, o = _bits(g, r, w), _bits(g, q, w)
+                    p, o = _bits(briefs, r, x, w), _bits(briefs, q, y, w)
                     differ = np.zeros((len(r), len(q)), np.int32)
-                    for i in range(w):
-                        differ += np.bitwise_count(p[:, i][:, None] ^ o[:, i][None, :])
+                    step = max(1, (1 << 18) // differ.size)
+                    for i in range(0, w, step):
+                        differ += np.bitwise_count(p[:, None, i:i + step] ^ o[None, :, i:i + step]).sum(2, dtype=np.int32)
                     total = n[r][:, None] + n[q][None, :]
                     good = (differ <= total - 2 * -(-percent * total // (100 + percent))) & (100 * np.minimum(n[r][:, None], n[q][None, :]) >= percent * np.maximum(n[r][:, None], n[q][None, :]))
                     good &= c[r][:, None] != c[q][None, :]
@@ -205,7 +214,7 @@ def _meet(percent: int, nearest: bool):
                         found.append(np.stack([r[a], q[b]]))
                         continue
                     differ = np.where(good, differ, 1 << 30)
-                    for mine, theirs, d in ((r, q, differ), (q, r, differ.T)):
+                    for mine, theirs, d in ((r, q, differ),) if same_block and x == y else ((r, q, differ), (q, r, differ.T)):
                         at = d.argmin(1)
                         d = d[np.arange(len(mine)), at]
                         # Among equally near ones the lowest key, whatever block or size it is in.
@@ -213,7 +222,8 @@ def _meet(percent: int, nearest: bool):
                         nearer[mine[closer]], partner[mine[closer]] = d[closer], theirs[at[closer]]
             a, b = (np.flatnonzero(partner >= 0), partner[partner >= 0]) if nearest else np.concatenate(found, 1)
             if len(a) and not nearest:
-                low_a, low_b = _lists(g, "low", a), _lists(g, "low", b)
+                low = _flat(g, "low")
+                low_a, low_b = _matrix(low, a, LOW), _matrix(low, b, LOW)
                 sooner = np.zeros(len(a), bool)
                 for x in range(low_a.shape[1]):
                     sooner |= ((low_a[:, x][:, None] == low_b) & (low_b < k)).any(1)
