@@ -6,7 +6,7 @@ projected through that record, so every id comes with the span of source bytes i
 unknown character have an empty span, but the last, which has the character's. `decode` turns ids back into text.
 
 Where no piece of the vocabulary goes on after a word's end, stretches of blanks and word are encoded one by one and
-remembered up to CACHE bytes, for one task only. Nothing is shuffled; batches are given on once they hold FLUSH bytes.
+remembered up to CACHE bytes in each Python worker, which Spark keeps between tasks. Nothing is shuffled; batches are given on once they hold FLUSH bytes.
 
 Defined cases: null text is empty; an empty text has the begin and end ids only; repeated rows are encoded each; a null id is
 passed on; very long texts go through in stretches cut before a blank; no rows give no rows; other columns are not looked
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from codesieve.llm.base import in_arrow
 
 SPACE = "▁"
-CACHE, FLUSH, STRETCH, LONGEST = 64 << 20, 8 << 20, 1 << 20, 64
+CACHE, FLUSH, STRETCH, LONGEST = 128 << 20, 8 << 20, 1 << 20, 64
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -356,6 +356,12 @@ def model(path: str | None) -> Model:
         return Model(f.read())
 
 
+@functools.lru_cache(1)
+def remembered(path: str | None) -> Known:
+    """What the tasks of a Python worker share; it stays below CACHE bytes."""
+    return Known(model(path))
+
+
 def _batches(rows: Iterator[tuple[int, tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Record batches of (bytes held, row) pairs."""
     out, held = [], 0
@@ -380,8 +386,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     likewise. `path`: a model file each executor has; None: the public 32,000 pieces.
     """
     def rows(batches):
-        m = model(path)
-        known = Known(m)
+        m, known = model(path), remembered(path)
         for b in batches:
             text = b.column("text")
             for i, doc in enumerate(b.column("doc_id").to_pylist()):
