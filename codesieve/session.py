@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -45,3 +47,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, as Spark's own Python file."""
+    context = spark.sparkContext
+    if not getattr(context, "_codesieve_shipped", False):
+        package = os.path.dirname(os.path.abspath(__file__))
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/codesieve", "zip", os.path.dirname(package), os.path.basename(package)))
+        context._codesieve_shipped = True

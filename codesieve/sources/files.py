@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from codesieve.functions.cwe import parse_cwe
 from codesieve.functions.paths import has_scan_suffix, is_context_file, is_scanned
 from codesieve.functions.text import strip
+from codesieve.sources import tree
 
 
 def read_tree(spark: SparkSession, root: str, repo_id: str, max_file_bytes: int | None = None) -> DataFrame:
-    """Every file below `root`; undecodable bytes and oversized files are dropped, as unreadable."""
+    """Every file below `root`; undecodable bytes and oversized files are dropped, as unreadable (`tree.scan_tree` shows them)."""
+    if tree.reaches(root):
+        return _readable(tree.read_listed(tree.list_tree(spark, root, repo_id, skip=[]), root, repo_id, max_file_bytes))
     return _tree(spark, root, repo_id, max_file_bytes)
 
 
+def _readable(files: DataFrame) -> DataFrame:
+    return files.where(F.col("problem").isNull()).select("repo_id", "path", "content")
+
+
 def relative_path(path: Column, root: str) -> Column:
     """A file's path below `root`."""
     below = F.regexp_replace(path, r"^[a-z]+:/*", "/")
@@ -35,7 +42,9 @@ def _tree(spark: SparkSession, root: str, repo_id: str, max_file_bytes: int | No
 
 
 def scan_source_files(spark: SparkSession, root: str, repo_id: str, max_file_bytes: int | None = None) -> DataFrame:
-    """The files a scan reads."""
+    """The files a scan reads; of stores that only Spark reads, those whose names Spark's reader shows."""
+    if tree.reaches(root):
+        return _readable(tree.scan_tree(spark, root, repo_id, is_scanned, max_file_bytes))
     return _tree(spark, root, repo_id, max_file_bytes, has_scan_suffix).filter(is_scanned(F.col("path")))
 
 
