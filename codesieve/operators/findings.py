@@ -16,8 +16,8 @@ HASH, CALL, VECTOR = "hash", "xpath", "vector"
 
 
 def _event(hit: Column, family: str, context: Column) -> Column:
-    """A hit in the shape of an XPath event, so that both leave the file together."""
-    empty = dict(is_string="boolean", concat="boolean", dynamic="boolean", var="string", user_source="string", sanitised="boolean", kind="string", at="int")
+    """A hit in the shape of an XPath hit, so that both leave the file together."""
+    empty = dict(is_string="boolean", concat="boolean", dynamic="boolean", var="string", user_source="string", sanitised="boolean", last_assignment="string")
     return F.struct(
         hit.line_no.alias("line_no"), hit.line.alias("line"), hit.rule_nos.alias("rule_nos"),
         *[F.lit(None).cast(t).alias(n) for n, t in empty.items()], F.lit(family).alias("family"), context.alias("context"))
@@ -34,8 +34,8 @@ def scan_specialized(src_files: DataFrame, rules=None, aggressive: bool = True,
     """Weak-hash findings, XPath findings, and those of a vector catalogue if one is given.
 
     `rules` may hold a user's own weak-hash and XPath rule tables under the
-    keys "hash" and "xpath".  Each file is read, folded and split once; only
-    its hits, and the assignments they need, are shuffled.
+    keys "hash" and "xpath".  Each file is read, folded and split once, and
+    judged inside its row; nothing is shuffled.
     """
     rules = rules or {}
     hash_rules = own_rules(rules["hash"]) if rules.get("hash") is not None else WEAK_HASH + CONFIG
@@ -44,11 +44,11 @@ def scan_specialized(src_files: DataFrame, rules=None, aggressive: bool = True,
 
     files = prepare(src_files, xpath_rules, live_hash=hash_rules, live_vector=catalogue)
     files = files.withColumn("hash_hits", rule_hits(hash_rules, "live_hash")).withColumn("vector_hits", rule_hits(catalogue, "live_vector"))
-    none = F.array().cast(xpath.EVENT_ARRAY)
+    none = F.array().cast(xpath.HIT_ARRAY)
     others = F.concat(
         F.coalesce(F.transform("hash_hits", lambda h: _event(h, HASH, context_window(F.col("lines"), h.line_no))), none),
         F.coalesce(F.transform("vector_hits", lambda h: _event(h, VECTOR, F.lit(None).cast("string"))), none))
-    lines = xpath.judged_events(xpath.file_events(xpath.candidates(files.withColumn("others", others), xpath_rules)))
+    lines = xpath.file_hits(xpath.candidates(files.withColumn("others", others), xpath_rules))
     lines = xpath.safe_reassignment(lines)
 
     verdict = F.lit(None).cast("struct<pattern_type:string,severity:string,confidence:string>")

@@ -8,7 +8,7 @@ at most n + 5.  No sign spans a line break, which makes this exact.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.fixed import texts
@@ -69,13 +69,13 @@ def candidates(files: DataFrame, rules: list) -> DataFrame:
     return files.withColumn("found", F.expr(f"if({possible}, {found}, null)"))
 
 
-def file_events(files: DataFrame) -> DataFrame:
-    """One row per event of a file: a hit, or an assignment to a variable that some hit uses.
+def file_hits(files: DataFrame) -> DataFrame:
+    """One row per hit of a file, with the last assignment of its variable.
 
-    Events of other rule families, in the column `others`, are passed along.
+    Hits of other rule families, in the column `others`, are passed along. Nothing is shuffled.
     """
     if "others" not in files.columns:
-        files = files.withColumn("others", F.array().cast(EVENT_ARRAY))
+        files = files.withColumn("others", F.array().cast(HIT_ARRAY))
     folded, lines = F.col("folded"), F.col("lines")
     shown = F.transform("found", lambda c: F.struct(
         c.line_no.alias("line_no"), c.line.alias("line"), c.rule_nos.alias("rule_nos"), c.is_string.alias("is_string"),
@@ -103,8 +103,7 @@ def file_events(files: DataFrame) -> DataFrame:
             c.concat.alias("concat"), c.dynamic.alias("dynamic"), c["var"].alias("var"),
             _user_source(index, c.line, F.col("user_texts")).alias("user_source"),
             F.coalesce(F.col("safe_line") <= c.last_line, F.lit(False)).alias("sanitised"),
-            F.lit(None).cast("string").alias("kind"),
-            (c.line_no * 2 + 2 * LOOK_AHEAD + 1).alias("at"),
+            F.lit(None).cast("string").alias("last_assignment"),
             F.lit("xpath").alias("family"), F.lit(None).cast("string").alias("context"),
         )
 
@@ -123,40 +122,46 @@ def file_events(files: DataFrame) -> DataFrame:
         lambda t: F.size(t.names) > 0,
     )
     files = files.withColumn("targets", F.when(F.size("used") > 0, targets))
-    assignment = F.flatten(F.transform("targets", lambda t: F.transform(t.names, lambda name: F.struct(
-        t.line_no.alias("line_no"), F.lit(None).cast("string").alias("line"), F.lit(None).cast("array<int>").alias("rule_nos"),
-        F.lit(None).cast("boolean").alias("is_string"), F.lit(None).cast("boolean").alias("concat"),
-        F.lit(None).cast("boolean").alias("dynamic"), name.alias("var"), F.lit(None).cast("string").alias("user_source"),
-        F.lit(None).cast("boolean").alias("sanitised"), _assignment_kind(t.line).alias("kind"), (t.line_no * 2).alias("at"),
-        F.lit("assignment").alias("family"), F.lit(None).cast("string").alias("context"),
-    ))))
-    none = F.array().cast(EVENT_ARRAY)
-    events = F.concat(F.coalesce("hits", none), F.coalesce(assignment, none), F.coalesce("others", none))
-    return files.select("repo_id", "path", F.explode_outer(events).alias("e")).filter(F.col("e.line_no").isNotNull()).select(
-        "repo_id", "path", "e.*")
-
-
-EVENT_ARRAY = (
+    assignments = F.flatten(F.transform("targets", lambda t: F.transform(t.names, lambda name: F.struct(
+        name.alias("var"), t.line_no.alias("upto"), F.lit(-1).alias("hit"), _assignment_kind(t.line).alias("kind")))))
+    uses = F.transform("hits", lambda h, i: F.struct(
+        h["var"].alias("var"), (h.line_no + LOOK_AHEAD).alias("upto"), i.alias("hit"), F.lit(None).cast("string").alias("kind")))
+    files = with_last_assignment(files.select("repo_id", "path", "others", "hits", F.filter(assignments, lambda a: a.kind.isNotNull()).alias("assignments"), uses.alias("uses")))
+    none = F.array().cast(HIT_ARRAY)
+    hits = F.zip_with("hits", "last", lambda h, r: h.withField("last_assignment", r.kind))
+    found = F.concat(F.coalesce(hits, none), F.coalesce("others", none))
+    return files.select("repo_id", "path", F.explode(found).alias("e")).select("repo_id", "path", "e.*")
+
+
+def with_last_assignment(files: DataFrame) -> DataFrame:
+    """Adds `last`: (hit, kind) of each of `uses`, the kind of the latest of `assignments` to its variable up to its line.
+
+    Both lists are sorted as one, by (variable, line). The j-th use, found at place i, has i - j assignments before it, and
+    only the last of these can be its variable's. So a file costs one sort, however many hits and assignments it has.
+    """
+    merged = F.array_sort(F.concat(F.coalesce("assignments", F.array().cast(_USES)), "uses"))
+    files = files.withColumn("merged", F.when(F.col("hits").isNotNull(), merged))
+    places = F.filter(F.transform("merged", lambda e, i: F.struct(e["var"].alias("var"), e.hit.alias("hit"), i.alias("at"))), lambda e: e.hit >= 0)
+    files = files.withColumns({"places": places, "given": F.filter("merged", lambda e: e.hit < 0)})
+
+    def before(use, j):
+        last = F.get("given", use["at"] - j - 1)
+        return F.struct(use.hit.alias("hit"), F.when(F.get("given", use["at"] - j - 1)["var"] == use["var"], last.kind).alias("kind"))
+
+    return files.withColumn("last", F.array_sort(F.transform("places", before))).drop("merged", "places", "given")
+
+
+_USES = "array<struct<var:string,upto:int,hit:int,kind:string>>"
+HIT_ARRAY = (
     "array<struct<line_no:int,line:string,rule_nos:array<int>,is_string:boolean,concat:boolean,dynamic:boolean,var:string,"
-    "user_source:string,sanitised:boolean,kind:string,at:int,family:string,context:string>>"
+    "user_source:string,sanitised:boolean,last_assignment:string,family:string,context:string>>"
 )
 
 
 def find_xpath_lines(src_files: DataFrame, rules=None) -> DataFrame:
-    """One row per suspicious line with its signs and the last assignment of its variable.
-
-    The only shuffle carries hits and the assignments they need, keyed by
-    (file, variable).
-    """
+    """One row per suspicious line with its signs and the last assignment of its variable; found inside the file's row."""
     rules = XPATH if rules is None else own_rules(rules)
-    return judged_events(file_events(candidates(prepare(src_files, rules), rules))).drop("family", "context")
-
-
-def judged_events(events: DataFrame) -> DataFrame:
-    """Hits with the last assignment of their variable."""
-    upto = Window.partitionBy("repo_id", "path", "var").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    events = events.withColumn("last_assignment", F.when(F.col("var").isNotNull(), F.last("kind", ignorenulls=True).over(upto)))
-    return events.filter(F.col("family") != "assignment").drop("kind", "at")
+    return file_hits(candidates(prepare(src_files, rules), rules)).drop("family", "context")
 
 
 def safe_reassignment(hits: DataFrame) -> DataFrame:

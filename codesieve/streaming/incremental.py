@@ -17,7 +17,10 @@ _BINARY = "path string, modificationTime timestamp, length bigint, content binar
 
 
 def stream_source_files(spark: SparkSession, in_dir: str, repo_id: str = "", max_files: int | None = None) -> DataFrame:
-    """New files of a folder as they arrive; `content` is null where a file is not UTF-8."""
+    """New files of a folder as they arrive; `content` is null where a file is not UTF-8.
+
+    Spark's file stream leaves out names that begin with a dot or an underscore; `ledger.scan_pending` reads them too.
+    """
     reader = spark.readStream.format("binaryFile").schema(_BINARY).option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -34,10 +37,14 @@ def scan_incremental(spark: SparkSession, in_dir: str, out_dir: str, checkpoint:
     nothing is written twice.
     """
     def write(batch: DataFrame, number: int) -> None:
-        readable = batch.filter(F.col("content").isNotNull())
-        scan_specialized(readable, rules).write.mode("overwrite").parquet(f"{out_dir}/findings/batch={number}")
-        error = F.when(F.col("content").isNull(), "not UTF-8")
-        batch.select("repo_id", "path", error.alias("error")).write.mode("overwrite").parquet(f"{out_dir}/files/batch={number}")
+        batch = batch.persist()  # read once for both writes
+        try:
+            readable = batch.filter(F.col("content").isNotNull())
+            scan_specialized(readable, rules).write.mode("overwrite").parquet(f"{out_dir}/findings/batch={number}")
+            error = F.when(F.col("content").isNull(), "not UTF-8")
+            batch.select("repo_id", "path", error.alias("error")).write.mode("overwrite").parquet(f"{out_dir}/files/batch={number}")
+        finally:
+            batch.unpersist()
 
     files = stream_source_files(spark, in_dir, repo_id, max_files)
     query = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

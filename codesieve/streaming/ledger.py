@@ -6,8 +6,12 @@ the rest, writes the findings under its number and then, last of all, the marks.
 was taken away brings its file alone back, and a run that broke off between the two writes is repeated under the same number.
 `findings` returns those of each file's latest finished run.
 
-Defined cases: a file that is not UTF-8 is marked as failed, with a row, and left alone until its mark is taken away or it
-changes; a file that was deleted keeps its findings; a folder without new files writes nothing.
+Only the files a run lacks are opened, in parts by bytes (`sources.tree`); a store that only Spark reads goes through Spark's
+own file reader. `repo_id` None takes the repository of a file from the first folder of its path.
+
+Defined cases: a file that cannot be read or is not UTF-8 is marked as failed, with a row, and left alone until its mark is
+taken away or it changes; a folder that cannot be read is tried again by each run; a file that was deleted keeps its findings;
+a folder without new files writes nothing.
 """
 
 from __future__ import annotations
@@ -17,11 +21,13 @@ from pyspark.sql import functions as F
 
 from codesieve.functions.paths import has_scan_suffix, is_scanned
 from codesieve.operators.findings import scan_specialized
+from codesieve.session import cut_lineage
+from codesieve.sources import tree
 from codesieve.sources.files import relative_path
 
 DONE, FAILED, OPEN = "done", "failed", "open"
 LEDGER = "repo_id string, path string, modified timestamp, state string, error string, run long"
-#: Up to so many files are named to the reader, which then opens no others; more are found by a join.
+#: In a store that only Spark reads, up to so many files are named to its reader, which then opens no others; more are found by a join.
 NAMED = 10_000
 
 
@@ -56,35 +62,42 @@ def _mark(marks: DataFrame, out_dir: str, run: int) -> None:
     marks.select("repo_id", "path", "modified", "state", "error").write.mode("overwrite").parquet(f"{out_dir}/ledger/run={run}")
 
 
-def listing(spark: SparkSession, root: str, repo_id: str = "") -> DataFrame:
-    """(repo_id, path, modified, place) of the files a scan reads, unopened."""
+def listing(spark: SparkSession, root: str, repo_id: str | None = "") -> DataFrame:
+    """(repo_id, path, modified, ...) of the files a scan reads, unopened; where Spark lists, `place` is the whole path."""
+    if tree.reaches(root):
+        return tree.list_tree(spark, root, repo_id).where(is_scanned(F.col("path")) & F.col("modified").isNotNull())
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(has_scan_suffix(F.col("_metadata.file_path")))
     files = files.select(F.lit(repo_id).alias("repo_id"), relative_path(F.col("path"), root).alias("path"), F.col("modificationTime").alias("modified"), F.col("path").alias("place"))
     return files.where(is_scanned(F.col("path")))
 
 
-def scan_pending(spark: SparkSession, root: str, out_dir: str, repo_id: str = "", rules=None) -> int:
+def _opened(todo: DataFrame, n: int, root: str, repo_id: str | None) -> DataFrame:
+    """(repo_id, path, modified, content, problem) of the listed files."""
+    if tree.reaches(root):
+        return tree.read_listed(todo, root, repo_id).select("repo_id", "path", "modified", "content", "problem")
+    files = todo.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    if n <= NAMED:
+        files = files.where(F.col("_metadata.file_path").isin([r.place for r in todo.select("place").collect()]))
+    texts = files.select(F.col("path").alias("place"), F.try_validate_utf8(F.col("content").cast("string")).alias("content")).join(todo, "place")
+    return texts.select("repo_id", "path", "modified", "content", F.when(F.col("content").isNull(), "not UTF-8").alias("problem"))
+
+
+def scan_pending(spark: SparkSession, root: str, out_dir: str, repo_id: str | None = "", rules=None) -> int:
     """Scan what the ledger of `out_dir` lacks; returns the number of files."""
     ledger = read_ledger(spark, out_dir)
-    run, todo = _next_run(ledger), pending(listing(spark, root, repo_id), ledger).persist()
+    run, todo = _next_run(ledger), cut_lineage(pending(listing(spark, root, repo_id), ledger))
+    n = todo.count()
+    if not n:
+        return 0
+    texts = _opened(todo, n, root, repo_id).persist()
     try:
-        n = todo.count()
-        if not n:
-            return 0
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        if n <= NAMED:
-            files = files.where(F.col("_metadata.file_path").isin([r.place for r in todo.select("place").collect()]))
-        texts = files.select(F.col("path").alias("place"), F.try_validate_utf8(F.col("content").cast("string")).alias("content")).join(todo, "place").persist()
-        try:
-            found = scan_specialized(texts.where("content is not null").select("repo_id", "path", "content"), rules)
-            found.write.mode("overwrite").parquet(f"{out_dir}/findings/run={run}")
-            failed = F.col("content").isNull()
-            _mark(texts.withColumns({"state": F.when(failed, FAILED).otherwise(DONE), "error": F.when(failed, "not UTF-8")}), out_dir, run)
-        finally:
-            texts.unpersist()
-        return n
+        found = scan_specialized(texts.where("content is not null").select("repo_id", "path", "content"), rules)
+        found.write.mode("overwrite").parquet(f"{out_dir}/findings/run={run}")
+        state = F.when(F.col("content").isNull(), FAILED).otherwise(DONE)
+        _mark(texts.withColumns({"state": state, "error": F.col("problem")}), out_dir, run)
     finally:
-        todo.unpersist()
+        texts.unpersist()
+    return n
 
 
 def take_marks_away(spark: SparkSession, out_dir: str, files: DataFrame) -> None:

@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from codesieve.fixed import noise
 from codesieve.operators.weak_hash import hash_findings, scan_weak_hash
 from codesieve.session import shared_folder
+from codesieve.sources import tree
 from codesieve.streaming import ledger, merged
 from codesieve.streaming.incremental import dedup_stream, stream_findings
 from suite import oracle_scan as o
@@ -62,3 +64,38 @@ def _pending(spark, sf_dir):
 
 register("pending_files", _pending, with_([SRC_FILES], """SELECT repo_id, path, n FROM (SELECT repo_id, path, length(content) AS n FROM src_files) f
   WHERE n % 4 = 0 OR n % 5 = 0 OR n % 7 = 0"""))
+
+
+def _tree(spark, sf_dir, files=None):
+    """All files as a tree, a folder for each repository; every text again in a folder no scan enters, and again with a byte that is not UTF-8."""
+    root = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    files = views.src_files(spark, sf_dir) if files is None else files
+    body = F.col("content").cast("binary")
+    tree.write_tree(files.select(F.concat_ws("/", "repo_id", "path").alias("place"), body.alias("content")), root)
+    tree.write_tree(files.select(F.concat_ws("/", "repo_id", F.lit("vendor"), "path").alias("place"), body.alias("content")), root)
+    tree.write_tree(files.select(F.concat_ws("/", "repo_id", F.lit("_odd"), "path").alias("place"), F.concat(body, F.unhex(F.lit("FF"))).alias("content")), root)
+    return root
+
+
+register("scan_tree", lambda s, d: tree.scan_tree(s, _tree(s, d), None).select("repo_id", "path", "length", F.md5(F.col("content").cast("binary")).alias("content_md5"), "problem"),
+         with_([SRC_FILES], """SELECT repo_id, path, CAST(strlen(content) AS BIGINT) AS length, md5(content) AS content_md5, NULL AS problem FROM src_files
+           UNION ALL SELECT repo_id, '_odd/' || path, CAST(strlen(content) + 1 AS BIGINT), NULL, 'not UTF-8' FROM src_files"""))
+
+
+def _resumed(spark, sf_dir):
+    """The findings of a tree that grew between two scans, with all marks of one repository taken away before the third."""
+    files = views.src_files(spark, sf_dir)
+    root, out = _tree(spark, sf_dir, files.where("length(content) % 2 = 0")), f"{shared_folder(spark)}/resumed-{uuid.uuid4().hex}"
+    ledger.scan_pending(spark, root, out, None)
+    rest = files.where("length(content) % 2 != 0 or content is null")
+    tree.write_tree(rest.select(F.concat_ws("/", "repo_id", "path").alias("place"), "content"), root)
+    ledger.scan_pending(spark, root, out, None)
+    ledger.take_marks_away(spark, out, files.where(F.col("repo_id") == files.agg(F.min("repo_id")).scalar()))
+    ledger.scan_pending(spark, root, out, None)
+    return ledger.findings(spark, out)
+
+
+_FOUND = "repo_id, id, severity, file, line, origin, ord"
+register("resumed_findings", lambda s, d: _resumed(s, d).select(*_FOUND.split(", ")),
+         with_(o.hash_findings_ctes() + o.xpath_findings_ctes(), f"""SELECT * FROM (SELECT {_FOUND} FROM hash_findings UNION ALL SELECT {_FOUND} FROM xpath_findings)
+           WHERE {' OR '.join([f"ends_with(lower(file), '{x}')" for x in noise.SCAN_SUFFIXES] + [f"contains(file, '{x}')" for x in noise.SCAN_NAMES])}"""))
