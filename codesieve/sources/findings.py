@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesieve import schemas
@@ -65,12 +65,26 @@ def findings_of_documents(documents: DataFrame) -> DataFrame:
     # Items are first taken as their JSON text, so that one of another kind does not spoil the array.
     items = documents.select("document", F.posexplode(F.from_json("value", "array<string>")).alias("pos", "item")).filter(F.col("item").startswith("{"))
     rows = items.select("document", "pos", F.from_json("item", schemas.FINDING_JSON).alias("f"))
+    return _with_defaults(rows, F.col("document"), F.col("pos").cast("bigint"))
+
+
+def _with_defaults(rows: DataFrame, repo_id: Column, ord_: Column) -> DataFrame:
     values = {c: F.coalesce(F.col(f"f.{c}"), F.lit(d)) for c, d in TEXT_DEFAULTS.items()}
     values["references"] = F.coalesce("f.references", F.array().cast("array<string>"))
-    values.update(repo_id=F.col("document"), origin=F.lit("file"), ord=F.col("pos").cast("bigint"))
+    values.update(repo_id=repo_id, origin=F.lit("file"), ord=ord_)
     return rows.select(*[values.get(c, F.col(f"f.{c}")).alias(c) for c in schemas.FINDING_COLUMNS])
 
 
+def read_findings_lines(spark: SparkSession, path: str, repo_id: str = "") -> DataFrame:
+    """Findings of a document with an item a line, as `sinks.write_findings_document` writes it.
+
+    The document is cut at lines and read by many tasks, where `read_findings_json` holds it whole. `ord` is null, as a
+    task does not know how many items lie before its own.
+    """
+    lines = spark.read.text(path).select(F.ltrim(F.col("value"), F.lit(",")).alias("item")).filter(F.col("item").startswith("{") & ~F.col("item").endswith("["))
+    return _with_defaults(lines.select(F.from_json("item", schemas.FINDING_JSON).alias("f")), F.lit(repo_id), F.lit(None).cast("bigint"))
+
+
 def semgrep_findings(documents: DataFrame, root: str | None = None) -> DataFrame:
     """Normalised findings of Semgrep results held as text; their CWE is a text or a list of texts."""
     results = documents.select("document", F.explode(F.from_json("value", schemas.SEMGREP)["results"]).alias("r"))

@@ -1,9 +1,18 @@
-"""Writers. Every table is written by all tasks at once; only an envelope, one JSON object by definition, is one file."""
+"""Writers. Every table is written by all tasks at once, and so is a document that must be one JSON value in one file.
+
+Defined cases of documents: no rows give an empty list; null fields are written out; a document that is there already is
+replaced whole, at the end; a run that breaks off leaves the old one.
+"""
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +21,8 @@ from codesieve.fixed import texts
 from codesieve.operators import chains, report
 from codesieve.operators.aggregate import finding_statistics
 from codesieve.operators.filters import filter_by_severity_strict
+from codesieve.session import ship
+from codesieve.sources import tree
 
 
 def write_findings_json(findings: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -25,11 +36,93 @@ def write_findings_csv(findings: DataFrame, path: str, mode: str = "overwrite")
     flat.write.mode(mode).option("header", "true").option("escape", '"').option("multiLine", "true").csv(path)
 
 
+COPIED = 8 << 20
+
+
+def _place_parts(folder: str, target: str):
+    """A function for mapInArrow that copies written parts to their places in one file, COPIED bytes at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = tree.store_of(folder)
+        for b in batches:
+            for r in b.to_pylist():
+                file = os.open(target, os.O_WRONLY)
+                try:
+                    with store.open_input_file(f"{top}/{r['path']}") as part:
+                        part.seek(r["skip"])
+                        at = r["at"]
+                        while data := part.read(COPIED):
+                            while data:
+                                n = os.pwrite(file, data, at)
+                                at, data = at + n, data[n:]
+                    os.fsync(file)
+                finally:
+                    os.close(file)
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]}, schema=pa.schema([("n", pa.int64())]))
+    return run
+
+
+def write_document(items: DataFrame, order: list, path: str, head="[\n", tail: str = "]\n") -> int:
+    """One file: `head`, the JSON texts in the column `value` by `order`, one a line with commas between, `tail`; returns their number.
+
+    Tasks write sorted parts as text; the lengths of the parts, one number each, say where every part begins, and tasks then
+    write the parts there side by side. A part that is written twice writes the same bytes to the same place, so lost
+    executors do no harm, and no task or driver holds more than COPIED bytes. `head` may be a function of the number of items.
+    The file must lie in a folder that all executors see and that can be written at any place; for other stores there are
+    `write_findings_json` and `write_envelope`.
+    """
+    spark = items.sparkSession
+    store, top = tree.store_of(path)
+    if not tree.is_local(store):
+        raise ValueError(f"a document cannot be written in parts to {path}: write a table")
+    folder, beside = f"{top}.parts-{uuid.uuid4().hex}", f"{top}.{uuid.uuid4().hex}"
+    items.sort(*order).select(F.concat(F.lit(","), "value").alias("value")).write.text(f"file://{folder}")
+    try:
+        n = spark.read.text(f"file://{folder}").count()
+        listed = tree.list_tree(spark, folder, "").where(F.col("path").startswith("part-") & (F.col("length") > 0)).select("path", "length").collect()
+        start = (head(n) if callable(head) else head).encode()
+        places, at = [], len(start)
+        for i, (name, length) in enumerate(sorted(map(tuple, listed))):
+            skip = int(i == 0)  # the comma before the first item
+            places.append((name, skip, at))
+            at += length - skip
+        with open(beside, "wb") as f:
+            f.write(start)
+            f.seek(at)
+            f.write(tail.encode())
+        if places:
+            ship(spark)
+            spark.createDataFrame(places, "path string, skip long, at long").mapInArrow(_place_parts(folder, beside), "n long").agg(F.sum("n")).collect()
+        os.replace(beside, top)
+    finally:
+        store.delete_dir(folder)
+        if os.path.exists(beside):
+            os.remove(beside)
+    return n
+
+
+def write_findings_document(findings: DataFrame, path: str) -> int:
+    """All findings as one JSON array, in their order."""
+    item = F.to_json(F.struct(*schemas.FINDING_FIELDS), {"ignoreNullFields": "false"})
+    return write_document(findings.select(item.alias("value"), "repo_id", "ord", "id"), ["ord", "repo_id", "id", "value"], path)
+
+
+_ENVELOPE_FIELDS = (("tool", "unknown"), ("tool_version", "unknown"), ("config", ""), ("edition", ""), ("target_root", ""), ("invocation", ""))
+
+
+def write_envelope_document(norm_findings: DataFrame, meta: dict, path: str) -> int:
+    """One run as one JSON object, whatever its size; its findings by file, line, CWE, severity and rule."""
+    fields = ["file", "line", "cwe", "severity", "rule_id"]
+    stamp = meta.get("timestamp") or datetime.now(timezone.utc).isoformat()
+    shown = {k: str(meta.get(k, d)) for k, d in _ENVELOPE_FIELDS} | {"timestamp": stamp, "dry_run": bool(meta.get("dry_run"))}
+    head = lambda n: json.dumps(shown | {"finding_count": n})[:-1] + ', "findings": [\n'
+    item = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    return write_document(norm_findings.select(*fields, item.alias("value")), fields, path, head, "]}\n")
+
+
 def write_envelope(norm_findings: DataFrame, meta: dict, path: str, mode: str = "overwrite") -> None:
     """One run as a table: its findings by file, each with the run's provenance.
 
-    A run may be far larger than one task can hold, so the findings stay rows;
-    `envelope_document` makes the single JSON object of a small run.
+    `write_envelope_document` writes the single JSON object, in stores that can be written at any place.
     """
     columns = [F.lit(meta.get(k)).alias(k) for k in ("tool", "tool_version", "config", "edition", "target_root", "invocation")]
     stamp = meta.get("timestamp") or datetime.now(timezone.utc).isoformat()
@@ -41,13 +134,12 @@ ENVELOPE_LIMIT = 100_000
 
 
 def envelope_document(norm_findings: DataFrame, meta: dict) -> DataFrame:
-    """One row holding the envelope as JSON; fails above ENVELOPE_LIMIT findings, where `write_envelope` is the form to use."""
+    """One row holding the envelope as JSON; fails above ENVELOPE_LIMIT findings, where `write_envelope_document` is the form to use."""
     item = F.struct("file", "line", "cwe", "severity", "rule_id")
     size = norm_findings.select(F.count(F.lit(1))).scalar()
     bounded = norm_findings.limit(ENVELOPE_LIMIT + 1).agg(F.array_sort(F.collect_list(item)).alias("findings"))
     stamp = meta.get("timestamp") or datetime.now(timezone.utc).isoformat()
-    fields = [F.lit(str(meta.get(k, d))).alias(k) for k, d in (("tool", "unknown"), ("tool_version", "unknown"), ("config", ""), ("edition", ""),
-                                                                ("target_root", ""), ("invocation", ""))]
+    fields = [F.lit(str(meta.get(k, d))).alias(k) for k, d in _ENVELOPE_FIELDS]
     body = F.to_json(F.struct(*fields, F.lit(stamp).alias("timestamp"), F.lit(bool(meta.get("dry_run"))).alias("dry_run"),
                               size.alias("finding_count"), F.col("findings")), {"ignoreNullFields": "false"})
     checked = F.when(size > ENVELOPE_LIMIT, F.raise_error(F.lit("too many findings for one document")).cast("string")).otherwise(body)
