@@ -150,15 +150,16 @@ def confusion_counts(ground_truth: DataFrame, matched: DataFrame, runs: DataFram
 
 
 def run_list(norm_findings: DataFrame, ground_truth: DataFrame | None = None) -> DataFrame:
-    """(run_id, dataset) of the findings; with the ground truth, a dataset without any finding is a run named `run`.
+    """(run_id, dataset) of the findings; with the ground truth, every run on every dataset, silent ones too.
 
-    A run that is silent on one dataset only cannot be seen in the findings: list it in `runs`.
+    Without any finding there is one run, named `run`. A run that is silent everywhere cannot be seen: list it in `runs`.
     """
-    seen = _reports(norm_findings).select("run_id", F.col("f_dataset").alias("dataset")).distinct()
+    reports = _reports(norm_findings)
     if ground_truth is None:
-        return seen
-    datasets = _entries(ground_truth).select("dataset").distinct()
-    return datasets.join(seen, "dataset", "left").select(F.coalesce("run_id", F.lit("run")).alias("run_id"), "dataset")
+        return reports.select("run_id", F.col("f_dataset").alias("dataset")).distinct()
+    # As many names as there are runs: each dataset takes the list.
+    runs = reports.agg(F.collect_set("run_id").alias("runs")).select(F.when(F.size("runs") > 0, F.col("runs")).otherwise(F.array(F.lit("run")))).scalar()
+    return _entries(ground_truth).select("dataset").distinct().select(F.explode(runs).alias("run_id"), "dataset")
 
 
 def score_tool(ground_truth: DataFrame, norm_findings: DataFrame, tol: int = 3, runs: DataFrame | None = None, strict: bool = False) -> DataFrame:

@@ -66,6 +66,32 @@ register("score_counts", lambda s, d: evaluate.score_counts(*both(s, d)).drop("d
          with_(EVAL, """SELECT g.*, f.* FROM (SELECT count(*) AS ground_truth_entries, count(*) FILTER (WHERE is_vulnerable) AS vulnerable, count(*) FILTER (WHERE NOT is_vulnerable) AS non_vulnerable,
            count(*) FILTER (WHERE is_vulnerable AND line IS NOT NULL) AS vulnerable_entries_with_line_labels FROM ground_truth) g,
            (SELECT run_id, count(*) AS tool_findings FROM norm_findings GROUP BY 1) f"""))
+
+
+def _repositories(s, d):
+    """Ground truth and reports in two datasets and several repositories, with a run that reports on one dataset only."""
+    truth, found = both(s, d)
+    n = F.regexp_extract("id", r"(\d+)", 1).cast("bigint")
+    truth = truth.withColumns({"repo_id": F.concat(F.lit("r"), (n % 3).cast("string")), "dataset": F.concat(F.lit("d"), F.floor(n % 4 / 2).cast("string"))})
+    n = F.regexp_extract("file", r"doc_(\d+)", 1).cast("bigint")
+    found = found.withColumns({"repo_id": F.when(n % 7 == 0, "r9").otherwise(F.concat(F.lit("r"), (n % 3).cast("string"))), "dataset": F.concat(F.lit("d"), F.floor(n % 4 / 2).cast("string"))})
+    return truth, found.unionByName(found.filter("run_id = 'run0' AND dataset = 'd0'").withColumn("run_id", F.lit("quiet")))
+
+
+_BY_REPOSITORY = [GROUND_TRUTH, NORM_FINDINGS, f"""gt AS (SELECT *, {NORM.format(p='file')} AS a, 'r' || (CAST(substr(id, 3) AS BIGINT) % 3) AS repo, 'd' || (CAST(substr(id, 3) AS BIGINT) % 4 // 2) AS dataset FROM ground_truth)""",
+                  f"""numbered AS (SELECT *, {NORM.format(p='file')} AS b, CAST(regexp_extract(file, 'doc_([0-9]+)', 1) AS BIGINT) AS n FROM norm_findings)""",
+                  """placed AS (SELECT run_id, b, line, cwe, CASE WHEN n % 7 = 0 THEN 'r9' ELSE 'r' || (n % 3) END AS repo, 'd' || (n % 4 // 2) AS dataset FROM numbered)""",
+                  """nf AS (SELECT * FROM placed UNION ALL SELECT 'quiet', b, line, cwe, repo, dataset FROM placed WHERE run_id = 'run0' AND dataset = 'd0')""",
+                  """paired AS (SELECT gt.id, gt.is_vulnerable, gt.line AS gt_line, nf.run_id, nf.line AS f_line FROM gt JOIN nf ON gt.cwe IS NOT DISTINCT FROM nf.cwe AND gt.repo = nf.repo AND gt.dataset = nf.dataset
+    AND (a = b OR (CASE WHEN least(len(string_split(a, '/')), len(string_split(b, '/'))) >= 2 THEN string_split(a, '/')[-2:] = string_split(b, '/')[-2:] ELSE string_split(a, '/')[-1] = string_split(b, '/')[-1] END
+      AND (ends_with(a, b) OR ends_with(b, a)))))""",
+                  """hits AS (SELECT DISTINCT 'file_cwe' AS granularity, run_id, id FROM paired UNION ALL SELECT DISTINCT 'line', run_id, id FROM paired WHERE NOT is_vulnerable OR abs(f_line - gt_line) <= 3)""",
+                  """detected AS (SELECT g.granularity, r.run_id, gt.*, h.id IS NOT NULL AS hit FROM gt CROSS JOIN (SELECT DISTINCT run_id FROM nf) r CROSS JOIN (SELECT unnest(['file_cwe', 'line']) AS granularity) g
+    LEFT JOIN hits h ON h.run_id = r.run_id AND h.id = gt.id AND h.granularity = g.granularity)""",
+                  """bucketed AS (SELECT *, 'overall' AS bucket FROM detected UNION ALL SELECT *, CAST(cwe AS VARCHAR) FROM detected WHERE cwe IS NOT NULL)"""]
+register("score_repositories", lambda s, d: evaluate.score_tool(*_repositories(s, d)).select("run_id", "dataset", "granularity", "bucket", "tp", "fp", "fn", "tn"),
+         with_(_BY_REPOSITORY, """SELECT run_id, dataset, granularity, bucket, count(*) FILTER (WHERE is_vulnerable AND hit) AS tp, count(*) FILTER (WHERE NOT is_vulnerable AND hit) AS fp,
+           count(*) FILTER (WHERE is_vulnerable AND NOT hit) AS fn, count(*) FILTER (WHERE NOT is_vulnerable AND NOT hit) AS tn FROM bucketed GROUP BY ALL"""))
 _LONG = "UNION ALL ".join(f"SELECT bucket, '{m}' AS metric, {c} AS value FROM scores WHERE granularity = 'file_cwe' AND bucket = 'overall' "
                           for m, c in (("precision", "p"), ("recall", "r"), ("f1", "f1"), ("tpr", "r"), ("fpr", "fpr"), ("youden", "youden")))
 register("metrics_across_runs", lambda s, d: evaluate.metrics_across_runs(evaluate.score_tool(*both(s, d))).select(

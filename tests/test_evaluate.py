@@ -151,3 +151,13 @@ def test_a_run_without_findings_misses_everything(spark):
     got = evaluate.score_tool(entries, none).filter("bucket = 'overall' and granularity = 'file_cwe'").first()
     assert (got.run_id, got.tp, got.fp, got.fn, got.tn) == ("run", 0, 0, 1, 1)
     assert evaluate.score_counts(entries, none).first().tool_findings == 0
+
+
+def test_runs_silent_on_one_dataset(spark, truth, found):
+    """Every run counts on every dataset, also where it found nothing; without findings there is one run."""
+    entries = truth().withColumn("dataset", F.lit("x")).unionByName(truth().withColumn("dataset", F.lit("y")))
+    reports = found([("a.py", 11, 89, "r1"), ("b.py", 1, 89, "r2")]).withColumn("dataset", F.when(F.col("run_id") == "r1", "x").otherwise("y"))
+    assert {(r.run_id, r.dataset) for r in evaluate.run_list(reports, entries).collect()} == {(a, b) for a in ("r1", "r2") for b in "xy"}
+    rows = {(r.run_id, r.dataset): r.tp + r.fp for r in evaluate.score_tool(entries, reports).filter("bucket = 'overall' and granularity = 'file_cwe'").collect()}
+    assert len(rows) == 4 and rows["r1", "y"] == rows["r2", "x"] == 0
+    assert {(r.run_id, r.dataset) for r in evaluate.run_list(reports.limit(0), entries).collect()} == {("run", "x"), ("run", "y")}
