@@ -5,8 +5,9 @@ two neighbouring blocks make a chunk, so chunks overlap by half and cover every
 and the largest answer of each filter over its chunks, and a logistic layer makes one probability of these. As bytes are
 one of 256 values, a filter is a table per position, and a convolution is a sum of table look-ups.
 
-Training (Adam, only where a maximum was taken does a gradient flow) uses a bounded sample of labelled documents of at
-most TRAIN_BYTES bytes; scoring reads every byte of every text, in pieces of bounded size.
+Training (Adam, only where a maximum was taken does a gradient flow) uses a bounded sample of labelled documents, long ones
+too: of a text above TRAIN_BYTES it takes that many bytes, in blocks of HALF bytes spread evenly from its start to its end.
+Scoring reads every byte of every text, in pieces of bounded size.
 
 Defined cases: null text is empty; an empty text is scored as one chunk without any answer; repeated rows are scored
 each; a null id is passed on; without labels of both kinds every score is the share of good labels (1 without labels).
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.llm import labels as labelled
@@ -121,14 +122,22 @@ def fit(column: list[bytes], y: np.ndarray) -> Net:
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, size: int = labelled.SAMPLE) -> Net:
-    """A network from at most `size` labelled documents that are not held out."""
-    rows = labelled.sample(docs, labels, size).where(F.octet_length("text") <= TRAIN_BYTES).select("doc_id", "text", "label").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    y = np.array([r.label for r in rows], float)
+def spread(text: Column, limit: int) -> Column:
+    """The bytes of a text; of one above `limit` as many, in blocks of HALF bytes at even distances, the first and the last included."""
+    data, blocks = text.cast("binary"), max(2, limit // HALF)
+    step = (F.octet_length(text) - HALF) / (blocks - 1)
+    cut = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.hex(F.substring(data, F.floor(i * step).cast("int") + 1, F.lit(HALF))))
+    return F.when(F.octet_length(text) <= limit, data).otherwise(F.unhex(F.array_join(cut, "")))
+
+
+def train(docs: DataFrame, labels: DataFrame, size: int = labelled.SAMPLE, limit: int = TRAIN_BYTES) -> Net:
+    """A network from at most `size` labelled documents that are not held out, at most `limit` bytes of each."""
+    rows = labelled.sample(docs, labels, size).select("doc_id", spread(F.col("text"), limit).alias("data"), "label").collect()
+    rows = sorted((r.doc_id, bytes(r.data), r.label) for r in rows)
+    y = np.array([label for _, _, label in rows], float)
     if not 0 < y.sum() < len(y):
         return Net(offset=float(y.mean()) if len(y) else 1.0)
-    return fit([r.text.encode() for r in rows], y)
+    return fit([data for _, data, _ in rows], y)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
