@@ -107,6 +107,19 @@ def plan(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, schedules=SCHEDUL
     return df.select("doc_id", "source", "mark", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("extra")).cast("long").alias("taken"), "passes", "extra", F.transform("middles", placed).alias("positions"))
 
 
+def in_order(planned: DataFrame) -> DataFrame:
+    """A plan with `ranks`: for each copy of a document its place among all copies, range-sorted by position, 0 first.
+
+    Equal positions follow id, source and text; a document that is not taken has no ranks. Only numbers are moved.
+    """
+    columns = planned.columns
+    planned = written(planned.withColumn("_row", F.monotonically_increasing_id()))
+    copies = planned.select("_row", "doc_id", "source", "mark", F.posexplode("positions").alias("copy", "position"))
+    copies = ranked(copies, "position", "doc_id", "source", "mark", "copy")
+    ranks = copies.groupBy("_row").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))  # a copy for each pass, and one more
+    return planned.join(ranks, "_row", "left").select(*columns, F.coalesce("ranks", F.array().cast("array<long>")).alias("ranks"))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, schedules=SCHEDULES) -> DataFrame:
     """The documents as training reads them: copies sorted by position over range partitions.
 

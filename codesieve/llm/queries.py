@@ -41,11 +41,15 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g')"
+# A turn stays as it is unless it holds a control string or an escaped one, or its role a line feed.
+_CONFLICT = r"regexp_matches({}, '<\|im_start\|>|<\|im_end\|>|<\|nl\|>|<\\+\|')"
 ORACLES["op3_chat_format"] = rf"""
 WITH turns AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -1, 0, 'user', '{ATTACK}' UNION ALL SELECT -1, 1, 'assistant', '{ATTACK}'),
-shown AS (SELECT *, '<|im_start|>' || replace({_ESCAPED.format("role")}, chr(10), '<|nl|>') || chr(10) || {_ESCAPED.format("text")} || '<|im_end|>' || chr(10) AS shown FROM turns)
+written AS (SELECT *, CASE WHEN {_CONFLICT.format("role")} OR {_CONFLICT.format("text")} OR contains(role, chr(10))
+    THEN replace({_ESCAPED.format("role")}, chr(10), '<|nl|>') || chr(10) || {_ESCAPED.format("text")} ELSE role || chr(10) || text END AS body FROM turns),
+shown AS (SELECT *, '<|im_start|>' || body || '<|im_end|>' || chr(10) AS shown FROM written)
 SELECT conv_id, count(*) AS n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, shown)) AS turns_sha256,
     CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
@@ -93,8 +97,8 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.plan(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("first_position"))
+    plan = mixing.in_order(mixing.plan(table(spark, sf_dir, "documents")))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("first_position"), F.array_join(F.col("ranks").cast("array<string>"), ",").alias("ranks"))
 
 
 @query
