@@ -47,3 +47,19 @@ def test_findings_document(spark, finding, tmp_path):
 def test_other_stores_are_refused(spark, finding):
     with pytest.raises(Exception):
         sinks.write_findings_document(finding(dict()), "viewfs://x/y.json")
+
+
+def test_parts_are_packed(spark, tmp_path, monkeypatch):
+    """The text is written out once: parts beside it are packed, and any line break but its own is text."""
+    seen, place = {}, sinks._place_parts
+
+    def watched(folder, target):
+        seen.update({f: os.path.getsize(f"{folder}/{f}") for f in os.listdir(folder) if f.startswith("part-")})
+        return place(folder, target)
+
+    monkeypatch.setattr(sinks, "_place_parts", watched)
+    rows = [(i, f'"{i:05}\r' + "ä" * 500 + '"') for i in range(3000)]
+    path = str(tmp_path / "x")
+    assert sinks.write_document(spark.createDataFrame(rows, "i int, value string").repartition(5), ["i"], path) == 3000
+    assert open(path, newline="").read() == "[\n" + "\n,".join(v for _, v in rows) + "\n]\n"
+    assert all(".gz" in f for f in seen) and sum(seen.values()) < os.path.getsize(path) / 5
