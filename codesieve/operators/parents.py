@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Names of a shard, paths of a slice, and parts into which a repository's rows are cut to learn its shards and slices.
 SHARD, SLICE, SALTS = 50_000, 100_000, 16
+#: Children and parents of a name meet in squares of about this side, so that no task makes all edges of a name.
+SQUARE = 32
 
 
 def base_names(contexts: DataFrame) -> DataFrame:
@@ -40,7 +42,7 @@ def _met(names: DataFrame, files: DataFrame, shard: int, size: int):
 
 
 def _distinct(contexts: DataFrame, wanted: DataFrame | None) -> DataFrame:
-    names = base_names(contexts).select("repo_id", "base").distinct()
+    names = base_names(contexts).groupBy("repo_id", "base").agg(F.count(F.lit(1)).alias("n_children"))
     return names if wanted is None else names.join(wanted.select("repo_id", "base").distinct(), ["repo_id", "base"], "left_semi")
 
 
@@ -77,6 +79,11 @@ def parent_counts(contexts: DataFrame, files: DataFrame | None = None, shard: in
 
 def parent_files(contexts: DataFrame, wanted: DataFrame | None = None, shard: int = SHARD, size: int = SLICE) -> DataFrame:
     """(repo_id, base, parent_path): the paths that hold each name, or each of the `wanted` (repo_id, base)."""
+    return _held(contexts, wanted, shard, size).drop("n_children")
+
+
+def _held(contexts: DataFrame, wanted: DataFrame | None, shard: int, size: int) -> DataFrame:
+    """The paths that hold each name, with the number of its children."""
     names, files = _distinct(contexts, wanted), _paths(contexts)
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -91,15 +98,28 @@ def parent_files(contexts: DataFrame, wanted: DataFrame | None = None, shard: in
                 of += hits
                 where += [j] * len(hits)
         some, held = left.take(pa.array(of, pa.int64())), right.take(pa.array(where, pa.int64()))
-        return pa.table({"repo_id": some.column("shard_repo_id"), "base": some.column("base"), "parent_path": held.column("parent_path")})
+        return pa.table({"repo_id": some.column("shard_repo_id"), "base": some.column("base"), "parent_path": held.column("parent_path"), "n_children": some.column("n_children")})
 
-    pairs = _met(names.where("base != ''"), files, shard, size).applyInArrow(pair, "repo_id string, base string, parent_path string")
-    return pairs.unionByName(files.join(names.where("base = ''"), "repo_id").select("repo_id", "base", "parent_path"))
+    pairs = _met(names.where("base != ''"), files, shard, size).applyInArrow(pair, "repo_id string, base string, parent_path string, n_children long")
+    return pairs.unionByName(files.join(names.where("base = ''"), "repo_id").select("repo_id", "base", "parent_path", "n_children"))
 
 
-def inheritance_edges(contexts: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """File -> file whose path contains the name of one of its parents (once per parent); `wanted`: only these (repo_id, base)."""
-    return base_names(contexts).join(parent_files(contexts, wanted), ["repo_id", "base"]).select("repo_id", "path", "pos", "parent_path")
+def inheritance_edges(contexts: DataFrame, wanted: DataFrame | None = None, square: int = SQUARE) -> DataFrame:
+    """File -> file whose path contains the name of one of its parents (once per parent); `wanted`: only these (repo_id, base).
+
+    The edges of a name are as many as its children times its parents. Both are dealt to strips by a hash, and the strips meet in
+    squares, each a key of its own: a task's edges are bounded by the rows it reads.
+    """
+    held = _held(contexts, wanted, SHARD, SLICE)
+    strips = lambda n: F.ceil(F.col(n) / square).cast("int")
+    strip = lambda n, *of: F.pmod(F.xxhash64(*of), strips(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), strips(n) - 1))
+    sizes = held.groupBy("repo_id", "base").agg(F.count(F.lit(1)).alias("n_parents"), F.max("n_children").alias("n_children"))
+    children = base_names(contexts).join(sizes, ["repo_id", "base"]).select(
+        "repo_id", "base", "path", "pos", strip("n_children", "path", "pos").alias("child_strip"), every("n_parents").alias("parent_strip"))
+    found = held.drop("n_children").join(sizes, ["repo_id", "base"]).select(
+        "repo_id", "base", "parent_path", strip("n_parents", "parent_path").alias("parent_strip"), every("n_children").alias("child_strip"))
+    return children.join(found, ["repo_id", "base", "child_strip", "parent_strip"]).select("repo_id", "path", "pos", "parent_path")
 
 
 def parent_has_auth(contexts: DataFrame) -> DataFrame:

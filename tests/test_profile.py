@@ -92,3 +92,16 @@ def test_lookup_and_requests(src):
     reqs = {r.path: r for r in build_requests(files, contexts(src), profile.profile_repo(files), {"k": 1}).collect()}
     assert "Parent class HAS authentication checks" in reqs["a.py"].system and "HAS" not in reqs["b.py"].system
     assert '"k": 1' in reqs["b.py"].system and "class B(Plain)" in reqs["b.py"].user
+
+
+def test_edges_of_one_name_are_many_keys(spark):
+    """Edges are those of a plain join, with repeated rows; a name that all files share is cut in squares, not made by one key."""
+    rows = [("r", f"core/f{i % 90}.py", ["a.Core", "Mixin"] if i % 3 else ["Core", "x.core"]) for i in range(120)] + [("s", "", [""]), ("s", "a.py", None)]
+    ctx = spark.createDataFrame(rows, "repo_id string, path string, parent_classes array<string>")
+    base = parents.base_names(ctx)
+    files = ctx.select("repo_id", ctx.path.alias("parent_path"))
+    want = base.join(files, "repo_id").where("contains(lower(parent_path), base)").select("repo_id", "path", "pos", "parent_path")
+    want = sorted(map(tuple, want.collect()))
+    for square in (7, 1000):
+        assert sorted(map(tuple, parents.inheritance_edges(ctx, square=square).collect())) == want
+    assert "parent_strip" in parents.inheritance_edges(ctx)._jdf.queryExecution().optimizedPlan().toString()
