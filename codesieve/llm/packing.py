@@ -106,9 +106,9 @@ class Encoder:
 
 
 @functools.lru_cache(1)
-def encoder(path: str | None) -> Encoder:
-    """One for each Python worker, which Spark keeps between tasks; what it remembers stays below MEMORY bytes."""
-    return Encoder(path)
+def encoder(path: str | None, memory: int = MEMORY) -> Encoder:
+    """One for each Python worker, which Spark keeps between tasks; what it remembers stays below `memory` bytes."""
+    return Encoder(path, memory)
 
 
 class Packer:
@@ -238,7 +238,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TO
         packer, encode, end = None, None, np.array([end_id], "<u4").tobytes()
         for b in batches:
             if packer is None:
-                packer, encode = Packer(TaskContext.get().partitionId(), max_tokens, max_segments, max_loss, stretch), encoder(tokenizer)
+                packer, encode = Packer(TaskContext.get().partitionId(), max_tokens, max_segments, max_loss, stretch), encoder(tokenizer, MEMORY // 2 if stretch else MEMORY)
             column = b.column("text")
             for i, doc in enumerate(b.column("doc_id").to_pylist()):
                 packer.add(doc, encode(column[i].as_py() or "") + end)

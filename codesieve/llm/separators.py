@@ -17,39 +17,39 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codesieve.llm.base import in_arrow, written
-from codesieve.llm.packing import encoder
+from codesieve.llm.base import in_arrow, slices, written
+from codesieve.llm.packing import MEMORY, encoder
 
-#: The first id after the vocabulary's last.
-END_ID, BLOCK_IDS = 49_408, 1 << 18
-_FLAT = pa.schema([("file", pa.int64()), ("at", pa.int64()), ("data", pa.binary()), ("doc_id", pa.int64())])
+#: The first id after the vocabulary's last. A block is a quarter of a MB: blocks of a MB are objects that Spark's heap places one by one.
+END_ID, BLOCK_IDS = 49_408, 1 << 16
+_FLAT = pa.schema([("file", pa.int64()), ("at", pa.int64()), ("data", pa.binary()), ("doc_id", pa.int64()), ("listed", pa.bool_())])
 _ENDS = pa.schema([("file", pa.int64()), ("at", pa.int64()), ("n_ids", pa.int64()), ("ends", pa.list_(pa.int64()))])
 
 
 def flat_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Token files, one for each task: rows with `data` are a file's blocks, the others list its documents in order."""
+    """Token files, one for each task: rows with `data` are a file's blocks, the others (`listed`) list its documents in order."""
     def run(batches):
         file, held, size, block, number, end = TaskContext.get().partitionId(), [], 0, 0, 0, np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            encode, rows = encoder(tokenizer), []
+        for b in (part for batch in batches for part in slices(batch)):
+            encode, rows = encoder(tokenizer, MEMORY // 2), []
             column = b.column("text")
             for i, doc in enumerate(b.column("doc_id").to_pylist()):
-                rows.append((file, number, None, doc))
+                rows.append((file, number, None, doc, True))
                 number += 1
                 held.append(encode(column[i].as_py() or "") + end)
                 size += len(held[-1])
                 if size >= 4 * block_ids:
                     flat = b"".join(held)
-                    while len(flat) >= 4 * block_ids:
-                        rows.append((file, block, flat[:4 * block_ids], None))
-                        block, flat = block + 1, flat[4 * block_ids:]
-                    held, size = [flat], len(flat)
+                    for at in range(0, size - size % (4 * block_ids), 4 * block_ids):
+                        rows.append((file, block, flat[at:at + 4 * block_ids], None, False))
+                        block += 1
+                    held, size = [flat[size - size % (4 * block_ids):]], size % (4 * block_ids)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FLAT)], schema=_FLAT)
         if size:
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((file, block, b"".join(held), None), _FLAT)], schema=_FLAT)
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((file, block, b"".join(held), None, False), _FLAT)], schema=_FLAT)
 
-    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "file long, at long, data binary, doc_id long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "file long, at long, data binary, doc_id long, listed boolean")
 
 
 def boundaries(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:
@@ -72,5 +72,5 @@ def boundaries(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:
 def counts(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
     """(doc_id, file, start, n_tokens): the number of ids of each document, found in flat token files."""
     flat = written(flat_files(docs, tokenizer, end_id, block_ids))
-    listed = flat.where("data is null").select("file", F.col("at").alias("number"), "doc_id")
-    return listed.join(boundaries(flat.where("data is not null"), end_id), ["file", "number"]).select("doc_id", "file", "start", "n_tokens")
+    listed = flat.where("listed").select("file", F.col("at").alias("number"), "doc_id")
+    return listed.join(boundaries(flat.where("not listed"), end_id), ["file", "number"]).select("doc_id", "file", "start", "n_tokens")
