@@ -74,9 +74,9 @@ def _tree(spark, sf_dir, files=None):
     root = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
     files = views.src_files(spark, sf_dir) if files is None else files
     body = F.col("content").cast("binary")
-    tree.write_tree(files.select(F.concat_ws("/", "repo_id", "path").alias("place"), body.alias("content")), root)
-    tree.write_tree(files.select(F.concat_ws("/", "repo_id", F.lit("vendor"), "path").alias("place"), body.alias("content")), root)
-    tree.write_tree(files.select(F.concat_ws("/", "repo_id", F.lit("_odd"), "path").alias("place"), F.concat(body, F.unhex(F.lit("FF"))).alias("content")), root)
+    placed = lambda folder, content: F.struct(F.concat_ws("/", "repo_id", *folder, "path").alias("place"), content.alias("content"))
+    copies = F.array(placed([], body), placed([F.lit("vendor")], body), placed([F.lit("_odd")], F.concat(body, F.unhex(F.lit("FF")))))
+    tree.write_tree(files.select(F.inline(copies)), root)
     return root
 
 
