@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.base import WordHash, forget, in_arrow, mixed, run_hashes, texts, written
+from codesieve.llm.base import WordHash, forget, in_arrow, mixed, run_hashes, slices, texts, written
 from codesieve.llm.graph import components
 from codesieve.llm.order import LOWEST, by_key
 
@@ -73,13 +73,13 @@ _DOC_COLUMNS = "key long, n long, hi long, lo long, prefix array<long>, bits arr
 def _describe(run: int, percent: int):
     def f(batches):
         known = WordHash()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             n, ids, prefixes, bits = [], [], [], []
             for text in texts(batch):
                 s = token_set(text, run, known)
                 n.append(len(s))
                 ids.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64))
-                prefixes.append(s[:2 * spare(len(s), percent) + 5].view(np.int64))
+                prefixes.append(s[:2 * spare(len(s), percent) + 5].view(np.int64).copy())
                 bits.append(bitmap(s))
             ids = np.array(ids, np.int64).reshape(len(n), 2)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
@@ -246,11 +246,8 @@ _SET = pa.schema([("c", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 def _sets(run: int):
     def f(batches):
         known = WordHash()
-        for batch in batches:
-            keys = batch.column("key").to_pylist()
-            for s in range(0, len(keys), 500):
-                part = batch.slice(s, 500)
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([token_set(t, run, known).view(np.int64) for t in texts(part)], pa.list_(pa.int64()))], schema=_SET)
+        for part in (part for batch in batches for part in slices(batch)):
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([token_set(t, run, known).view(np.int64) for t in texts(part)], pa.list_(pa.int64()))], schema=_SET)
     return f
 
 
