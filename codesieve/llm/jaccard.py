@@ -10,11 +10,12 @@ so little that the first tokens of both must overlap (prefix filter):
 
 Which tokens are frequent changes the work, never the result: `FREQUENT` is doubled until the class fits a broadcast of
 MAX_FREQUENT tokens. Index entries found in one class only are dropped. Small entries give pairs by a join. Large ones are
-cut in blocks that meet pairwise; in each pair of blocks, parity bitmaps (each set bit says that an odd number of tokens
-fell there, so two bitmaps differ in no more bits than the sets in tokens) leave out what cannot be similar, and each
-document is paired with its nearest candidate only. All pairs are then verified on whole sets; when the links found so far
-have been followed, the blocks meet once more, and every candidate pair that is not yet connected is verified too. So no
-group's pairs are all written down, and no link that could join two components is missed.
+cut in blocks; parity bitmaps (each set bit says that an odd number of tokens fell there, so two bitmaps differ in no more
+bits than the sets in tokens) leave out what cannot be similar. First each document is paired with its nearest candidate in
+its own block and in the entry's first block, a number of pairs in proportion to the documents. All pairs are then verified
+on whole sets; when the links found so far have been followed, all blocks of the entries that still hold several components
+meet pairwise, and every candidate pair that is not yet connected is verified too. So no group's pairs are all written down,
+and no link that could join two components is missed.
 
 Defined cases: null text is empty; a text of fewer words than a run is one token; texts without words are linked with
 nothing and are components of their own; null ids come first; rows that share an id are taken in the order of a hash of
@@ -301,7 +302,8 @@ def linked(docs: DataFrame, run: int = RUN, percent: int = PERCENT) -> tuple[Dat
 
     def meet(rows: DataFrame, nearest: bool) -> DataFrame:
         kept = ["k", "c", "n", "brief", "label"] + ([] if nearest else ["low"])
-        met = rows.select(*kept, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        every = F.sequence(F.lit(0), F.col("blocks") - 1)
+        met = rows.select(*kept, "own", F.explode(F.when(F.col("own") > 0, F.array(F.lit(0), "own")).otherwise(every) if nearest else every).alias("other"))
         met = met.select(*kept, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
         return in_arrow(met.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "c"), _meet(percent, nearest), "a long, b long")
 
