@@ -1,21 +1,26 @@
 """Exact similarity join of documents on their sets of word runs, by token-combination prefixes.
 
 Tokens are hashes of word runs, ordered by hash. Documents with equal sets are one class from the start. Similar sets differ
-so little that the first tokens of both must overlap (prefix filter):
-
-* a token that few prefixes hold is indexed alone;
-* a token of the frequent class is indexed together with the token after it, in a prefix long enough that two similar sets
-  share such a pair (P tokens hold at least P - dx common ones, in at most dx + dy + 1 stretches, so P >= 2(n - tn) + 4
-  leaves a common pair). A passage in many documents thus brings only those together that share its neighbourhood.
-
-Which tokens are frequent changes the work, never the result: `FREQUENT` is doubled until the class fits a broadcast of
-MAX_FREQUENT tokens. Index entries found in one class only are dropped. Small entries give pairs by a join. Large ones are
-cut in blocks; parity bitmaps (each set bit says that an odd number of tokens fell there, so two bitmaps differ in no more
-bits than the sets in tokens) leave out what cannot be similar. First each document is paired with its nearest candidate in
-its own block and in the entry's first block, a number of pairs in proportion to the documents. All pairs are then verified
-on whole sets; when the links found so far have been followed, all blocks of the entries that still hold several components
-meet pairwise, and every candidate pair that is not yet connected is verified too. So no group's pairs are all written down,
-and no link that could join two components is missed.
+so little that the first tokens of both must overlap (prefix filter). A set of n tokens may lack s = spare(n) of them in a
+similar one; x lacks dx <= s in y, and 's >= dx + floor(dy * percent / 100)' holds on either side.
+
+* A set with s + 1 rare tokens among its first ones (`reach`) indexes these alone, the lowest first. The lowest rare token
+  that two such sets share is at most the (s + 1)-th rare one of each. So a passage in many documents brings none together
+  that have enough of their own.
+* Any other set indexes all rare tokens among its first `stored`, and each frequent one of the first 2s + 4 with the token
+  after it. Two such sets share an entry: the first 2s + 4 tokens hold at least s + 4 common ones, more than the tokens that
+  could stand between them, so two common ones are neighbours in both. It shares one with a set of the first kind too: what
+  is at place q there is at place q + dy here at most, and `reach` leaves room for that.
+
+Which tokens are frequent changes the work, never the result. They are counted where one piece of a task's tokens holds them
+twice, so that only those are shuffled; `FREQUENT` is doubled until the class fits a broadcast of MAX_FREQUENT tokens. Index
+entries found in one class only are dropped. Small entries give pairs by a join. Large ones are cut in blocks; parity bitmaps
+(each set bit says that an odd number of tokens fell there, so two bitmaps differ in no more bits than the sets in tokens)
+leave out what cannot be similar. First each document is paired with its nearest candidate in its own block and in the
+entry's first block, a number of pairs in proportion to the documents. All pairs are then verified on whole sets; when the
+links found so far have been followed, all blocks of the entries that still hold several components meet pairwise, and every
+candidate pair that is not yet connected is verified too. So no group's pairs are all written down, and no link that could
+join two components is missed.
 
 Defined cases: null text is empty; a text of fewer words than a run is one token; texts without words are linked with
 nothing and are components of their own; null ids come first; rows that share an id are taken in the order of a hash of
@@ -37,7 +42,7 @@ from codesieve.llm.graph import components
 from codesieve.llm.order import LOWEST, by_key
 
 RUN, PERCENT = 4, 85
-FREQUENT, MAX_FREQUENT, SMALL, BLOCK, BITS, LOW = 32, 1 << 20, 8, 512, 512, 8
+FREQUENT, MAX_FREQUENT, PIECE, SMALL, BLOCK, BITS, LOW = 32, 1 << 20, 1 << 21, 8, 512, 512, 8
 
 
 def token_set(text: bytes, run: int, known: WordHash) -> np.ndarray:
@@ -53,6 +58,16 @@ def spare(n, percent: int):
     return n - -(-percent * n // 100)
 
 
+def stored(n, percent: int):
+    """How many of the first tokens of a set of n are kept for the index."""
+    return 3 * spare(n, percent) + 8
+
+
+def reach(n, percent: int):
+    """Among how many first tokens a set of n looks for rare ones: with those that any similar set may have in between, they are in what that set has stored."""
+    return 2 * spare(n - spare(n, percent), percent) + 8
+
+
 def bitmap(tokens: np.ndarray) -> np.ndarray:
     """Parity bits of a set, at least BITS and two for each token, so that long sets tell apart as well as short ones.
 
@@ -80,7 +95,7 @@ def _describe(run: int, percent: int):
                 s = token_set(text, run, known)
                 n.append(len(s))
                 ids.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64))
-                prefixes.append(s[:2 * spare(len(s), percent) + 5].view(np.int64).copy())
+                prefixes.append(s[:stored(len(s), percent)].view(np.int64).copy())
                 bits.append(bitmap(s))
             ids = np.array(ids, np.int64).reshape(len(n), 2)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
@@ -95,11 +110,45 @@ def _describe(run: int, percent: int):
     return f
 
 
+_TOKEN = pa.schema([("t", pa.int64()), ("n", pa.int64())])
+
+
+def _repeated(batches):
+    """Tokens that a piece of at most about PIECE tokens holds twice or more, and how often."""
+    held, size = [], 0
+
+    def counted():
+        t, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(t[n > 1]), pa.array(n[n > 1].astype(np.int64))], schema=_TOKEN)
+
+    for batch in batches:
+        held.append(batch.column("prefix").flatten().to_numpy(zero_copy_only=False).copy())
+        size += len(held[-1])
+        if size >= PIECE:
+            yield counted()
+            held, size = [], 0
+    if held:
+        yield counted()
+
+
 _ENTRY = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
 
 
+def entry_keys(tokens: np.ndarray, hot: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """Index entries of a set of n tokens, from its stored ones and which of these are frequent."""
+    short = spare(n, percent) + 1
+    rare = np.flatnonzero(~hot[:reach(n, percent)])[:short]
+    if len(rare) == short:
+        return mixed(tokens[rare] + np.uint64(1))
+    upto = min(n, 2 * spare(n, percent) + 4)
+    after = np.zeros(upto, np.uint64)
+    after[:min(upto, len(tokens) - 1)] = tokens[1:upto + 1]
+    pairs = mixed(mixed(tokens[:upto]) + after)[hot[:upto]]
+    return np.concatenate([mixed(tokens[~hot] + np.uint64(1)), pairs])
+
+
 def _entries(frequent, percent: int):
-    """Index entries of each class: rare tokens alone, frequent ones with the next token."""
+    """Index entries of each class."""
     def f(batches):
         often = frequent.value
         for batch in batches:
@@ -112,15 +161,7 @@ def _entries(frequent, percent: int):
                 is_often = often[at] == flat
             for i, (c, n) in enumerate(zip(batch.column("key").to_pylist(), batch.column("n").to_pylist())):
                 a, b = int(offsets[i]), int(offsets[i + 1])
-                short = spare(n, percent) + 1
-                tokens, hot = flat[a:b], is_often[a:b]
-                if not hot[:short].any():
-                    k = mixed(tokens[:short] + np.uint64(1))
-                else:
-                    upto = min(n, 2 * spare(n, percent) + 4)
-                    after = np.zeros(upto, np.uint64)
-                    after[:min(upto, len(tokens) - 1)] = tokens[1:upto + 1]
-                    k = np.where(hot[:upto], mixed(mixed(tokens[:upto]) + after), mixed(tokens[:upto] + np.uint64(1)))
+                k = entry_keys(flat[a:b], is_often[a:b], n, percent)
                 ks.append(k)
                 cs.append(np.full(len(k), c, np.int64))
                 ns.append(np.full(len(k), n, np.int64))
@@ -129,6 +170,39 @@ def _entries(frequent, percent: int):
     return f
 
 
+_INDEX = pa.schema([*_ENTRY, ("cnt", pa.int64())])
+
+
+def _shared(batches):
+    """Of rows sorted by entry, those of entries that several classes have, with their number."""
+    def counted(rows: pa.RecordBatch, last: np.ndarray):
+        """Rows of whole entries; `last` says which row is an entry's last."""
+        ends = np.flatnonzero(last)
+        sizes = np.diff(ends, prepend=-1)
+        cnt = np.repeat(sizes, sizes)
+        rows = pa.RecordBatch.from_arrays([*rows.columns, pa.array(cnt.astype(np.int64))], schema=_INDEX)
+        return rows.filter(pa.array(cnt > 1))
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        batch = pa.RecordBatch.from_arrays(batch.columns, schema=_ENTRY)
+        k = batch.column("k").to_numpy()
+        same = held and held[-1].column("k")[held[-1].num_rows - 1].as_py() == k[0]
+        if same and k[0] == k[-1]:
+            held.append(batch)
+            continue
+        begin = int(np.searchsorted(k, k[-1]))
+        rows = pa.Table.from_batches([*held, batch.slice(0, begin)], schema=_ENTRY).combine_chunks().to_batches()
+        held = [batch.slice(begin)]
+        for whole in rows:
+            k = whole.column("k").to_numpy()
+            yield counted(whole, np.append(k[1:] != k[:-1], True))
+    for whole in pa.Table.from_batches(held, schema=_ENTRY).combine_chunks().to_batches():
+        yield counted(whole, np.arange(whole.num_rows) == whole.num_rows - 1)
+
+
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -270,8 +344,7 @@ def linked(docs: DataFrame, run: int = RUN, percent: int = PERCENT) -> tuple[Dat
                    described.where("n > 0").join(members.where("key = c and n > 0").select("key"), "key", "left_semi"))
     forget(described)
 
-    short = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("long") + 1
-    often = written(wide.select(F.explode(F.slice("prefix", F.lit(1), short.cast("int"))).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") > FREQUENT))
+    often = written(in_arrow(wide.select("prefix"), _repeated, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT))
     bound = FREQUENT
     while often.where(F.col("n") > bound).count() > MAX_FREQUENT:
         bound *= 2
@@ -280,8 +353,7 @@ def linked(docs: DataFrame, run: int = RUN, percent: int = PERCENT) -> tuple[Dat
     forget(often)
 
     entries = in_arrow(wide.select("key", "n", "prefix"), _entries(frequent, percent), "k long, c long, n long")
-    shared = entries.groupBy("k").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    index = written(entries.join(shared, "k"))
+    index = written(in_arrow(entries.repartition("k").sortWithinPartitions("k", "c"), _shared, "k long, c long, n long, cnt long"))
 
     few = index.where(F.col("cnt") <= SMALL)
     close = (F.col("x.c") < F.col("y.c")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
