@@ -63,3 +63,28 @@ def test_parts_are_packed(spark, tmp_path, monkeypatch):
     assert sinks.write_document(spark.createDataFrame(rows, "i int, value string").repartition(5), ["i"], path) == 3000
     assert open(path, newline="").read() == "[\n" + "\n,".join(v for _, v in rows) + "\n]\n"
     assert all(".gz" in f for f in seen) and sum(seen.values()) < os.path.getsize(path) / 5
+
+
+def test_shuffles_go_before_the_document_is_written(spark, tmp_path, monkeypatch):
+    """When parts are placed, nothing of the sort is left on the disk, and the session's setting is what it was."""
+    place, seen = sinks._place_parts, []
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def shuffled():
+        return {f"{d}/{f}" for top in dirs for d, _, names in os.walk(top) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+    def watched(folder, target):
+        seen.append(shuffled() - before)
+        return place(folder, target)
+
+    monkeypatch.setattr(sinks, "_place_parts", watched)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rows = spark.range(3000).selectExpr("id", "concat('\"', sha2(string(id), 256), '\"') as value").repartition(7)
+    for kept in (None, "false"):
+        spark.conf.unset(name) if kept is None else spark.conf.set(name, kept)
+        default, before = spark.conf.get(name), shuffled()
+        try:
+            assert sinks.write_document(rows, ["id"], str(tmp_path / "x")) == 3000 and len(json.load(open(tmp_path / "x"))) == 3000
+            assert sum(map(os.path.getsize, seen.pop())) < 3000 * 32 / 2 and spark.conf.get(name) == default
+        finally:
+            spark.conf.unset(name)
